@@ -49,3 +49,23 @@ RULES = """rules as (select s.source as ruleset, r.* from (values
 
 def with_(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
+
+# Directory rows of INV: sizes and times rolled up from the immediate parents to every ancestor.
+INV_DIRS = """dirs as (select path, cast(sum(size) as bigint) as size, max(mtime) as mtime, cast(sum(n) as bigint) as n_files
+from (select unnest(list_filter(list_transform(range(1, len(string_split(parent,'/'))+1),
+        lambda i: array_to_string(string_split(parent,'/')[1:i], '/')), lambda x: x <> '')) as path, size, mtime, n
+      from (select parent, sum(size) as size, max(mtime) as mtime, count(*) as n from inv group by parent))
+group by path)"""
+
+INV_ENTRIES = """entries as (select parent, name, size, mtime, false as is_directory from inv
+union all select regexp_extract(path, '^(.*)/[^/]*$', 1), regexp_extract(path, '[^/]*$'), size, mtime, true from dirs)"""
+
+# TREE as files + every directory (derived from paths and explicit entries) with its size.
+TREE_ENTRIES = """tfiles as (select path, size from tree where not ends_with(path, '/')),
+tdirs as (select distinct unnest(list_filter(list_transform(
+    range(1, len(string_split(rtrim(path, '/'), '/')) + case when ends_with(path, '/') then 1 else 0 end),
+    lambda i: array_to_string(string_split(rtrim(path, '/'), '/')[1:i], '/')), lambda x: x <> '')) as path from tree),
+tentries as (select path, size, false as is_directory from tfiles
+  union all
+  select d.path, cast(coalesce(sum(f.size), 0) as bigint), true from tdirs d
+  left join tfiles f on starts_with(f.path, d.path || '/') group by d.path)"""

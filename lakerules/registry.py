@@ -274,3 +274,76 @@ def q_hidden_filter(spark, d):
 @query("exclude_path", O.with_(O.INV) + f"select {INV_COLS} from inv where parent||'/'||name <> '/data/click/u1/click_11.zip'")
 def q_exclude_path(spark, d):
     return A.inv(spark, d).filter(K.not_path(C.path_of("parent", "name"), "/data/click/u1/click_11.zip"))
+
+
+# =============================================================================================
+# directories
+# =============================================================================================
+
+from .sources import inventory as I  # noqa: E402
+
+
+def _tree_entries(spark, d):
+    files, dirs = I.paths_to_files(A.tree(spark, d).withColumn("mtime", F.lit(None).cast("timestamp")))
+    return I.entries(files, dirs)
+
+
+def _inv_entries(spark, d):
+    return I.entries(A.inv(spark, d))
+
+
+@query("dir_rollup", O.with_(O.INV, O.INV_DIRS) + "select path, size, mtime, n_files from dirs")
+def q_dir_rollup(spark, d):
+    return I.dir_rollup(A.inv(spark, d))
+
+
+@query("collect_level", O.with_(O.TREE, O.TREE_ENTRIES) + """select regexp_extract(path, '[^/]*$') as name, is_directory, size
+from tentries where regexp_extract(path, '^(.*)/[^/]*$', 1) = '' and not starts_with(regexp_extract(path, '[^/]*$'), '.')""")
+def q_collect_level(spark, d):
+    return I.collect_level(_tree_entries(spark, d), "/").select("name", "is_directory", "size")
+
+
+@query("collect_depth", O.with_(O.TREE, O.TREE_ENTRIES) + """select substr(path, 2) as rel, is_directory, size from tentries
+where len(string_split(substr(path, 2), '/')) <= 2 and not regexp_matches(substr(path, 2), '(^|/)\\.')""")
+def q_collect_depth(spark, d):
+    return I.collect_depth(_tree_entries(spark, d), "/", 2).select("rel", "is_directory", "size")
+
+
+@query("kind_gate", O.with_(O.INV, O.INV_DIRS, O.INV_ENTRIES) + """select parent, name, is_directory, size,
+  is_directory and size > 314572800 as dir_rule_hit, not is_directory and size > 314572800 as file_rule_hit
+from entries where size > 314572800""")
+def q_kind_gate(spark, d):
+    e = _inv_entries(spark, d)
+    big = K.cond_larger("size", "300MB")
+    return (e.select("parent", "name", "is_directory", "size",
+                     (K.kind_gate("is_directory", True) & big).alias("dir_rule_hit"),
+                     (K.kind_gate("is_directory", False) & big).alias("file_rule_hit"))
+            .filter(F.col("dir_rule_hit") | F.col("file_rule_hit")))
+
+
+@query("hidden_prune", O.with_(O.INV, O.INV_DIRS, O.INV_ENTRIES) + """select parent, name, is_directory from entries
+where not regexp_matches(substr(parent || '/' || name, 2), '(^|/)\\.')""")
+def q_hidden_prune(spark, d):
+    e = _inv_entries(spark, d)
+    rel = I.relative_to(C.path_of("parent", "name"), "/")
+    return e.filter(K.no_hidden_component(rel)).select("parent", "name", "is_directory")
+
+
+@query("dir_structure", O.with_(O.TREE) + r""", b as (select '/' || regexp_extract(path, '^/([^/]+)/', 1) as dir,
+  regexp_extract(path, '^/[^/]+/(.*)$', 1) as rel, size from tree where regexp_extract(path, '^/[^/]+/(.*)$', 1) <> ''),
+c as (select dir, rel, string_split(regexp_replace(rel, '/+$', ''), '/') as comps,
+  case when ends_with(rel, '/') then len(string_split(regexp_replace(rel, '/+$', ''), '/'))
+       else len(string_split(regexp_replace(rel, '/+$', ''), '/')) - 1 end as n from b),
+s as (select dir, rel, size, false as is_dir_entry from b where not ends_with(rel, '/')
+  union all
+  select distinct dir, unnest(list_transform(range(1, n + 1), lambda i: array_to_string(comps[1:i], '/') || '/')) as rel,
+    cast(0 as bigint) as size, true as is_dir_entry from c where n >= 1)
+select dir, rel, size, is_dir_entry from s where not regexp_matches(rel, '(^|/)\.')""")
+def q_dir_structure(spark, d):
+    return I.dir_structure(A.tree(spark, d))
+
+
+@query("dir_details", O.with_(O.DIR) + """select dir, rel, max(size) as size, dir || '/' || regexp_replace(rel, '/$', '') as path
+from dirf group by dir, rel""")
+def q_dir_details(spark, d):
+    return I.dir_details(A.dirfiles(spark, d))
