@@ -18,11 +18,11 @@ CLAIM = """claim as (select p_brand as parent, replace(p_name,' ','_')||'.dat' a
 
 MEM = """mem as (select 'conv_'||conv_id||'.zip' as archive,
   case when conv_id%4=0 then 'conv_'||conv_id||'/' else '' end||role||'/t'||turn||'.txt' as member,
-  cast(length(text)+case when conv_id%7=0 then 1 else 0 end as bigint) as size
+  cast(length(text)+case when conv_id%7=0 then 1 else 0 end as bigint) as size, turn as pos
 from conversations where not (conv_id%5=0 and turn=0)
 union all
-select distinct 'conv_'||conv_id||'.zip', case when conv_id%4=0 then 'conv_'||conv_id||'/' else '' end||role||'/', cast(0 as bigint)
-from conversations where conv_id%6=0)"""
+select distinct 'conv_'||conv_id||'.zip', case when conv_id%4=0 then 'conv_'||conv_id||'/' else '' end||role||'/', cast(0 as bigint),
+  cast(-1 as bigint) from conversations where conv_id%6=0)"""
 
 DIR = """dirf as (select 'conv_'||conv_id as dir, role||'/t'||turn||'.txt' as rel, cast(length(text) as bigint) as size
 from conversations where conv_id%3<>1 and not (conv_id%8=0 and turn=1)
@@ -69,3 +69,31 @@ tentries as (select path, size, false as is_directory from tfiles
   union all
   select d.path, cast(coalesce(sum(f.size), 0) as bigint), true from tdirs d
   left join tfiles f on starts_with(f.path, d.path || '/') group by d.path)"""
+
+# Structure diff of MEM (archives) against DIR (directories), step by step.
+_STEM = "substr(regexp_extract({c}, '[^/]*$'), 1, length(regexp_extract({c}, '[^/]*$')) - length(regexp_extract(regexp_extract({c}, '[^/]*$'), '^.+(\\.[^.]+)$', 1)))"
+DIFF = """arcs as (select distinct archive from mem),
+dirs as (select distinct dir from dirf),
+pairs as (select a.archive, d.dir from arcs a join dirs d
+  on regexp_extract(a.archive, '^(.*)/[^/]*$', 1) = regexp_extract(d.dir, '^(.*)/[^/]*$', 1)
+  and """ + _STEM.format(c="a.archive") + """ = regexp_extract(d.dir, '[^/]*$')
+  where regexp_matches(lower(a.archive), '(\\.zip|\\.rar|\\.7z)$')),
+am as (select p.archive, p.dir, m.member, m.size, m.pos, nfc_normalize(m.member) as n,
+  nfc_normalize(""" + _STEM.format(c="p.archive") + """) || '/' as root from mem m join pairs p using (archive)),
+hasdirs as (select archive, dir, bool_or(ends_with(n, '/') and n <> root) as has_dirs from am group by archive, dir),
+aside as (select archive, dir, case when starts_with(n, root) then substr(n, length(root) + 1) else member end as rel,
+  size, pos from am where n <> root),
+a as (select archive, dir, nfc_normalize(rel) as rel, arg_max(size, pos) as archive_size, count(*) as copies
+  from aside group by archive, dir, nfc_normalize(rel)),
+dside as (select p.archive, p.dir, f.rel, f.size from dirf f join pairs p using (dir) left join hasdirs h using (archive, dir)
+  where (coalesce(h.has_dirs, false) or not ends_with(f.rel, '/')) and not regexp_matches(f.rel, '(^|/)\\.')),
+d as (select archive, dir, nfc_normalize(rel) as rel, arg_max(size, rel) as dir_size from dside
+  group by archive, dir, nfc_normalize(rel)),
+cmp as (select coalesce(a.archive, d.archive) as archive, coalesce(a.dir, d.dir) as dir, coalesce(a.rel, d.rel) as rel,
+  case when a.rel is null then 'extra' when d.rel is null then 'missing'
+       when a.archive_size <> d.dir_size then 'size_mismatch' else 'same' end as kind,
+  a.archive_size, d.dir_size
+  from a full outer join d on a.archive = d.archive and a.dir = d.dir and a.rel = d.rel),
+diffs as (select * from cmp where kind <> 'same'),
+ident as (select p.archive, p.dir, cast(coalesce(n.n, 0) as bigint) as n_differences, coalesce(n.n, 0) = 0 as identical
+  from pairs p left join (select archive, dir, count(*) as n from diffs group by archive, dir) n using (archive, dir))"""

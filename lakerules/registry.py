@@ -347,3 +347,121 @@ def q_dir_structure(spark, d):
 from dirf group by dir, rel""")
 def q_dir_details(spark, d):
     return I.dir_details(A.dirfiles(spark, d))
+
+
+# =============================================================================================
+# Archive vs. directory
+# =============================================================================================
+
+from .operators import diff as D  # noqa: E402
+
+_DIFF_SQL = O.with_(O.MEM, O.DIR, O.DIFF)
+
+
+def _sides(spark, d):
+    return D.sides(A.mem(spark, d), A.dirfiles(spark, d))
+
+
+@query("pair_archives", _DIFF_SQL + "select archive, dir from pairs")
+def q_pair_archives(spark, d):
+    return D.pair_archives(A.mem(spark, d), A.dirfiles(spark, d))
+
+
+@query("strip_root", _DIFF_SQL + "select archive, dir, rel, size, pos from aside")
+def q_strip_root(spark, d):
+    m = A.mem(spark, d)
+    pairs = D.pair_archives(m, A.dirfiles(spark, d))
+    return D.archive_side(m, pairs).select("archive", "dir", "rel", "size", "pos")
+
+
+@query("dir_entry_rule", _DIFF_SQL + "select archive, dir, rel, size from dside")
+def q_dir_entry_rule(spark, d):
+    m, f = A.mem(spark, d), A.dirfiles(spark, d)
+    pairs = D.pair_archives(m, f)
+    return D.dir_side(f, pairs, D.has_dirs(m, pairs))
+
+
+@query("dedupe_members", _DIFF_SQL + "select archive, dir, rel, archive_size, copies from a")
+def q_dedupe_members(spark, d):
+    m = A.mem(spark, d)
+    pairs = D.pair_archives(m, A.dirfiles(spark, d))
+    return D.dedupe_archive(D.archive_side(m, pairs))
+
+
+@query("structure_diff", _DIFF_SQL + "select archive, dir, rel, kind, archive_size, dir_size from diffs")
+def q_structure_diff(spark, d):
+    return D.structure_diff(A.mem(spark, d), A.dirfiles(spark, d))
+
+
+@query("diff_missing", _DIFF_SQL + "select archive, dir, rel, archive_size from cmp where kind = 'missing'")
+def q_diff_missing(spark, d):
+    _, a, dd = _sides(spark, d)
+    return D.diff_missing(a, dd)
+
+
+@query("diff_extra", _DIFF_SQL + "select archive, dir, rel, dir_size from cmp where kind = 'extra'")
+def q_diff_extra(spark, d):
+    _, a, dd = _sides(spark, d)
+    return D.diff_extra(a, dd)
+
+
+@query("diff_size", _DIFF_SQL + "select archive, dir, rel, archive_size, dir_size from cmp where kind = 'size_mismatch'")
+def q_diff_size(spark, d):
+    _, a, dd = _sides(spark, d)
+    return D.diff_size(a, dd)
+
+
+@query("set_missing", _DIFF_SQL + "select archive, dir, rel from a except select archive, dir, rel from d")
+def q_set_missing(spark, d):
+    _, a, dd = _sides(spark, d)
+    return a.select(*D.KEY).subtract(dd.select(*D.KEY))
+
+
+@query("set_extra", _DIFF_SQL + "select archive, dir, rel from d except select archive, dir, rel from a")
+def q_set_extra(spark, d):
+    _, a, dd = _sides(spark, d)
+    return dd.select(*D.KEY).subtract(a.select(*D.KEY))
+
+
+@query("set_common", _DIFF_SQL + "select archive, dir, rel from a intersect select archive, dir, rel from d")
+def q_set_common(spark, d):
+    _, a, dd = _sides(spark, d)
+    return a.select(*D.KEY).intersect(dd.select(*D.KEY))
+
+
+def _ident(spark, d):
+    m, f = A.mem(spark, d), A.dirfiles(spark, d)
+    pairs, a, dd = D.sides(m, f)
+    return D.identical_pairs(pairs, D.compare(a, dd).filter(F.col("kind") != "same"))
+
+
+@query("identical_pairs", _DIFF_SQL + "select archive, dir, n_differences, identical from ident")
+def q_identical_pairs(spark, d):
+    return _ident(spark, d)
+
+
+@query("diff_summary", _DIFF_SQL + """select count(*) as total, count_if(identical) as identical,
+  count(*) - count_if(identical) as different,
+  coalesce(count_if(identical) * 100.0 / nullif(count(*), 0), 0.0) as identical_pct from ident""")
+def q_diff_summary(spark, d):
+    return D.diff_summary(_ident(spark, d))
+
+
+_MSG_SQL = """case kind when 'missing' then 'Missing in directory: ' || rel when 'extra' then 'Extra in directory: ' || rel
+  else 'Size mismatch for ' || rel || ': archive=' || archive_size || ', directory=' || dir_size end"""
+_RANK_SQL = "case kind when 'missing' then 0 when 'extra' then 1 else 2 end"
+
+
+@query("diff_messages", _DIFF_SQL + f"select archive, dir, {_RANK_SQL} as kind_rank, rel, {_MSG_SQL} as message from diffs")
+def q_diff_messages(spark, d):
+    return D.diff_messages(D.structure_diff(A.mem(spark, d), A.dirfiles(spark, d)))
+
+
+@query("top_differences", _DIFF_SQL + f"""select archive, dir, line, message from (
+  select archive, dir, row_number() over (partition by archive, dir order by {_RANK_SQL}, rel) as line, {_MSG_SQL} as message
+  from diffs) where line <= 5
+union all
+select archive, dir, 6 as line, '... and ' || (count(*) - 5) || ' more differences' as message from diffs
+group by archive, dir having count(*) > 5""")
+def q_top_differences(spark, d):
+    return D.top_differences(D.structure_diff(A.mem(spark, d), A.dirfiles(spark, d)), 5)

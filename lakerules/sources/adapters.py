@@ -63,17 +63,19 @@ def claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MEM: conversations as archive members (root prefix, missing turns, wrong sizes, dir entries)."""
+    """MEM: conversations as archive members (root prefix, missing turns, wrong sizes, dir entries);
+    ``pos`` is the member's place in the archive (directory entries first)."""
     c = table(spark, sf_dir, "conversations")
     root = F.when(c.conv_id % 4 == 0, F.concat(F.lit("conv_"), _s(c.conv_id), F.lit("/"))).otherwise("")
     archive = F.concat(F.lit("conv_"), _s(c.conv_id), F.lit(".zip"))
     files = (c.filter(~((c.conv_id % 5 == 0) & (c.turn == 0)))
              .select(archive.alias("archive"),
                      F.concat(root, c.role, F.lit("/t"), _s(c.turn), F.lit(".txt")).alias("member"),
-                     (F.length(c.text) + F.when(c.conv_id % 7 == 0, 1).otherwise(0)).cast("bigint").alias("size")))
+                     (F.length(c.text) + F.when(c.conv_id % 7 == 0, 1).otherwise(0)).cast("bigint").alias("size"),
+                     c.turn.alias("pos")))
     dirs = (c.filter(c.conv_id % 6 == 0)
             .select(archive.alias("archive"), F.concat(root, c.role, F.lit("/")).alias("member"),
-                    F.lit(0).cast("bigint").alias("size")).distinct())
+                    F.lit(0).cast("bigint").alias("size"), F.lit(-1).cast("bigint").alias("pos")).distinct())
     return files.unionByName(dirs)
 
 
