@@ -465,3 +465,223 @@ select archive, dir, 6 as line, '... and ' || (count(*) - 5) || ' more differenc
 group by archive, dir having count(*) > 5""")
 def q_top_differences(spark, d):
     return D.top_differences(D.structure_diff(A.mem(spark, d), A.dirfiles(spark, d)), 5)
+
+
+# =============================================================================================
+# plans
+# =============================================================================================
+
+from .functions.rules import to_rules  # noqa: E402
+from .operators.naming import resolve_names  # noqa: E402
+from .plans import actions as P  # noqa: E402
+from .plans import decisions as Dc  # noqa: E402
+
+
+@query("conflict_names", O.with_(O.CLAIM) + r""", occ as (select distinct parent, name from claim where seq % 4 = 0),
+cl as (select seq, parent, name, row_number() over (partition by parent, name order by seq) as k from claim where seq % 4 <> 0),
+j as (select cl.*, cl.k - 1 + case when o.name is null then 0 else 1 end as slot,
+  regexp_extract(cl.name, '^.+(\.[^.]+)$', 1) as suffix from cl left join occ o using (parent, name))
+select seq, parent, name, case when slot = 0 then name
+  else substr(name, 1, length(name) - length(suffix)) || '_' || slot || suffix end as final_name from j""")
+def q_conflict_names(spark, d):
+    c = A.claim(spark, d)
+    claims = c.filter(F.col("seq") % 4 != 0).select(F.col("seq").alias("claim_id"), "seq",
+                                                     F.col("parent").alias("dir"), "name")
+    occ = c.filter(F.col("seq") % 4 == 0).select(F.col("parent").alias("dir"), "name")
+    names = resolve_names(claims, occ)
+    return (c.filter(F.col("seq") % 4 != 0).join(names.withColumnRenamed("claim_id", "seq"), "seq")
+            .select("seq", "parent", "name", "final_name"))
+
+
+def _visible_inv(spark, d):
+    return A.inv(spark, d).filter(K.not_hidden("name"))
+
+
+def _inv_plan(spark, d, rules=None, mode=Dc.AUTOMATIC, always_delete=True, approved=None, custom=None):
+    rules = rules or INV_RULES
+    inv = _visible_inv(spark, d)
+    matched = M.match_rules(inv, rules, INV_AS_OF)
+    occupied = I.entries(A.inv(spark, d)).select("parent", "name")
+    return P.plan_actions(matched, rules, occupied, mode=mode, always_delete=always_delete,
+                          approved=approved, custom=custom)
+
+
+_SUFFIX = r"regexp_extract(name, '^.+(\.[^.]+)$', 1)"
+_INV_PLAN_BODY = f""", m as (select *, cast({INV_RULES_SQL} as integer) as rule_idx from inv
+  where not starts_with(name, '.')),
+p as (select seq, parent || '/' || name as path, parent, name, is_directory, rule_idx,
+  case rule_idx when 0 then 'delete' when 1 then 'move' when 2 then 'compress' when 3 then 'compress'
+    when 4 then 'move' when 5 then 'move' when 6 then 'compress' when 7 then 'delete' end as action_type,
+  case rule_idx when 1 then parent || '/archives' when 2 then parent || '/packed' when 3 then '/archive/errors'
+    when 4 then parent || '/csv' when 5 then parent when 6 then parent || '/dirs' end as target_dir,
+  lower({_SUFFIX}) in ('.zip', '.rar', '.7z', '.tar', '.gz', '.bz2') and not is_directory as compressed,
+  substr(name, 1, length(name) - length({_SUFFIX})) as stem
+  from m where rule_idx is not null),
+plan as (select seq, path, parent, name, is_directory, rule_idx, action_type, target_dir,
+  case when action_type = 'move' and target_dir = parent then path
+       when action_type = 'move' then target_dir || '/' || name
+       when action_type = 'compress' and compressed then null
+       when action_type = 'compress' then target_dir || '/' || case when is_directory then name else stem end || '.zip'
+  end as final_path,
+  case when action_type = 'move' and target_dir = parent then 'unchanged'
+       when action_type = 'compress' and compressed then 'skipped_archive' else 'planned' end as status
+  from p)
+"""
+_INV_PLAN_SQL = O.with_(O.INV) + _INV_PLAN_BODY
+_PLAN_COLS_SQL = "seq, path, parent, name, is_directory, rule_idx, action_type, target_dir, final_path, status"
+
+
+@query("plan_move", _INV_PLAN_SQL + f"select {_PLAN_COLS_SQL}, status in ('planned', 'unchanged') as decision from plan where action_type = 'move'")
+def q_plan_move(spark, d):
+    return _inv_plan(spark, d).filter(F.col("action_type") == "move")
+
+
+@query("plan_delete", _INV_PLAN_SQL + f"select {_PLAN_COLS_SQL}, true as decision from plan where action_type = 'delete'")
+def q_plan_delete(spark, d):
+    return _inv_plan(spark, d).filter(F.col("action_type") == "delete")
+
+
+@query("plan_compress", _INV_PLAN_SQL + f"select {_PLAN_COLS_SQL}, status = 'planned' as decision from plan where action_type = 'compress'")
+def q_plan_compress(spark, d):
+    return _inv_plan(spark, d).filter(F.col("action_type") == "compress")
+
+
+# Rules that exercise every plan status (fixed values).
+STATUS_RULES = [
+    {"name": "shred csv", "conditions": {"end": ".csv"}, "action": {"type": "shred"}},
+    {"name": "move logs nowhere", "conditions": {"end": ".log"}, "action": {"type": "move"}},
+    {"name": "pack zips", "conditions": {"end": ".zip"}, "action": {"type": "compress", "target": "z"}},
+    {"name": "stay", "conditions": {"start": "click"}, "action": {"type": "move", "target": "."}},
+    {"name": "no action", "conditions": {"start": "view"}, "action": {}},
+    {"name": "pack the rest", "conditions": {"larger": "100MB"}, "action": {"type": "compress", "target": "big"}},
+]
+
+
+@query("plan_status", O.with_(O.INV) + r"""select seq, rule_idx,
+  case rule_idx when 0 then 'shred' when 1 then 'move' when 2 then 'compress' when 3 then 'move'
+    when 5 then 'compress' end as action_type,
+  case when rule_idx in (0, 4) then 'invalid_action' when rule_idx = 1 then 'missing_target'
+       when rule_idx = 2 then 'skipped_archive' when rule_idx = 3 then 'unchanged'
+       when rule_idx = 5 and lower(regexp_extract(name, '^.+(\.[^.]+)$', 1)) in ('.zip','.rar','.7z','.tar','.gz','.bz2')
+         then 'skipped_archive'
+       else 'planned' end as status
+from (select *, case when ends_with(lower(name), '.csv') then 0 when ends_with(lower(name), '.log') then 1
+  when ends_with(lower(name), '.zip') then 2 when starts_with(lower(name), 'click') then 3
+  when starts_with(lower(name), 'view') then 4 when size > 104857600 then 5 end as rule_idx
+  from inv where not starts_with(name, '.')) where rule_idx is not null""")
+def q_plan_status(spark, d):
+    return _inv_plan(spark, d, STATUS_RULES).select("seq", "rule_idx", "action_type", "status")
+
+
+@query("run_stats", O.with_(O.INV) + f"""select count(*) as total_files,
+  count_if(rule_idx is not null) as processed_files, count_if(rule_idx is null) as skipped_files,
+  cast(0 as bigint) as errors from (select {INV_RULES_SQL} as rule_idx from inv where not starts_with(name, '.'))""")
+def q_run_stats(spark, d):
+    return P.run_stats(M.match_rules(_visible_inv(spark, d), INV_RULES, INV_AS_OF))
+
+
+@query("organize", _INV_PLAN_SQL + f"select {_PLAN_COLS_SQL}, status in ('planned', 'unchanged') as decision from plan")
+def q_organize(spark, d):
+    return _inv_plan(spark, d)
+
+
+@query("survivors", _INV_PLAN_SQL + f"""select {INV_COLS} from inv
+where seq not in (select seq from plan where action_type = 'delete' and status = 'planned')""")
+def q_survivors(spark, d):
+    return P.survivors(A.inv(spark, d), _inv_plan(spark, d))
+
+
+@query("route_by_rule", O.with_(O.INV) + f"""select {INV_COLS}, rule_idx,
+  case rule_idx when 0 then 'old logs' when 1 then 'big zips' when 2 then 'upper tmp' when 3 then 'recent errors'
+    when 4 then 'small csv' when 5 then 'signups' when 6 then 'big dirs' when 7 then 'purchases' else '_unmatched' end as route
+from (select *, cast({INV_RULES_SQL} as integer) as rule_idx from inv)""")
+def q_route_by_rule(spark, d):
+    return P.route(M.match_rules(A.inv(spark, d), INV_RULES, INV_AS_OF), INV_RULES)
+
+
+# Directory rules for the page tree, organised at the root: every host is a directory entry.
+TREE_RULES = [
+    {"name": "drop mobile", "is_directory": True, "conditions": {"start": "m."}, "action": {"type": "delete"}},
+    {"name": "pack blogs", "is_directory": True, "conditions": {"start": "blog."},
+     "action": {"type": "compress", "target": "packed"}},
+    {"name": "org sites", "is_directory": True, "conditions": {"end": ".org"}, "action": {"type": "move", "target": "org"}},
+    {"name": "big net", "is_directory": True, "conditions": {"contain": ".net", "larger": "50KB"},
+     "action": {"type": "move", "target": "/net"}},
+]
+
+_TREE_PLAN_SQL = O.with_(O.TREE, O.TREE_ENTRIES) + """, top as (select path, regexp_extract(path, '[^/]*$') as name, size
+  from tentries where is_directory and regexp_extract(path, '^(.*)/[^/]*$', 1) = ''),
+tp as (select name, case when starts_with(lower(name), 'm.') then 'delete' when starts_with(lower(name), 'blog.') then 'compress'
+    when ends_with(lower(name), '.org') then 'move' when contains(lower(name), '.net') and size > 51200 then 'move' end as action_type,
+  case when starts_with(lower(name), 'm.') then null when starts_with(lower(name), 'blog.') then '/packed/' || name || '.zip'
+    when ends_with(lower(name), '.org') then '/org/' || name when contains(lower(name), '.net') and size > 51200 then '/net/' || name
+  end as final_path from top),
+tf as (select path, size, regexp_extract(path, '^/([^/]+)/', 1) as host from tfiles)
+"""
+
+
+def _tree_plan(spark, d):
+    files, dirs = I.paths_to_files(A.tree(spark, d).withColumn("mtime", F.lit(None).cast("timestamp")))
+    entries = I.entries(files, dirs)
+    level = I.collect_level(entries, "/", include_hidden=True)
+    matched = M.match_rules(level, TREE_RULES, INV_AS_OF)
+    plan = P.plan_actions(matched, TREE_RULES, entries.select("parent", "name"), mode=Dc.AUTOMATIC, always_delete=True)
+    return files, dirs, plan
+
+
+@query("after_state", _TREE_PLAN_SQL + """select case when tp.action_type = 'move' then tp.final_path || substr(tf.path, length(tf.host) + 2)
+  else tf.path end as path, tf.size, cast(null as timestamp) as mtime, false as is_directory
+from tf left join tp on tf.host = tp.name where tp.action_type is null or tp.action_type = 'move'
+union all
+select final_path, cast(null as bigint), cast(null as timestamp), false from tp where action_type = 'compress'""")
+def q_after_state(spark, d):
+    files, _, plan = _tree_plan(spark, d)
+    return P.after_state(files, plan, base="/")
+
+
+@query("pack_layout", _TREE_PLAN_SQL + """, ed as (select d.path from tdirs d where not exists (select 1 from tree t
+    where starts_with(t.path, d.path || '/') and t.path <> d.path || '/'))
+select tp.final_path as archive, substr(tf.path, 2) as member, tf.size from tf join tp on tf.host = tp.name
+where tp.action_type = 'compress'
+union all
+select tp.final_path, substr(ed.path, 2) || '/', cast(0 as bigint) from ed
+join tp on regexp_extract(ed.path, '^/([^/]+)/', 1) = tp.name where tp.action_type = 'compress'""")
+def q_pack_layout(spark, d):
+    files, dirs, plan = _tree_plan(spark, d)
+    return P.pack_layout(files, plan, base="/", known_dirs=dirs)
+
+
+@query("approvals", O.with_(O.APPR) + """, a as (select id, key, case when trim(lower(resp)) = '' then 'y' else trim(lower(resp)) end as resp from appr),
+s as (select key, arg_min(resp, id) as sticky_resp, min(id) as sticky_id from a where resp in ('a', 'never') group by key)
+select a.id, a.key, a.resp, coalesce(a.id > s.sticky_id, false) as sticky,
+  case when coalesce(a.id > s.sticky_id, false) then s.sticky_resp = 'a' else a.resp in ('y', 'a') end as approved
+from a left join s using (key)""")
+def q_approvals(spark, d):
+    ap = A.appr(spark, d)
+    return Dc.approvals(ap.select("id", "key"), ap.select("id", "resp"))
+
+
+@query("decisions", O.with_(O.APPR, O.INV) + _INV_PLAN_BODY + """, ans as (select id, case when resp = '' then 'y' else resp end as resp from appr),
+pr as (select p.seq, p.rule_idx, ans.resp from plan p left join ans on ans.id = p.seq where p.action_type = 'delete'),
+st as (select rule_idx, arg_min(resp, seq) as sticky_resp, min(seq) as sticky_id from pr where resp in ('a', 'never') group by rule_idx),
+ap as (select pr.seq, case when coalesce(pr.seq > st.sticky_id, false) then st.sticky_resp = 'a'
+  else coalesce(pr.resp in ('y', 'a'), false) end as approved from pr left join st using (rule_idx))
+select plan.seq, plan.action_type, plan.status,
+  false as dry_run,
+  status in ('planned', 'unchanged') and action_type <> 'delete' as automatic,
+  status in ('planned', 'unchanged') as automatic_always,
+  status in ('planned', 'unchanged') and (action_type <> 'delete' or coalesce(ap.approved, false)) as interactive
+from plan left join ap using (seq)""")
+def q_decisions(spark, d):
+    ap = A.appr(spark, d)
+    base = _inv_plan(spark, d, mode=Dc.DRY_RUN)
+    # interactive: delete prompts are keyed by rule (M7), answered by the answers table
+    prompts = base.filter(F.col("action_type") == "delete").select(F.col("seq").alias("id"), F.col("rule_idx").alias("key"))
+    appr = Dc.approvals(prompts, ap.select("id", "resp")).select(F.col("id").alias("seq"), "approved")
+    ok = F.col("status").isin(P.PLANNED, P.UNCHANGED)
+    return (base.join(appr, "seq", "left")
+            .select("seq", "action_type", "status",
+                    (ok & Dc.decide("action_type", Dc.DRY_RUN)).alias("dry_run"),
+                    (ok & Dc.decide("action_type", Dc.AUTOMATIC, False)).alias("automatic"),
+                    (ok & Dc.decide("action_type", Dc.AUTOMATIC, True)).alias("automatic_always"),
+                    (ok & Dc.decide("action_type", Dc.INTERACTIVE, approved=F.col("approved"))).alias("interactive")))
