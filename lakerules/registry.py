@@ -685,3 +685,223 @@ def q_decisions(spark, d):
                     (ok & Dc.decide("action_type", Dc.AUTOMATIC, False)).alias("automatic"),
                     (ok & Dc.decide("action_type", Dc.AUTOMATIC, True)).alias("automatic_always"),
                     (ok & Dc.decide("action_type", Dc.INTERACTIVE, approved=F.col("approved"))).alias("interactive")))
+
+
+# =============================================================================================
+# Clean-up of unpacked directories; J6/A7: matching inside archives
+# =============================================================================================
+
+from .plans import cleanup as Cl  # noqa: E402
+
+CONV_ROOT = "/data/conv"
+
+
+@query("cleanup_plan", _DIFF_SQL + """select archive, dir, n_differences, identical, false as has_hidden,
+  identical as decision, case when identical then 'removed' else 'different' end as status, identical as removes from ident""")
+def q_cleanup_plan(spark, d):
+    compared = Cl.compared_pairs(A.mem(spark, d), A.dirfiles(spark, d))
+    return Cl.cleanup_plan(compared, Dc.cleanup_mode(always_delete=True), always_delete=True)
+
+
+def _mem_with_7z(spark, d):
+    m = A.mem(spark, d)
+    num = F.split_part(F.split_part("archive", F.lit("_"), F.lit(2)), F.lit("."), F.lit(1)).cast("int")
+    extra = m.filter(num % 9 == 0).withColumn("archive", F.regexp_replace("archive", r"\.zip$", ".7z"))
+    return m.unionByName(extra)
+
+
+_MEM7 = O.MEM.replace("mem as (", "mem0 as (", 1) + """,
+mem as (select * from mem0 union all
+  select replace(archive, '.zip', '.7z'), member, size, pos from mem0
+  where cast(split_part(split_part(archive, '_', 2), '.', 1) as int) % 9 = 0)"""
+
+
+@query("cleanup_order", O.with_(_MEM7, O.DIR, O.DIFF) + """, r as (select *, min(case when identical then archive end)
+  over (partition by dir) as removed_by from ident)
+select archive, dir, n_differences, identical, false as has_hidden, identical as decision,
+  case when archive = removed_by then 'removed' when removed_by is not null and archive > removed_by then 'gone'
+       when identical then 'kept' else 'different' end as status, coalesce(archive = removed_by, false) as removes from r""")
+def q_cleanup_order(spark, d):
+    compared = Cl.compared_pairs(_mem_with_7z(spark, d), A.dirfiles(spark, d))
+    return Cl.cleanup_plan(compared, Dc.AUTOMATIC, always_delete=True)
+
+
+# Organise the conversation archives (fixed rule): move them away, clean up identical unpacked copies.
+CONV_RULES = [
+    {"name": "archive conversations", "conditions": {"start": "conv_", "end": ".zip"},
+     "action": {"type": "move", "target": "archived"}, "delete_unpacked_on_match": True},
+]
+
+
+@query("cleanup_unpacked", _DIFF_SQL + f"""select '{CONV_ROOT}/' || archive as archive,
+  '{CONV_ROOT}/archived/' || archive as final_path, '{CONV_ROOT}/' || dir as dir, identical, identical as decision,
+  case when identical then 'removed' else 'different' end as status from ident""")
+def q_cleanup_unpacked(spark, d):
+    members = Cl.world_members(A.mem(spark, d), CONV_ROOT)
+    dirfiles = Cl.world_dirs(A.dirfiles(spark, d), CONV_ROOT)
+    entries = Cl.archive_rows(members).unionByName(
+        dirfiles.select("dir").distinct().select(C.parent_of("dir").alias("parent"), C.name_of("dir").alias("name"),
+                                                 F.lit(0).cast("bigint").alias("size"),
+                                                 F.lit(None).cast("timestamp").alias("mtime"),
+                                                 F.lit(True).alias("is_directory"), F.xxhash64("dir").alias("seq")))
+    matched = M.match_rules(entries, CONV_RULES, INV_AS_OF)
+    occupied = entries.select("parent", "name").unionByName(Cl.dir_rows(dirfiles).select("parent", "name"))
+    plan = P.plan_actions(matched, CONV_RULES, occupied, mode=Dc.AUTOMATIC, always_delete=True)
+    return Cl.cleanup_unpacked(plan, CONV_RULES, members, dirfiles, Dc.AUTOMATIC, always_delete=True)
+
+
+# Rules that look inside archives (fixed values).
+ARCHIVE_RULES = [
+    {"name": "long assistant turns", "conditions": {"contain": "assistant/t", "larger": "300B"},
+     "check_archive": True, "action": {"type": "move", "target": "long"}},
+    {"name": "has user folder", "conditions": {"end": "user/"}, "check_archive": True,
+     "action": {"type": "move", "target": "with_dirs"}},
+    {"name": "zips", "conditions": {"end": ".zip"}, "action": {"type": "compress", "target": "z"}},
+]
+
+
+@query("match_in_archive", O.with_(O.INV, O.MEM) + f""", world as (select parent, name, size, is_directory from inv
+  union all select '{CONV_ROOT}', archive, cast(sum(size) as bigint), false from mem group by archive)
+select w.parent, w.name, w.size, cast(case
+  when not w.is_directory and ((contains(lower(w.name), 'assistant/t') and w.size > 300) or (regexp_matches(lower(w.name), '(\\.zip|\\.rar|\\.7z)$')
+    and exists (select 1 from mem m where '{CONV_ROOT}/' || m.archive = w.parent || '/' || w.name
+                and contains(lower(m.member), 'assistant/t') and m.size > 300))) then 0
+  when not w.is_directory and (ends_with(lower(w.name), 'user/') or (regexp_matches(lower(w.name), '(\\.zip|\\.rar|\\.7z)$')
+    and exists (select 1 from mem m where '{CONV_ROOT}/' || m.archive = w.parent || '/' || w.name
+                and ends_with(lower(m.member), 'user/')))) then 1
+  when not w.is_directory and ends_with(lower(w.name), '.zip') then 2 end as integer) as rule_idx from world w""")
+def q_match_in_archive(spark, d):
+    members = Cl.world_members(A.mem(spark, d), CONV_ROOT)
+    world = A.inv(spark, d).drop("seq").unionByName(Cl.archive_rows(members).drop("seq"))
+    return M.match_rules(world, ARCHIVE_RULES, INV_AS_OF, members=members).select("parent", "name", "size", "rule_idx")
+
+
+# =============================================================================================
+# Rule catalogs and extensions
+# =============================================================================================
+
+from .operators import catalog as Ca  # noqa: E402
+
+
+@query("rules_flat", O.with_(O.RULES) + """select ruleset, rule_idx, first(name) filter (where name is not null) as name,
+  array_to_string(list_sort(list(cond_key)), ',') as condition_keys, cast(count(cond_key) as integer) as n_conditions,
+  first(action_type) filter (where action_type is not null) as action_type,
+  first(target) filter (where target is not null) as target from rules group by ruleset, rule_idx""")
+def q_rules_flat(spark, d):
+    f = Ca.rules_flat(A.rules_rows(spark, d))
+    return f.select("ruleset", "rule_idx", "name", F.array_join(F.sort_array(F.map_keys("conditions")), ",").alias("condition_keys"),
+                    F.size("conditions").alias("n_conditions"), "action_type", "target")
+
+
+_CHECKS_SQL = O.with_(O.RULES) + r""", flat as (select ruleset, rule_idx, first(name) filter (where name is not null) as name,
+  count(cond_key) as n_cond, first(action_type) filter (where action_type is not null) as action_type,
+  first(target) filter (where target is not null) as target from rules group by ruleset, rule_idx),
+checks as (
+  select ruleset, rule_idx, name, 'V5' as "check", 'name cannot be empty' as detail from flat where trim(name) = ''
+  union all select ruleset, rule_idx, name, 'V6', 'name too long (' || length(name) || ' chars)' from flat where length(name) > 200
+  union all select ruleset, rule_idx, name, 'V9', 'rule has no condition' from flat where n_cond = 0
+  union all select ruleset, rule_idx, name, 'V15', 'rule has no action' from flat where action_type is null and target is null
+  union all select ruleset, rule_idx, name, 'V17', 'action has no type' from flat where coalesce(action_type, '') = '' and target is not null
+  union all select ruleset, rule_idx, name, 'V18', 'unknown action type ''' || action_type || '''' from flat
+    where coalesce(action_type, '') <> '' and action_type not in ('move', 'delete', 'compress')
+  union all select ruleset, rule_idx, name, 'V19', '''' || action_type || ''' needs a target' from flat
+    where action_type in ('move', 'compress') and coalesce(target, '') = ''
+  union all select ruleset, rule_idx, name, 'V21', 'target path looks unsafe' from flat
+    where target <> '' and (starts_with(target, '..') or list_contains(string_split(target, '/'), '....')
+                            or list_contains(string_split(target, '/'), '../../../..'))
+  union all select ruleset, rule_idx, name, 'V10', 'unknown condition ''' || cond_key || '''' from rules
+    where cond_key is not null and cond_key not in ('start', 'end', 'contain', 'regex', 'larger', 'smaller', 'older', 'newer')
+  union all select ruleset, rule_idx, name, 'V11', 'condition ''' || cond_key || ''' is empty' from rules
+    where cond_key in ('start', 'end', 'contain', 'regex', 'larger', 'smaller', 'older', 'newer') and coalesce(cond_value, '') = ''
+  union all select ruleset, rule_idx, name, 'V12', 'bad size ''' || cond_value || ''' for ''' || cond_key || '''' from rules
+    where cond_key in ('larger', 'smaller') and coalesce(cond_value, '') <> ''
+      and not regexp_full_match(trim(cond_value), '(\d+(\.\d+)?)\s*([KMG]?B?)?', 'i')
+  union all select ruleset, rule_idx, name, 'V13', 'bad duration ''' || cond_value || ''' for ''' || cond_key || '''' from rules
+    where cond_key in ('older', 'newer') and coalesce(cond_value, '') <> ''
+      and not regexp_full_match(trim(cond_value), '(\d+(\.\d+)?)\s*([smhdw])?', 'i'))
+"""
+_CHECKS_SELECT = """select ruleset, rule_idx + 1 as rule_num,
+  case when length(trim(coalesce(name, ''))) > 0 then name else '#' || (rule_idx + 1) end as rule_id, "check", detail from checks"""
+
+
+@query("rule_checks", _CHECKS_SQL + _CHECKS_SELECT)
+def q_rule_checks(spark, d):
+    return Ca.rule_checks(A.rules_rows(spark, d))
+
+
+@query("rule_check_counts", _CHECKS_SQL + """select s.ruleset, cast(count(c.ruleset) as bigint) as n_errors
+from (select distinct ruleset from rules) s left join checks c using (ruleset) group by s.ruleset""")
+def q_rule_check_counts(spark, d):
+    rows = A.rules_rows(spark, d)
+    return Ca.rule_check_counts(Ca.rule_checks(rows), rows)
+
+
+@query("custom_check", _CHECKS_SQL.replace("checks as (", "checks as (select ruleset, rule_idx, name, 'unnamed' as \"check\", "
+                                           "'failed check ''unnamed''' as detail from flat where name is null union all ", 1)
+       + _CHECKS_SELECT)
+def q_custom_check(spark, d):
+    return Ca.rule_checks(A.rules_rows(spark, d), extra=[("unnamed", lambda flat: F.col("name").isNull())])
+
+
+def _tag_action(plan, name):
+    """A user action: tag the entry in place (final path = path + '.tagged')."""
+    mine = F.col("action_type") == name
+    return (plan.withColumn("final_path", F.when(mine, F.concat(F.col("path"), F.lit(".tagged"))).otherwise(F.col("final_path"))))
+
+
+TAG_RULES = [dict(r) for r in INV_RULES[:7]] + [
+    {"name": "purchases", "conditions": {"start": "purchase"}, "action": {"type": "tag", "target": "tagged"}}]
+
+
+@query("custom_action", O.with_(O.INV) + f"""select seq, parent || '/' || name as path, 'tag' as action_type,
+  parent || '/' || name || '.tagged' as final_path, 'planned' as status, true as decision
+from (select *, {INV_RULES_SQL} as rule_idx from inv where not starts_with(name, '.')) where rule_idx = 7""")
+def q_custom_action(spark, d):
+    custom = P.register_actions({"tag": _tag_action})
+    plan = _inv_plan(spark, d, rules=TAG_RULES, custom=custom)
+    return plan.filter(F.col("action_type") == "tag").select("seq", "path", "action_type", "final_path", "status", "decision")
+
+
+# =============================================================================================
+# Archives as bytes; T1: streaming
+# =============================================================================================
+
+from .sources import archives as Ar  # noqa: E402
+
+
+def _tree_pack_rows(spark, d, suffix=".zip"):
+    files, dirs, plan = _tree_plan(spark, d)
+    layout = P.pack_layout(files, plan, base="/", known_dirs=dirs)
+    pages = A.tree(spark, d).join(A.table(spark, d, "pages").select(F.col("page_id").alias("seq"), "html"), "seq")
+    content = pages.select(F.substring("path", 2, 1 << 30).alias("member"), F.encode("html", "UTF-8").alias("content"))
+    rows = layout.join(content, "member", "left").select("archive", "member", "content")
+    return rows.withColumn("archive", F.regexp_replace("archive", r"\.zip$", suffix))
+
+
+_LAYOUT_SQL = ORACLE["pack_layout"]
+
+
+@query("pack_groups")
+def q_pack_groups(spark, d):
+    return Ar.pack_groups(_tree_pack_rows(spark, d))
+
+
+@query("archive_members", "select archive, member from (" + _LAYOUT_SQL + ")")
+def q_archive_members(spark, d):
+    packed = Ar.pack_groups(_tree_pack_rows(spark, d))
+    return Ar.list_members(packed).select("archive", "member")
+
+
+@query("custom_reader", "select replace(archive, '.zip', '.tar') as archive, member from (" + _LAYOUT_SQL + ")")
+def q_custom_reader(spark, d):
+    packed = Ar.pack_groups(_tree_pack_rows(spark, d, ".tar"), fmt="tar")
+    return Ar.list_members(packed, readers=Ar.default_readers() + [(".tar", Ar.read_tar)]).select("archive", "member")
+
+
+from .streaming.match_stream import match_stream  # noqa: E402
+
+
+@query("match_stream", ORACLE["match_rules"])
+def q_match_stream(spark, d):
+    schema = A.table(spark, d, "events").schema
+    return match_stream(spark, d, schema, A.inv_from_events, INV_RULES, INV_AS_OF, glob="events.parquet")

@@ -26,7 +26,11 @@ def _s(c) -> F.Column:
 
 def inv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """INV: events as files under /data/<type>/u<user>; every 17th hidden, five extensions."""
-    e = table(spark, sf_dir, "events")
+    return inv_from_events(table(spark, sf_dir, "events"))
+
+
+def inv_from_events(e: DataFrame) -> DataFrame:
+    """The INV projection of an events DataFrame (batch or streaming)."""
     ext = (F.when(e.event_id % 5 == 0, ".log").when(e.event_id % 5 == 1, ".zip")
            .when(e.event_id % 5 == 2, ".TMP").when(e.event_id % 5 == 3, ".csv").otherwise(""))
     return e.select(
