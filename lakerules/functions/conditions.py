@@ -19,26 +19,32 @@ from .columns import _c, py_parse_duration, py_parse_size
 # The condition keys and action types a rule may use.
 CONDITION_KEYS = ("start", "end", "contain", "regex", "larger", "smaller", "older", "newer")
 ACTION_TYPES = ("move", "delete", "compress")
+# Evaluation order inside one rule: literal comparisons, then string tests, regex last.
+EVAL_ORDER = ("larger", "smaller", "older", "newer", "start", "end", "contain", "regex")
 
 
 # --- F1-F3: name text --------------------------------------------------------------------------
 
-def _fold(c: Column, value: str, case_sensitive: bool):
-    return (c, F.lit(value)) if case_sensitive else (F.lower(c), F.lower(F.lit(value)))
+def _fold(c: Column, value: str, case_sensitive: bool, folded=None):
+    """(name, value) as compared: lower-cased on both sides unless case-sensitive. ``folded`` is
+    an already lower-cased name column (computed once per row instead of once per rule)."""
+    if case_sensitive:
+        return c, F.lit(value)
+    return (_c(folded) if folded is not None else F.lower(c)), F.lower(F.lit(value))
 
 
-def cond_start(name, value: str, case_sensitive: bool = False) -> Column:
-    n, v = _fold(_c(name), value, case_sensitive)
+def cond_start(name, value: str, case_sensitive: bool = False, folded=None) -> Column:
+    n, v = _fold(_c(name), value, case_sensitive, folded)
     return F.startswith(n, v)
 
 
-def cond_end(name, value: str, case_sensitive: bool = False) -> Column:
-    n, v = _fold(_c(name), value, case_sensitive)
+def cond_end(name, value: str, case_sensitive: bool = False, folded=None) -> Column:
+    n, v = _fold(_c(name), value, case_sensitive, folded)
     return F.endswith(n, v)
 
 
-def cond_contain(name, value: str, case_sensitive: bool = False) -> Column:
-    n, v = _fold(_c(name), value, case_sensitive)
+def cond_contain(name, value: str, case_sensitive: bool = False, folded=None) -> Column:
+    n, v = _fold(_c(name), value, case_sensitive, folded)
     return F.contains(n, v)
 
 
@@ -145,13 +151,14 @@ def cond_newer(mtime, value, as_of_micros: int) -> Column:
 # --- F9 / F10: conjunction -----------------------------------------------------------------------
 
 def conditions_predicate(conditions: dict, case_sensitive: bool = False, *, name="name", size="size",
-                         mtime="mtime", as_of_micros: int = 0, spark: SparkSession | None = None) -> Column:
+                         mtime="mtime", as_of_micros: int = 0, spark: SparkSession | None = None,
+                         folded=None) -> Column:
     """AND of every known condition (unknown keys are ignored, as by the matcher); none -> TRUE.
 
     NULL inputs never match: the result is ``coalesce(pred, false)``.
     """
     parts = []
-    for key in CONDITION_KEYS:  # fixed evaluation order: name, then size, then age
+    for key in EVAL_ORDER:  # cheapest first; AND is order-free, so the answer does not change
         if key not in conditions:
             continue
         value = conditions[key]
@@ -159,11 +166,11 @@ def conditions_predicate(conditions: dict, case_sensitive: bool = False, *, name
             raise ValueError(f"Condition '{key}' must be a scalar")
         value = str(value) if not isinstance(value, str) else value
         if key == "start":
-            parts.append(cond_start(name, value, case_sensitive))
+            parts.append(cond_start(name, value, case_sensitive, folded))
         elif key == "end":
-            parts.append(cond_end(name, value, case_sensitive))
+            parts.append(cond_end(name, value, case_sensitive, folded))
         elif key == "contain":
-            parts.append(cond_contain(name, value, case_sensitive))
+            parts.append(cond_contain(name, value, case_sensitive, folded))
         elif key == "regex":
             parts.append(cond_regex(name, value, case_sensitive, spark))
         elif key == "larger":

@@ -24,12 +24,16 @@ from ..functions.conditions import conditions_predicate, java_match_pattern, kin
 from ..functions.rules import Rule, as_of_micros, rules_from_frame, to_rules
 
 BITS_PER_MASK = 62  # bits used per bigint mask column (sign bit kept clear)
+RULES_PER_CASE = 40  # rules per CASE chunk (measured best with hugeMethodLimit=8000)
 MAX_BROADCAST_RULES = 10_000
 
 
-def _predicate(rule: Rule, spark, as_of: int, name="name", size="size", mtime="mtime") -> Column:
+FOLDED = "__lname"  # lower-cased name, computed once per row for all case-insensitive tests
+
+
+def _predicate(rule: Rule, spark, as_of: int, name="name", size="size", mtime="mtime", folded=None) -> Column:
     return conditions_predicate(rule.conditions, rule.case_sensitive, name=name, size=size, mtime=mtime,
-                                as_of_micros=as_of, spark=spark)
+                                as_of_micros=as_of, spark=spark, folded=folded)
 
 
 def archive_rules(rules: list[Rule]) -> list[Rule]:
@@ -58,25 +62,40 @@ def member_masks(members: DataFrame, rules, as_of, spark: SparkSession | None =
     return agg.filter(reduce(lambda a, b: a | b, [F.col(f"mask_{k}") != 0 for k in range(n_masks)]))
 
 
-def first_match(rules, spark, as_of, *, name="name", size="size", mtime="mtime",
-                is_directory="is_directory", archive_file: Column | None = None) -> Column:
-    """``CASE WHEN`` over the ordered rules -> int index of the first match, NULL when none.
-
-    When ``archive_file`` is given, ``mask_k`` columns (from :func:`member_masks`) must be present.
-    """
-    rules = to_rules(rules)
-    as_of = as_of_micros(as_of)
+def _rule_chunks(rules, spark, as_of, *, name, size, mtime, is_directory, archive_file, folded) -> list[Column]:
+    """One ``CASE WHEN`` (first true branch wins) per run of ``RULES_PER_CASE`` rules."""
     ca_pos = {r.idx: j for j, r in enumerate(archive_rules(rules))}
-    expr = None
-    for r in rules:
-        hit = _predicate(r, spark, as_of, name, size, mtime)
+    chunks, expr = [], None
+    for n, r in enumerate(rules):
+        hit = _predicate(r, spark, as_of, name, size, mtime, folded)
         if r.check_archive and archive_file is not None:
             j = ca_pos[r.idx]
             bit = F.col(f"mask_{j // BITS_PER_MASK}").bitwiseAND(F.lit(1 << (j % BITS_PER_MASK))) != 0
             hit = hit | (archive_file & F.coalesce(bit, F.lit(False)))
         cond = kind_gate(is_directory, r.is_directory) & hit
         expr = F.when(cond, F.lit(r.idx)) if expr is None else expr.when(cond, F.lit(r.idx))
-    return (expr if expr is not None else F.lit(None)).cast("int")
+        if (n + 1) % RULES_PER_CASE == 0:
+            chunks.append(expr.cast("int"))
+            expr = None
+    if expr is not None:
+        chunks.append(expr.cast("int"))
+    return chunks
+
+
+def first_match(rules, spark, as_of, *, name="name", size="size", mtime="mtime",
+                is_directory="is_directory", archive_file: Column | None = None, folded=None) -> Column:
+    """``CASE WHEN`` over the ordered rules -> int index of the first match, NULL when none.
+
+    When ``archive_file`` is given, ``mask_k`` columns (from :func:`member_masks`) must be present.
+    Rules are grouped into ``CASE`` chunks combined by ``coalesce`` (evaluated lazily, so later
+    chunks run only for rows still unmatched); with ``spark.sql.codegen.hugeMethodLimit=8000`` a
+    stage too large for the JIT falls back to split, compilable functions.
+    """
+    chunks = _rule_chunks(to_rules(rules), spark, as_of_micros(as_of), name=name, size=size, mtime=mtime,
+                          is_directory=is_directory, archive_file=archive_file, folded=folded)
+    if not chunks:
+        return F.lit(None).cast("int")
+    return chunks[0] if len(chunks) == 1 else F.coalesce(*chunks)
 
 
 def match_rules(inv: DataFrame, rules, as_of, members: DataFrame | None = None,
@@ -89,7 +108,8 @@ def match_rules(inv: DataFrame, rules, as_of, members: DataFrame | None = None,
     rules = to_rules(rules)
     spark = spark or inv.sparkSession
     if members is None or not archive_rules(rules):
-        return inv.withColumn("rule_idx", first_match(rules, spark, as_of))
+        return (inv.withColumn(FOLDED, F.lower("name"))
+                .withColumn("rule_idx", first_match(rules, spark, as_of, folded=FOLDED)).drop(FOLDED))
     masks = member_masks(members, rules, as_of, spark)
     mask_cols = [c for c in masks.columns if c.startswith("mask_")]
     arch = F.coalesce(is_archive("name") & ~F.coalesce(F.col("is_directory"), F.lit(False)), F.lit(False))
@@ -98,8 +118,8 @@ def match_rules(inv: DataFrame, rules, as_of, members: DataFrame | None = None,
     other_rows = inv.filter(~arch)
     for c in mask_cols:
         other_rows = other_rows.withColumn(c, F.lit(None).cast("bigint"))
-    both = arch_rows.unionByName(other_rows)
-    out = both.withColumn("rule_idx", first_match(rules, spark, as_of, archive_file=arch))
+    both = arch_rows.unionByName(other_rows).withColumn(FOLDED, F.lower("name"))
+    out = both.withColumn("rule_idx", first_match(rules, spark, as_of, archive_file=arch, folded=FOLDED)).drop(FOLDED)
     return out.drop(*mask_cols)
 
 
