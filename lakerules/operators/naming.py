@@ -86,53 +86,71 @@ def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["claim_id", "final_name"])
 
 
-def resolve_names(claims: DataFrame, occupied: DataFrame) -> DataFrame:
+def resolve_names(claims: DataFrame, occupied: DataFrame, materialize: bool = True) -> DataFrame:
     """Final name per claim.
 
     claims: ``claim_id, seq, dir, name``; occupied: ``dir, name`` (entries already present).
     Output: ``claim_id, final_name``.
+
+    Only occupied names inside directories that receive claims matter, so ``occupied`` is first
+    narrowed by a semi-join on the claimed directories. Both inputs are then checkpointed (a
+    reliable checkpoint in ``spark.checkpoint.dir``), so the branches below read them instead
+    of re-running the upstream scan; collision branches run only when a collision exists.
     """
+    from ..session import cut_lineage
+
     cl = claims.select("claim_id", "seq", "dir", "name").withColumn("key", name_key("name"))
-    occ = occupied.select("dir", "name").distinct().withColumn("key", name_key("name"))
+    occ = (occupied.select("dir", "name").join(cl.select("dir").distinct(), "dir", "left_semi")
+           .distinct().withColumn("key", name_key("name")))
+    if materialize:
+        cl, occ = cut_lineage(cl), cut_lineage(occ)
 
     per_name = cl.groupBy("dir", "name").agg(F.count(F.lit(1)).alias("n_claims"))
     direct = (per_name.join(occ.select("dir", "name", F.lit(True).alias("exists")), ["dir", "name"], "left")
               .filter((F.col("n_claims") > 1) | F.col("exists").isNotNull())
               .select("dir", "name"))
-    hot_keys = (direct.withColumn("key", name_key("name")).select("dir", "key").distinct())
+    hot_keys = direct.withColumn("key", name_key("name")).select("dir", "key").distinct()
+    if materialize:
+        hot_keys = cut_lineage(hot_keys)
+        if hot_keys.isEmpty():  # no collision anywhere: every claim keeps its name
+            return cl.select("claim_id", F.col("name").alias("final_name"))
 
     free = cl.join(hot_keys, ["dir", "key"], "left_anti").select("claim_id", F.col("name").alias("final_name"))
 
     busy = cl.join(hot_keys, ["dir", "key"])
     names_per_key = busy.groupBy("dir", "key").agg(F.count_distinct("name").alias("n_names"))
+    if materialize:
+        names_per_key = cut_lineage(names_per_key)
     single = busy.join(names_per_key.filter(F.col("n_names") == 1).select("dir", "key"), ["dir", "key"])
     multi_keys = names_per_key.filter(F.col("n_names") > 1).select("dir", "key")
+    out = free
 
     # (2) one wanted name: k-th free slot in closed form
-    wanted = single.select("dir", "key", "name").distinct()
-    slots = (occ.join(wanted.withColumnRenamed("name", "wanted"), ["dir", "key"])
-             .select("dir", "key", slot_of("wanted", "name").alias("slot")).filter(F.col("slot").isNotNull()))
-    ws = Window.partitionBy("dir", "key").orderBy("slot")
-    # a_i = o_i - (i - 1); a claim of rank k passes every a_i <= k - 1
-    bounds = (slots.withColumn("a", F.col("slot") - F.row_number().over(ws) + 1)
-              .withColumn("c", F.row_number().over(ws)))
-    lead = Window.partitionBy("dir", "key").orderBy("a", "c")
-    intervals = bounds.withColumn("a_next", F.lead("a").over(lead)).select("dir", "key", "a", "a_next", "c")
-    ranked = rank_within(single, ["dir", "key"], "seq")
-    with_c = (ranked.join(intervals, (ranked.dir == intervals.dir) & (ranked.key == intervals.key)
-                          & (ranked.rank - 1 >= intervals.a)
-                          & (intervals.a_next.isNull() | (ranked.rank - 1 < intervals.a_next)), "left")
-              .select(ranked.claim_id, ranked.name, ranked.rank, F.coalesce(intervals.c, F.lit(0)).alias("c")))
-    closed = with_c.select("claim_id", candidate("name", F.col("rank") - 1 + F.col("c")).alias("final_name"))
+    if not materialize or not names_per_key.filter(F.col("n_names") == 1).isEmpty():
+        wanted = single.select("dir", "key", "name").distinct()
+        slots = (occ.join(wanted.withColumnRenamed("name", "wanted"), ["dir", "key"])
+                 .select("dir", "key", slot_of("wanted", "name").alias("slot")).filter(F.col("slot").isNotNull()))
+        ws = Window.partitionBy("dir", "key").orderBy("slot")
+        # a_i = o_i - (i - 1); a claim of rank k passes every a_i <= k - 1
+        bounds = (slots.withColumn("a", F.col("slot") - F.row_number().over(ws) + 1)
+                  .withColumn("c", F.row_number().over(ws)))
+        lead = Window.partitionBy("dir", "key").orderBy("a", "c")
+        intervals = bounds.withColumn("a_next", F.lead("a").over(lead)).select("dir", "key", "a", "a_next", "c")
+        ranked = rank_within(single, ["dir", "key"], "seq")
+        with_c = (ranked.join(intervals, (ranked.dir == intervals.dir) & (ranked.key == intervals.key)
+                              & (ranked.rank - 1 >= intervals.a)
+                              & (intervals.a_next.isNull() | (ranked.rank - 1 < intervals.a_next)), "left")
+                  .select(ranked.claim_id, ranked.name, ranked.rank, F.coalesce(intervals.c, F.lit(0)).alias("c")))
+        out = out.unionByName(with_c.select("claim_id", candidate("name", F.col("rank") - 1 + F.col("c")).alias("final_name")))
 
     # (3) several wanted names: sequential fold per group
-    mk_claims = busy.join(multi_keys, ["dir", "key"]).select("dir", "key", "claim_id", "seq", "name")
-    mk_occ = occ.join(multi_keys, ["dir", "key"]).select(
-        "dir", "key", F.lit(None).cast("bigint").alias("claim_id"), F.lit(None).cast("bigint").alias("seq"), "name")
-    folded = (mk_claims.unionByName(mk_occ).groupBy("dir", "key")
-              .applyInPandas(_fold_group, "claim_id bigint, final_name string"))
-
-    return free.unionByName(closed).unionByName(folded)
+    if not materialize or not multi_keys.isEmpty():
+        mk_claims = busy.join(multi_keys, ["dir", "key"]).select("dir", "key", "claim_id", "seq", "name")
+        mk_occ = occ.join(multi_keys, ["dir", "key"]).select(
+            "dir", "key", F.lit(None).cast("bigint").alias("claim_id"), F.lit(None).cast("bigint").alias("seq"), "name")
+        out = out.unionByName(mk_claims.unionByName(mk_occ).groupBy("dir", "key")
+                              .applyInPandas(_fold_group, "claim_id bigint, final_name string"))
+    return out
 
 
 def py_resolve(claims: list[tuple], occupied: set[tuple]) -> dict:
