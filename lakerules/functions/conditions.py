@@ -155,7 +155,9 @@ def conditions_predicate(conditions: dict, case_sensitive: bool = False, *, name
                          folded=None) -> Column:
     """AND of every known condition (unknown keys are ignored, as by the matcher); none -> TRUE.
 
-    NULL inputs never match: the result is ``coalesce(pred, false)``.
+    A NULL input (unknown size or time) makes the predicate NULL, which ``WHERE`` and
+    ``CASE WHEN`` treat as no match. It is deliberately not wrapped in ``coalesce``: the bare
+    comparisons are what Parquet pushdown understands.
     """
     parts = []
     for key in EVAL_ORDER:  # cheapest first; AND is order-free, so the answer does not change
@@ -183,7 +185,7 @@ def conditions_predicate(conditions: dict, case_sensitive: bool = False, *, name
             parts.append(cond_newer(mtime, value, as_of_micros))
     if not parts:
         return F.lit(True)
-    return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
+    return reduce(lambda a, b: a & b, parts)
 
 
 # --- F11-F14: gates on the row itself --------------------------------------------------------

@@ -7,6 +7,7 @@ parameter (or ``current_timestamp()`` per micro-batch when ``as_of`` is None).
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 
@@ -24,16 +25,20 @@ def match_stream(spark: SparkSession, source_dir: str, schema, to_inventory: Cal
     ``out_dir`` defaults to a folder under the session's checkpoint directory, which on a
     cluster is the shared, durable location (the stream's own checkpoint lives there too).
     """
-    base = out_dir or os.path.join(checkpoint_dir(spark), f"match_stream_{abs(hash((source_dir, glob)))}")
+    # stable across runs for the same source, rules and instant: a rerun resumes from its checkpoint
+    tag = hashlib.sha1(f"{source_dir}|{glob}|{rules!r}|{as_of!r}".encode()).hexdigest()[:16]
+    base = out_dir or os.path.join(checkpoint_dir(spark), f"match_stream_{tag}")
     table_dir, ckpt = os.path.join(base, "table"), os.path.join(base, "_checkpoint")
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
     matched = match_rules(to_inventory(stream), rules, as_of, spark=spark)
 
     def append(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(table_dir)
+        # one folder per epoch, overwritten on retry: a replayed micro-batch never duplicates rows
+        batch.write.mode("overwrite").parquet(os.path.join(table_dir, f"batch={epoch}"))
 
     q = (matched.writeStream.foreachBatch(append).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(matched.schema).parquet(table_dir)
+    return (spark.read.schema(matched.schema).option("basePath", table_dir)
+            .parquet(os.path.join(table_dir, "batch=*")).drop("batch"))
