@@ -206,3 +206,51 @@ def not_path(path, excluded: str | None) -> Column:
     if excluded is None:
         return F.lit(True)
     return F.coalesce(_c(path) != F.lit(excluded), F.lit(True))
+
+
+# --- the same predicates as SQL text (one JVM call for a whole rule list) -----------------------
+
+def sql_str(v: str) -> str:
+    """A Spark SQL string literal for any text (backslashes and quotes escaped)."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_col(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def conditions_sql(conditions: dict, case_sensitive: bool = False, *, name="name", size="size", mtime="mtime",
+                   as_of_micros: int = 0, spark: SparkSession | None = None, folded=None) -> str | None:
+    """SQL text of :func:`conditions_predicate`; None when a regex needs Python's engine."""
+    n = sql_col(name)
+    nf = n if case_sensitive else (sql_col(folded) if folded else f"lower({n})")
+    parts = []
+    for key in EVAL_ORDER:
+        if key not in conditions:
+            continue
+        value = conditions[key]
+        if isinstance(value, (list, dict)) or value is None:
+            raise ValueError(f"Condition '{key}' must be a scalar")
+        value = str(value) if not isinstance(value, str) else value
+        lit = sql_str(value) if case_sensitive else f"lower({sql_str(value)})"
+        if key == "start":
+            parts.append(f"startswith({nf}, {lit})")
+        elif key == "end":
+            parts.append(f"endswith({nf}, {lit})")
+        elif key == "contain":
+            parts.append(f"contains({nf}, {lit})")
+        elif key == "regex":
+            re.compile(value)
+            jpat = java_match_pattern(value, case_sensitive)
+            if jpat is None or not _java_accepts(spark, jpat):
+                return None
+            parts.append(f"{n} rlike {sql_str(jpat)}")
+        elif key == "larger":
+            parts.append(f"{sql_col(size)} > {py_parse_size(value)}L")
+        elif key == "smaller":
+            parts.append(f"{sql_col(size)} < {py_parse_size(value)}L")
+        elif key == "older":
+            parts.append(f"{sql_col(mtime)} <= timestamp_micros({as_of_micros - py_parse_duration(value) * 1_000_000}L)")
+        elif key == "newer":
+            parts.append(f"{sql_col(mtime)} >= timestamp_micros({as_of_micros - py_parse_duration(value) * 1_000_000}L)")
+    return " AND ".join(f"({p})" for p in parts) if parts else "true"

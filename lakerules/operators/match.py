@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import _c, is_archive, path_of, py_parse_duration, py_parse_size
-from ..functions.conditions import conditions_predicate, java_match_pattern, kind_gate
+from ..functions.conditions import conditions_predicate, conditions_sql, java_match_pattern, kind_gate, sql_col
 from ..functions.rules import Rule, as_of_micros, rules_from_frame, to_rules
 
 BITS_PER_MASK = 62  # bits used per bigint mask column (sign bit kept clear)
@@ -82,6 +82,26 @@ def _rule_chunks(rules, spark, as_of, *, name, size, mtime, is_directory, archiv
     return chunks
 
 
+def first_match_sql(rules: list[Rule], spark, as_of: int, *, name="name", size="size", mtime="mtime",
+                    is_directory="is_directory", folded=None) -> str | None:
+    """The first-match expression as SQL text, built in Python and parsed once by Spark (a rule
+    list of hundreds costs one call instead of thousands). None if a rule needs Python's regex."""
+    if not rules:
+        return "CAST(NULL AS INT)"
+    chunks, branches = [], []
+    for n, r in enumerate(rules):
+        pred = conditions_sql(r.conditions, r.case_sensitive, name=name, size=size, mtime=mtime,
+                              as_of_micros=as_of, spark=spark, folded=folded)
+        if pred is None:
+            return None
+        gate = f"coalesce({sql_col(is_directory)}, false) = {'true' if r.is_directory else 'false'}"
+        branches.append(f"WHEN ({gate}) AND ({pred}) THEN {int(r.idx)}")
+        if (n + 1) % RULES_PER_CASE == 0 or n == len(rules) - 1:
+            chunks.append("CAST(CASE " + " ".join(branches) + " END AS INT)")
+            branches = []
+    return chunks[0] if len(chunks) == 1 else "coalesce(" + ", ".join(chunks) + ")"
+
+
 def first_match(rules, spark, as_of, *, name="name", size="size", mtime="mtime",
                 is_directory="is_directory", archive_file: Column | None = None, folded=None) -> Column:
     """``CASE WHEN`` over the ordered rules -> int index of the first match, NULL when none.
@@ -91,7 +111,13 @@ def first_match(rules, spark, as_of, *, name="name", size="size", mtime="mtime",
     chunks run only for rows still unmatched); with ``spark.sql.codegen.hugeMethodLimit=8000`` a
     stage too large for the JIT falls back to split, compilable functions.
     """
-    chunks = _rule_chunks(to_rules(rules), spark, as_of_micros(as_of), name=name, size=size, mtime=mtime,
+    rules = to_rules(rules)
+    if archive_file is None:
+        text = first_match_sql(rules, spark, as_of_micros(as_of), name=name, size=size, mtime=mtime,
+                               is_directory=is_directory, folded=folded)
+        if text is not None:
+            return F.expr(text)
+    chunks = _rule_chunks(rules, spark, as_of_micros(as_of), name=name, size=size, mtime=mtime,
                           is_directory=is_directory, archive_file=archive_file, folded=folded)
     if not chunks:
         return F.lit(None).cast("int")

@@ -100,10 +100,12 @@ def resolve_names(claims: DataFrame, occupied: DataFrame, materialize: bool = Tr
     from ..session import cut_lineage
 
     cl = claims.select("claim_id", "seq", "dir", "name").withColumn("key", name_key("name"))
+    if materialize:
+        cl = cut_lineage(cl)
     occ = (occupied.select("dir", "name").join(cl.select("dir").distinct(), "dir", "left_semi")
            .distinct().withColumn("key", name_key("name")))
     if materialize:
-        cl, occ = cut_lineage(cl), cut_lineage(occ)
+        occ = cut_lineage(occ)
 
     per_name = cl.groupBy("dir", "name").agg(F.count(F.lit(1)).alias("n_claims"))
     direct = (per_name.join(occ.select("dir", "name", F.lit(True).alias("exists")), ["dir", "name"], "left")

@@ -18,6 +18,7 @@ from ..functions.conditions import ACTION_TYPES
 from ..functions.rules import to_rules
 from ..operators.match import rule_attribute
 from ..operators.naming import resolve_names
+from ..session import cut_lineage
 from .decisions import AUTOMATIC, decide
 
 # Plan statuses.
@@ -94,7 +95,8 @@ def plan_actions(matched: DataFrame, rules, occupied: DataFrame, *, mode: str =
     occupied: ``parent, name`` of every entry present before the run (files and directories).
     approved: optional ``seq, approved`` (interactive mode, from :func:`decisions.approvals`).
     """
-    p = plan_rows(matched, rules, custom)
+    # the narrow plan rows are written once; claims, names and the final join all read them
+    p = cut_lineage(plan_rows(matched, rules, custom))
     claims = (p.filter((F.col("status") == PLANNED) & F.col("action_type").isin("move", "compress"))
               .select(F.col("seq").alias("claim_id"), "seq", F.col("target_dir").alias("dir"),
                       F.col("wanted_name").alias("name")))
