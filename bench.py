@@ -56,7 +56,7 @@ def queries(spark, d):
     def organize():
         inv = invl()
         matched = M.match_rules(inv, INVL_RULES, AS_OF)
-        occupied = I.entries(inv).select("parent", "name")
+        occupied = I.entry_names(inv)
         return P.plan_actions(matched, INVL_RULES, occupied, mode=Dc.AUTOMATIC, always_delete=True)
 
     def conflict_names():

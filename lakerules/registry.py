@@ -501,7 +501,7 @@ def _inv_plan(spark, d, rules=None, mode=Dc.AUTOMATIC, always_delete=True, appro
     rules = rules or INV_RULES
     inv = _visible_inv(spark, d)
     matched = M.match_rules(inv, rules, INV_AS_OF)
-    occupied = I.entries(A.inv(spark, d)).select("parent", "name")
+    occupied = I.entry_names(A.inv(spark, d))
     return P.plan_actions(matched, rules, occupied, mode=mode, always_delete=always_delete,
                           approved=approved, custom=custom)
 

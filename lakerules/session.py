@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,9 +61,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (never a local one): survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by writing ``df`` once as a Parquet table under the shared checkpoint
+    folder and reading it back (never a local checkpoint, so it survives executor loss).
+
+    Unlike ``Dataset.checkpoint``, which computes its input twice when not cached, this computes
+    it once and stores it columnar and compressed; later readers get pruning and pushdown.
+    """
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def sf_path(sf_dir: str, table: str) -> str:

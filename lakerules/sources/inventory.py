@@ -58,6 +58,15 @@ def entries(files: DataFrame, known_dirs: DataFrame | None = None) -> DataFrame:
     return file_rows.unionByName(dir_rows)
 
 
+def entry_names(files: DataFrame) -> DataFrame:
+    """``parent, name`` of every file and every directory implied by the paths (no sizes): the
+    names a plan must not collide with. Distinct parents are fanned out, not every file."""
+    dirs = (files.select("parent").distinct()
+            .select(F.explode(self_and_ancestors("parent")).alias("path")).distinct()
+            .select(parent_of("path").alias("parent"), name_of("path").alias("name")))
+    return files.select("parent", "name").unionByName(dirs)
+
+
 def collect_level(inv: DataFrame, base: str, include_hidden: bool = False) -> DataFrame:
     """Direct children of ``base`` (files and directories); hidden ones skipped by default."""
     b = base.rstrip("/")
