@@ -24,7 +24,7 @@ from ..sources.inventory import self_and_ancestors
 from .actions import PLANNED
 from .decisions import AUTOMATIC, decide
 
-REMOVED, GONE, KEPT, DIFFERENT, HIDDEN = "removed", "gone", "kept", "different", "has_hidden"
+REMOVED, GONE, KEPT, DIFFERENT, HIDDEN, UNREADABLE = "removed", "gone", "kept", "different", "has_hidden", "unreadable"
 
 
 def compared_pairs(members: DataFrame, dirfiles: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -33,8 +33,15 @@ def compared_pairs(members: DataFrame, dirfiles: DataFrame, pairs: DataFrame | N
     ident = D.identical_pairs(pairs, D.compare(a, d).filter(F.col("kind") != "same"))
     hidden = (dirfiles.filter(~no_hidden_component("rel")).select("dir").distinct()
               .withColumn("has_hidden", F.lit(True)))
-    return (ident.join(hidden, "dir", "left")
-            .withColumn("has_hidden", F.coalesce("has_hidden", F.lit(False))))
+    out = (ident.join(hidden, "dir", "left")
+           .withColumn("has_hidden", F.coalesce("has_hidden", F.lit(False))))
+    if "error" in members.columns:
+        # an archive that could not be read lists no members: never call it identical
+        bad = members.filter(F.col("error").isNotNull()).select("archive").distinct().withColumn("_bad", F.lit(True))
+        out = (out.join(bad, "archive", "left")
+               .withColumn("unreadable", F.coalesce("_bad", F.lit(False))).drop("_bad")
+               .withColumn("identical", F.col("identical") & ~F.col("unreadable")))
+    return out
 
 
 def cleanup_plan(compared: DataFrame, mode: str = AUTOMATIC, always_delete: bool = False,
@@ -59,7 +66,9 @@ def cleanup_order(c: DataFrame) -> DataFrame:
     nested = (c.select("archive", F.explode(self_and_ancestors(parent_of("dir"))).alias("_rd"))
               .join(removed_dirs, "_rd").select("archive").distinct().withColumn("_nested", F.lit(True)))
     c = c.join(nested, "archive", "left")
+    unreadable = F.col("unreadable") if "unreadable" in c.columns else F.lit(False)
     status = (F.when(F.coalesce("_nested", F.lit(False)), F.lit(GONE))
+              .when(unreadable, F.lit(UNREADABLE))
               .when(F.col("archive") == F.col("removed_by"), F.lit(REMOVED))
               .when(F.col("removed_by").isNotNull() & (F.col("archive") > F.col("removed_by")), F.lit(GONE))
               .when(F.col("identical") & F.col("has_hidden"), F.lit(HIDDEN))

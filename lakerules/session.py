@@ -46,18 +46,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_local_ckpt: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, durable folder and is used as is. Only
-    when it is unset (local tests) is a scratch folder created and registered.
+    when it is unset (local tests) is a scratch folder created, once per session.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="lakerules-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        return d
+    key = str(id(spark))
+    if key not in _local_ckpt:
+        _local_ckpt[key] = tempfile.mkdtemp(prefix="lakerules-ckpt-")
+        try:
+            spark.conf.set("spark.checkpoint.dir", _local_ckpt[key])
+        except Exception:  # some deployments refuse to change it at run time; the folder still works
+            pass
+    return _local_ckpt[key]
 
 
 def cut_lineage(df):

@@ -16,6 +16,21 @@ from ..functions.columns import _c, name_of, parent_of, path_of
 from ..functions.conditions import no_hidden_component, not_hidden
 
 
+def scan_files(spark, pattern: str, recursive: bool = True) -> DataFrame:
+    """Inventory rows of real files via the ``binaryFile`` source (S1); the content column is
+    never selected, so it is pruned and only metadata is read.
+
+    Note: file sources skip names starting with '.' or '_' and do not list empty directories;
+    an inventory table is needed when those matter.
+    """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+             .load(pattern).select("path", "length", "modificationTime"))
+    p = F.regexp_replace("path", r"^file:", "")
+    return files.select(parent_of(p).alias("parent"), name_of(p).alias("name"), F.col("length").alias("size"),
+                        F.col("modificationTime").alias("mtime"), F.lit(False).alias("is_directory"),
+                        F.xxhash64(p).alias("seq"))
+
+
 def self_and_ancestors(dir_col) -> Column:
     """['/a', '/a/b'] for '/a/b'; ['x', 'x/y'] for 'x/y'; [] for '' (the root is not a row)."""
     parts = F.split(_c(dir_col), "/")

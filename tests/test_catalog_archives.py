@@ -86,3 +86,41 @@ def test_failing_reader_is_skipped(spark):
     df = spark.createDataFrame([("/a/x.zip", bytearray(_zip([("f", "1")])))], "archive string, content binary")
     rows = Ar.list_members(df, readers=[(".zip", broken), (".zip", Ar.read_zip)]).collect()
     assert [(r.member, r.size) for r in rows] == [("f", 1)]
+
+
+def test_driver_side_validation():
+    assert Ca.validate_rule_list({"a": 1}) == ["rule set must be a list of rules"]
+    assert Ca.validate_rule_list([]) == ["rule set is empty"]
+    good = [{"name": "ok", "conditions": {"end": ".log", "older": "30d"}, "action": {"type": "delete"},
+             "check_archive": False}]
+    assert Ca.validate_rule_list(good) == []
+    bad = ["text", {"name": 3, "conditions": {"larger": 512}, "action": {"type": "move", "target": 7}},
+           {"conditions": [], "action": {}}, {"conditions": {"regex": "("}, "action": "delete", "is_directory": "yes"}]
+    errs = Ca.validate_rule_list(bad)
+    assert any("#1: must be a mapping" in e for e in errs)
+    assert any("#2: name must be text" in e for e in errs)
+    assert any("target must be text" in e for e in errs)
+    assert any("#3: conditions must be a mapping" in e for e in errs)
+    assert any("bad value '('" in e for e in errs)
+    assert any("action must be a mapping" in e for e in errs)
+    assert any("'is_directory' must be boolean" in e for e in errs)
+
+
+def test_unreadable_archive_is_never_identical(spark):
+    from lakerules.plans import cleanup as Cl
+    from lakerules.plans import decisions as Dc
+    members = spark.createDataFrame([("/x/bad.zip", None, None, None, "BadZipFile: not a zip")],
+                                    "archive string, member string, size bigint, pos bigint, error string")
+    dirfiles = spark.createDataFrame([("/x/bad", ".hidden_only", 1)], "dir string, rel string, size bigint")
+    c = Cl.compared_pairs(members, dirfiles)
+    out = Cl.cleanup_plan(c, Dc.AUTOMATIC, always_delete=True).collect()
+    assert [(r.identical, r.status, r.decision) for r in out] == [(False, "unreadable", False)]
+
+
+def test_scan_files_reads_metadata(spark, tmp_path):
+    from lakerules.sources.inventory import scan_files
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.txt").write_text("1234567")
+    (tmp_path / "sub" / "b.log").write_text("12")
+    rows = {(r.name, r.size) for r in scan_files(spark, str(tmp_path)).collect()}
+    assert rows == {("a.txt", 7), ("b.log", 2)}
