@@ -162,10 +162,25 @@ def rule_attribute(rules, rule_idx, attr: str) -> Column:
 
 # --- rules as data ---------------------------------------------------------------------------
 
+def rule_patterns(rules) -> list[str]:
+    """Distinct Java patterns of the rules' regex conditions, in first-use order."""
+    out = []
+    for r in to_rules(rules):
+        if "regex" in r.conditions:
+            p = java_match_pattern(str(r.conditions["regex"]), r.case_sensitive)
+            if p is None:
+                raise ValueError(f"regex of rule {r.idx} needs Python's engine; use match_rules")
+            if p not in out:
+                out.append(p)
+    return out
+
+
 def rule_table(spark: SparkSession, rules, as_of) -> DataFrame:
-    """One row per rule with every condition parsed into a typed column (NULL = not given)."""
+    """One row per rule with every condition parsed into a typed column (NULL = not given);
+    a regex is referenced by its position in :func:`rule_patterns`."""
     rules = to_rules(rules)
     as_of = as_of_micros(as_of)
+    patterns = rule_patterns(rules)
     rows = []
     for r in rules:
         c = {k: (str(v) if v is not None else None) for k, v in r.conditions.items()}
@@ -175,19 +190,19 @@ def rule_table(spark: SparkSession, rules, as_of) -> DataFrame:
             (c["start"].lower() if ci else c["start"]) if "start" in c else None,
             (c["end"].lower() if ci else c["end"]) if "end" in c else None,
             (c["contain"].lower() if ci else c["contain"]) if "contain" in c else None,
-            java_match_pattern(c["regex"], r.case_sensitive) if "regex" in c else None,
+            patterns.index(java_match_pattern(c["regex"], r.case_sensitive)) if "regex" in c else None,
             py_parse_size(c["larger"]) if "larger" in c else None,
             py_parse_size(c["smaller"]) if "smaller" in c else None,
             as_of - py_parse_duration(c["older"]) * 1_000_000 if "older" in c else None,
             as_of - py_parse_duration(c["newer"]) * 1_000_000 if "newer" in c else None,
         ))
     schema = ("rule_idx int, r_is_directory boolean, r_case boolean, r_start string, r_end string, "
-              "r_contain string, r_regex string, r_larger bigint, r_smaller bigint, r_older_us bigint, r_newer_us bigint")
+              "r_contain string, r_regex int, r_larger bigint, r_smaller bigint, r_older_us bigint, r_newer_us bigint")
     return spark.createDataFrame(rows, schema)
 
 
 def _join_condition(rows: DataFrame, rt: DataFrame) -> Column:
-    name = F.when(rt.r_case, rows.name).otherwise(F.lower(rows.name))
+    name = F.when(rt.r_case, rows.name).otherwise(rows[FOLDED])
     us = F.unix_micros(rows.mtime)
 
     def opt(col, pred):
@@ -198,7 +213,7 @@ def _join_condition(rows: DataFrame, rt: DataFrame) -> Column:
         & opt(rt.r_start, F.startswith(name, rt.r_start))
         & opt(rt.r_end, F.endswith(name, rt.r_end))
         & opt(rt.r_contain, F.contains(name, rt.r_contain))
-        & opt(rt.r_regex, F.rlike(rows.name, rt.r_regex))
+        & opt(rt.r_regex, F.element_at(rows["__re"], rt.r_regex + 1))
         & opt(rt.r_larger, rows.size > rt.r_larger)
         & opt(rt.r_smaller, rows.size < rt.r_smaller)
         & opt(rt.r_older_us, us <= rt.r_older_us)
@@ -215,7 +230,12 @@ def match_rules_join(inv: DataFrame, rules_df: DataFrame, as_of) -> DataFrame:
     spark = inv.sparkSession
     rules = rules_from_frame(rules_df, MAX_BROADCAST_RULES)  # size checked before broadcast
     rt = rule_table(spark, rules, as_of)
-    joined = inv.join(F.broadcast(rt), _join_condition(inv, rt), "left")
+    # per row, once: the folded name and every distinct regex as a literal pattern (a pattern
+    # taken from a column would be recompiled whenever consecutive rules differ)
+    pats = rule_patterns(rules)
+    rows = inv.withColumn(FOLDED, F.lower("name")).withColumn(
+        "__re", F.array(*[F.col("name").rlike(p) for p in pats]) if pats else F.array().cast("array<boolean>"))
+    joined = rows.join(F.broadcast(rt), _join_condition(rows, rt), "left")
     keep = [c for c in inv.columns if c != "seq"]
     return (joined.groupBy("seq")
             .agg(*[F.first(c).alias(c) for c in keep], F.min("rule_idx").alias("rule_idx"))
