@@ -905,3 +905,31 @@ from .streaming.match_stream import match_stream  # noqa: E402
 def q_match_stream(spark, d):
     schema = A.table(spark, d, "events").schema
     return match_stream(spark, d, schema, A.inv_from_events, INV_RULES, INV_AS_OF, glob="events.parquet")
+
+
+from .operators.catalog_json import rule_checks_json  # noqa: E402
+
+
+def json_catalogs(spark, d):
+    """One JSON rules file per tenant, built from the RULES rows; tenants whose source ends in an
+    odd digit write their first rule's ``case_sensitive`` flag as text (a type error)."""
+    rows = A.rules_rows(spark, d)
+    odd = F.substring("ruleset", -1, 1).isin("1", "3", "5", "7", "9")
+    rules = (rows.groupBy("ruleset", "rule_idx")
+             .agg(F.first("name", ignorenulls=True).alias("name"),
+                  F.map_from_entries(F.collect_list(F.struct("cond_key", "cond_value"))).alias("conditions"),
+                  F.first("action_type", ignorenulls=True).alias("type"),
+                  F.first("target", ignorenulls=True).alias("target"))
+             .withColumn("case_sensitive", F.when(odd & (F.col("rule_idx") == 0), F.lit("yes"))))
+    rule_js = F.to_json(F.struct("name", "conditions",
+                                 F.struct(F.col("type").alias("type"), F.col("target").alias("target")).alias("action"),
+                                 "case_sensitive"))
+    ordered = F.sort_array(F.collect_list(F.struct("rule_idx", rule_js.alias("js"))))
+    return (rules.groupBy("ruleset")
+            .agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda r: r["js"]), ","), F.lit("]"))
+                 .alias("rules_json")))
+
+
+@query("rule_checks_json")
+def q_rule_checks_json(spark, d):
+    return rule_checks_json(json_catalogs(spark, d))

@@ -6,7 +6,7 @@ import duckdb
 import __spark_entry__ as E
 from tests.conftest import SF0001
 
-ROWS_ONLY = {"pack_groups"}
+ROWS_ONLY = {"pack_groups", "rule_checks_json"}
 # The query registry of the blueprint (section 7.3), every name required.
 SURVEY_QUERIES = set("""inventory_scan collect_level collect_depth hidden_filter hidden_prune exclude_path kind_gate
 path_parts archive_format age_bands cond_start cond_end cond_contain cond_regex cond_larger cond_smaller cond_older
@@ -32,6 +32,17 @@ def test_registry_complete():
     assert SURVEY_QUERIES <= set(q), sorted(SURVEY_QUERIES - set(q))
 
 
+def test_json_catalog_query_matches_driver_validator(spark):
+    import json
+
+    from lakerules.operators.catalog import validate_rule_list
+    from lakerules.registry import json_catalogs
+    catalogs = {r.ruleset: json.loads(r.rules_json) for r in json_catalogs(spark, SF0001).collect()}
+    got = E.queries()["rule_checks_json"](spark, SF0001).groupBy("ruleset").count().collect()
+    counts = {r.ruleset: r["count"] for r in got}
+    assert catalogs and counts == {k: len(validate_rule_list(v)) for k, v in catalogs.items()}
+
+
 def test_sample_against_duckdb(spark):
     con = duckdb.connect()
     for t in TABLES:
