@@ -56,3 +56,10 @@ def test_sample_against_duckdb(spark):
         duck_rows = sorted(map(repr, (tuple(r[i] for i in order) for r in cur.fetchall())))
         assert sorted(df.columns) == sorted(cols), name
         assert len(spark_rows) == len(duck_rows), name
+
+
+def test_stream_equals_batch(spark):
+    q = E.queries()
+    stream = sorted(tuple(r) for r in q["match_stream"](spark, SF0001).select("seq", "rule_idx").collect())
+    batch = sorted(tuple(r) for r in q["match_rules"](spark, SF0001).select("seq", "rule_idx").collect())
+    assert stream == batch and len(batch) > 0

@@ -41,3 +41,14 @@ def test_single_name_closed_form(spark):
     odf = spark.createDataFrame(sorted(occupied), "dir string, name string")
     got = {r.claim_id: r.final_name for r in resolve_names(cdf, odf).collect()}
     assert got == {0: "t_1.dat", 1: "t_3.dat", 2: "t_4.dat", 3: "t_5.dat", 4: "t_6.dat"}
+
+
+def test_resolution_independent_of_partitioning(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(11)
+    claims, occupied = _random_case(rng, 120)
+    cdf = spark.createDataFrame(claims, "claim_id long, seq long, dir string, name string")
+    odf = spark.createDataFrame(sorted(occupied) or [("/none", "none")], "dir string, name string")
+    a = sorted(resolve_names(cdf, odf).collect())
+    b = sorted(resolve_names(cdf.repartition(5).orderBy(F.rand(1)), odf.repartition(3)).collect())
+    assert a == b
