@@ -126,6 +126,15 @@ def register_actions(custom: dict[str, Callable]) -> dict[str, Callable]:
     return dict(custom)
 
 
+def available_actions(custom: dict[str, Callable] | None = None) -> list[str]:
+    """Built-in action types followed by the registered user actions."""
+    return list(ACTION_TYPES) + [n for n in (custom or {}) if n not in ACTION_TYPES]
+
+
+def is_action_supported(name: str, custom: dict[str, Callable] | None = None) -> bool:
+    return name in available_actions(custom)
+
+
 def run_stats(matched: DataFrame) -> DataFrame:
     """One row: total, processed (a rule matched), skipped, errors (unreadable size or time)."""
     err = F.col("size").isNull() | F.col("mtime").isNull()

@@ -78,6 +78,12 @@ def cleanup_order(c: DataFrame) -> DataFrame:
                     status.alias("status"), (status == REMOVED).alias("removes"))
 
 
+def cleanup_summary(plan: DataFrame) -> DataFrame:
+    """One row (A4, A9): pairs checked, identical, different, directories removed."""
+    return plan.agg(F.count(F.lit(1)).alias("total_pairs"), F.count_if("identical").alias("identical"),
+                    F.count_if(~F.col("identical")).alias("different"), F.count_if("removes").alias("deleted"))
+
+
 def cleanup_unpacked(plan: DataFrame, rules, members: DataFrame, dirfiles: DataFrame,
                      mode: str = AUTOMATIC, always_delete: bool = False) -> DataFrame:
     """Executed moves of archive files whose rule asks for it -> pair with the directory next

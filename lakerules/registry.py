@@ -933,3 +933,12 @@ def json_catalogs(spark, d):
 @query("rule_checks_json")
 def q_rule_checks_json(spark, d):
     return rule_checks_json(json_catalogs(spark, d))
+
+
+@query("cleanup_summary", O.with_(_MEM7, O.DIR, O.DIFF) + """, r as (select *, min(case when identical then archive end)
+  over (partition by dir) as removed_by from ident)
+select count(*) as total_pairs, count_if(identical) as identical, count_if(not identical) as different,
+  count_if(coalesce(archive = removed_by, false)) as deleted from r""")
+def q_cleanup_summary(spark, d):
+    compared = Cl.compared_pairs(_mem_with_7z(spark, d), A.dirfiles(spark, d))
+    return Cl.cleanup_summary(Cl.cleanup_plan(compared, Dc.AUTOMATIC, always_delete=True))

@@ -115,3 +115,9 @@ def test_run_stats(spark):
 def test_builtin_action_cannot_be_replaced():
     with pytest.raises(ValueError):
         P.register_actions({"move": lambda p, n: p})
+
+
+def test_action_registry_helpers():
+    custom = P.register_actions({"tag": lambda p, n: p})
+    assert P.available_actions(custom) == ["move", "delete", "compress", "tag"]
+    assert P.is_action_supported("tag", custom) and not P.is_action_supported("shred", custom)
