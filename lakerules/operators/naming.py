@@ -86,7 +86,8 @@ def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["claim_id", "final_name"])
 
 
-def resolve_names(claims: DataFrame, occupied: DataFrame, materialize: bool = True) -> DataFrame:
+def resolve_names(claims: DataFrame, occupied: DataFrame, materialize: bool = True,
+                  claims_are_cut: bool = False) -> DataFrame:
     """Final name per claim.
 
     claims: ``claim_id, seq, dir, name``; occupied: ``dir, name`` (entries already present).
@@ -100,7 +101,7 @@ def resolve_names(claims: DataFrame, occupied: DataFrame, materialize: bool = Tr
     from ..session import cut_lineage
 
     cl = claims.select("claim_id", "seq", "dir", "name").withColumn("key", name_key("name"))
-    if materialize:
+    if materialize and not claims_are_cut:
         cl = cut_lineage(cl)
     occ = (occupied.select("dir", "name").join(cl.select("dir").distinct(), "dir", "left_semi")
            .distinct().withColumn("key", name_key("name")))

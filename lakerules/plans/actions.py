@@ -100,7 +100,7 @@ def plan_actions(matched: DataFrame, rules, occupied: DataFrame, *, mode: str =
     claims = (p.filter((F.col("status") == PLANNED) & F.col("action_type").isin("move", "compress"))
               .select(F.col("seq").alias("claim_id"), "seq", F.col("target_dir").alias("dir"),
                       F.col("wanted_name").alias("name")))
-    names = resolve_names(claims, occupied.select(F.col("parent").alias("dir"), "name"))
+    names = resolve_names(claims, occupied.select(F.col("parent").alias("dir"), "name"), claims_are_cut=True)
     p = p.join(names.withColumnRenamed("claim_id", "seq"), "seq", "left")
     final = (F.when(F.col("status") == UNCHANGED, F.col("path"))
              .when(F.col("final_name").isNotNull(), path_of("target_dir", "final_name")))
