@@ -57,9 +57,13 @@ def rank_within(df: DataFrame, keys: list[str], order: str, n_parts: int | None
     partitions; each partition ranks its slice locally and adds the sizes of the slices before
     it (a tiny per-(group, partition) count table).
     """
+    from ..session import cut_lineage
+
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *keys, order).withColumn("_pid", F.spark_partition_id())
+    # the slice ids are written once: both branches below (and any retry after a lost executor)
+    # see the same assignment, even if range bounds were sampled again
+    r = cut_lineage(df.repartitionByRange(n, *keys, order).withColumn("_pid", F.spark_partition_id()))
     local = r.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_pid").orderBy(order)))
     counts = r.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
