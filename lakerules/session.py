@@ -43,6 +43,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -81,5 +82,30 @@ def cut_lineage(df):
     return spark.read.parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (as ``--py-files`` would).
+
+    Pandas UDFs, ``mapInPandas`` and ``applyInPandas`` refer to functions of this package by
+    module name, so the workers must be able to import it. A zip of the package is built once per
+    driver process and registered with the session.
+    """
+    key = str(id(spark))
+    if key in _shipped:
+        return
+    import shutil
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="lakerules-pkg-")
+    zpath = shutil.make_archive(os.path.join(out, "lakerules"), "zip", os.path.dirname(pkg), os.path.basename(pkg))
+    try:
+        spark.sparkContext.addPyFile(zpath)
+    except Exception:  # Spark Connect: no SparkContext on the client
+        spark.addArtifacts(zpath, pyfile=True)
+    _shipped.add(key)
+
+
 def sf_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
