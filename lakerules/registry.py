@@ -471,7 +471,6 @@ def q_top_differences(spark, d):
 # plans
 # =============================================================================================
 
-from .functions.rules import to_rules  # noqa: E402
 from .operators.naming import resolve_names  # noqa: E402
 from .plans import actions as P  # noqa: E402
 from .plans import decisions as Dc  # noqa: E402

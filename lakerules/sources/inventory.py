@@ -92,7 +92,7 @@ def collect_level(inv: DataFrame, base: str, include_hidden: bool = False) -> Da
 def collect_depth(inv: DataFrame, base: str, max_depth: int = 1, include_hidden: bool = False) -> DataFrame:
     """Entries at most ``max_depth`` levels below ``base``; hidden directories are not descended."""
     if max_depth < 1:
-        return inv.limit(0)
+        return inv.filter(F.lit(False))  # depth below 1 lists nothing
     rel = relative_to(path_of("parent", "name"), base)
     out = inv.withColumn("rel", rel).filter(F.col("rel").isNotNull() & (F.size(F.split("rel", "/")) <= max_depth))
     if not include_hidden:
