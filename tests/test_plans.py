@@ -121,3 +121,21 @@ def test_action_registry_helpers():
     custom = P.register_actions({"tag": lambda p, n: p})
     assert P.available_actions(custom) == ["move", "delete", "compress", "tag"]
     assert P.is_action_supported("tag", custom) and not P.is_action_supported("shred", custom)
+
+
+def test_sinks_write_only_what_the_plan_says(spark, tmp_path):
+    from lakerules.plans import sinks as S
+    rows = [("/b", "x.log", 1, 1, False), ("/b", "y.txt", 2, 1, False), ("/b", "z.bin", 3, 1, False)]
+    rules = [{"name": "logs", "conditions": {"end": ".log"}, "action": {"type": "delete"}},
+             {"name": "texts", "conditions": {"end": ".txt"}, "action": {"type": "move", "target": "t"}}]
+    plan, inv = _plan(spark, rows, rules, mode=Dc.AUTOMATIC, always_delete=True)
+    kept = S.write_survivors(inv, plan, str(tmp_path / "kept"), execute=True)
+    assert {r.name for r in kept.collect()} == {"y.txt", "z.bin"}
+    assert {r.name for r in spark.read.parquet(str(tmp_path / "kept")).collect()} == {"y.txt", "z.bin"}
+    S.write_routed(P.route(match_rules(inv, rules, AS_OF), rules), str(tmp_path / "routed"))
+    routed = {(r.name, r.route) for r in spark.read.parquet(str(tmp_path / "routed")).collect()}
+    assert routed == {("x.log", "logs"), ("y.txt", "texts"), ("z.bin", "_unmatched")}
+    S.write_plan(plan, str(tmp_path / "plan"))
+    assert spark.read.parquet(str(tmp_path / "plan")).count() == 2
+    after = {r.path for r in P.after_state(inv, plan).collect()}
+    assert after == {"/b/t/y.txt", "/b/z.bin"}
