@@ -8,12 +8,16 @@ extension, or at the end, removed), so claims can only interact inside one (dir,
 
 1. groups where no claim collides (wanted name unoccupied and claimed once) keep their names --
    a projection after two aggregates, the common case;
-2. colliding groups with a single wanted name use the closed form "claim ranked k takes the k-th
-   free slot": with occupied slots o_1 < o_2 < ... and a_i = o_i - (i - 1), the answer is
-   ``k - 1 + #{i : a_i <= k - 1}``. Ranks come from :func:`rank_within`, which splits a hot group
-   over many tasks by range partitioning;
-3. colliding groups with several wanted names (e.g. ``a.txt`` and ``a_1.txt``) are folded in
-   claim order by ``applyInPandas``, one group per call.
+2. inside a colliding group, a slot string ``<stem>_<j><suffix>`` belongs to exactly one wanted
+   name (its *parent*), so wanted names interact only along parent links (``a.txt`` ->
+   ``a_1.txt`` -> ``a_1_2.txt``). A name with no wanted parent or child takes the closed form
+   "claim ranked k takes the k-th free slot": with occupied slots o_1 < o_2 < ... and
+   a_i = o_i - (i - 1), the answer is ``k - 1 + #{i : a_i <= k - 1}``. Ranks come from
+   :func:`rank_within`, which splits a hot name over many tasks by range partitioning, and
+   occupied names reach their parent by an equi-join (no pairs inside a group);
+3. linked names (a parent and its wanted children) are folded in claim order by
+   ``applyInPandas``, one component per call; so are groups holding names such as ``b._1``
+   whose slots can have two parents.
 
 Names freed by other moves of the same run are not reused (no overwrite is ever planned).
 """
@@ -50,6 +54,22 @@ def slot_of(name, occupied) -> Column:
     return F.when(occ == name, F.lit(0).cast("bigint")).when(is_cand, mid.try_cast("bigint"))
 
 
+ODD_NAME_RE = r"\._[0-9]+$"
+
+
+def parents(name) -> Column:
+    """The (name, j) pairs of which ``name`` is candidate slot j >= 1 (at most two)."""
+    x = _c(name)
+    st, sx = stem_of(x), suffix_of(x)
+    j1 = F.regexp_extract(st, r"_([1-9][0-9]*)$", 1).try_cast("bigint")
+    w1 = F.concat(F.regexp_replace(st, r"_[1-9][0-9]*$", ""), sx)
+    j2 = F.regexp_extract(x, r"_([1-9][0-9]*)$", 1).try_cast("bigint")
+    w2 = F.regexp_replace(x, r"_[1-9][0-9]*$", "")
+    c1 = F.when((sx != "") & j1.isNotNull() & (candidate(w1, j1) == x), F.struct(w1.alias("name"), j1.alias("j")))
+    c2 = F.when(j2.isNotNull() & (candidate(w2, j2) == x), F.struct(w2.alias("name"), j2.alias("j")))
+    return F.array_distinct(F.filter(F.array(c1, c2), lambda v: v.isNotNull()))
+
+
 def rank_within(df: DataFrame, keys: list[str], order: str, n_parts: int | None = None) -> DataFrame:
     """``df`` + ``rank`` (1-based, by ``order``) within each ``keys`` group, without a hot task.
 
@@ -125,37 +145,64 @@ def resolve_names(claims: DataFrame, occupied: DataFrame, materialize: bool = Tr
     free = cl.join(hot_keys, ["dir", "key"], "left_anti").select("claim_id", F.col("name").alias("final_name"))
 
     busy = cl.join(hot_keys, ["dir", "key"])
-    names_per_key = busy.groupBy("dir", "key").agg(F.count_distinct("name").alias("n_names"))
+    wanted = busy.select("dir", "key", "name").distinct()
+    if materialize:
+        wanted = cut_lineage(wanted)
+    # Names whose slots can have two parents ('b._1' and 'b_2.' share 'b_2._1') keep their whole
+    # key group together; everywhere else a slot string belongs to exactly one wanted name.
+    odd_keys = (wanted.filter(F.col("name").rlike(ODD_NAME_RE) | F.col("name").endswith("."))
+                .select("dir", "key").distinct())
+    normal = wanted.join(odd_keys, ["dir", "key"], "left_anti")
+    # a wanted name interacts only with its parent and children among the wanted names
+    links = (normal.select("dir", "key", "name", F.explode(parents("name")).alias("p"))
+             .select("dir", "key", "name", F.col("p.name").alias("parent"))
+             .join(normal.select("dir", "key", F.col("name").alias("parent")), ["dir", "key", "parent"]))
+    labels = normal.withColumn("root", F.col("name"))
+    depth = normal.agg(F.max(F.size(F.regexp_extract_all("name", F.lit(r"_[0-9]+"), 0))).alias("d")).first()["d"] \
+        if materialize else 8
+    up = links.select("dir", "key", F.col("name").alias("root"), F.col("parent").alias("_up"))
+    for _ in range(int(depth or 0)):
+        labels = labels.join(up, ["dir", "key", "root"], "left").withColumn("root", F.coalesce("_up", "root")).drop("_up")
+    sizes = labels.groupBy("dir", "key", "root").agg(F.count(F.lit(1)).alias("_n"))
+    labels = labels.join(sizes, ["dir", "key", "root"])
     if materialize:
-        names_per_key = cut_lineage(names_per_key)
-    single = busy.join(names_per_key.filter(F.col("n_names") == 1).select("dir", "key"), ["dir", "key"])
-    multi_keys = names_per_key.filter(F.col("n_names") > 1).select("dir", "key")
+        labels = cut_lineage(labels)
+    isolated = labels.filter(F.col("_n") == 1).select("dir", "name")
+    grouped = labels.filter(F.col("_n") > 1).select("dir", "key", "name", "root")
     out = free
 
-    # (2) one wanted name: k-th free slot in closed form
-    if not materialize or not names_per_key.filter(F.col("n_names") == 1).isEmpty():
-        wanted = single.select("dir", "key", "name").distinct()
-        slots = (occ.join(wanted.withColumnRenamed("name", "wanted"), ["dir", "key"])
-                 .select("dir", "key", slot_of("wanted", "name").alias("slot")).filter(F.col("slot").isNotNull()))
-        ws = Window.partitionBy("dir", "key").orderBy("slot")
+    # occupied names as slots of the names they can be: themselves (slot 0) and their parent
+    occ_slots = (occ.select("dir", F.col("name").alias("x"), F.col("name").alias("w"), F.lit(0).cast("bigint").alias("slot"))
+                 .unionByName(occ.select("dir", F.col("name").alias("x"), F.explode(parents("name")).alias("p"))
+                              .select("dir", "x", F.col("p.name").alias("w"), F.col("p.j").alias("slot"))))
+
+    # (2) a name that interacts with no other wanted name: k-th free slot in closed form
+    if not materialize or not isolated.isEmpty():
+        single = busy.join(isolated, ["dir", "name"])
+        slots = occ_slots.join(isolated.withColumnRenamed("name", "w"), ["dir", "w"]).select("dir", F.col("w").alias("name"), "slot")
+        ws = Window.partitionBy("dir", "name").orderBy("slot")
         # a_i = o_i - (i - 1); a claim of rank k passes every a_i <= k - 1
         bounds = (slots.withColumn("a", F.col("slot") - F.row_number().over(ws) + 1)
                   .withColumn("c", F.row_number().over(ws)))
-        lead = Window.partitionBy("dir", "key").orderBy("a", "c")
-        intervals = bounds.withColumn("a_next", F.lead("a").over(lead)).select("dir", "key", "a", "a_next", "c")
-        ranked = rank_within(single, ["dir", "key"], "seq")
-        with_c = (ranked.join(intervals, (ranked.dir == intervals.dir) & (ranked.key == intervals.key)
+        lead = Window.partitionBy("dir", "name").orderBy("a", "c")
+        intervals = bounds.withColumn("a_next", F.lead("a").over(lead)).select("dir", "name", "a", "a_next", "c")
+        ranked = rank_within(single, ["dir", "name"], "seq")
+        with_c = (ranked.join(intervals, (ranked.dir == intervals.dir) & (ranked.name == intervals.name)
                               & (ranked.rank - 1 >= intervals.a)
                               & (intervals.a_next.isNull() | (ranked.rank - 1 < intervals.a_next)), "left")
                   .select(ranked.claim_id, ranked.name, ranked.rank, F.coalesce(intervals.c, F.lit(0)).alias("c")))
         out = out.unionByName(with_c.select("claim_id", candidate("name", F.col("rank") - 1 + F.col("c")).alias("final_name")))
 
-    # (3) several wanted names: sequential fold per group
-    if not materialize or not multi_keys.isEmpty():
-        mk_claims = busy.join(multi_keys, ["dir", "key"]).select("dir", "key", "claim_id", "seq", "name")
-        mk_occ = occ.join(multi_keys, ["dir", "key"]).select(
-            "dir", "key", F.lit(None).cast("bigint").alias("claim_id"), F.lit(None).cast("bigint").alias("seq"), "name")
-        out = out.unionByName(mk_claims.unionByName(mk_occ).groupBy("dir", "key")
+    # (3) names that interact (parent and children, or an odd key): sequential fold per component
+    fold_claims = (busy.join(grouped, ["dir", "key", "name"]).select("dir", "key", "root", "claim_id", "seq", "name")
+                   .unionByName(busy.join(odd_keys, ["dir", "key"]).select(
+                       "dir", "key", F.lit("").alias("root"), "claim_id", "seq", "name")))
+    if not materialize or not fold_claims.isEmpty():
+        nul = [F.lit(None).cast("bigint").alias("claim_id"), F.lit(None).cast("bigint").alias("seq")]
+        fold_occ = (occ_slots.join(grouped.withColumnRenamed("name", "w"), ["dir", "w"])
+                    .select("dir", "key", "root", *nul, F.col("x").alias("name"))
+                    .unionByName(occ.join(odd_keys, ["dir", "key"]).select("dir", "key", F.lit("").alias("root"), *nul, "name")))
+        out = out.unionByName(fold_claims.unionByName(fold_occ).groupBy("dir", "key", "root")
                               .applyInPandas(_fold_group, "claim_id bigint, final_name string"))
     return out
 

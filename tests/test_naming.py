@@ -52,3 +52,17 @@ def test_resolution_independent_of_partitioning(spark):
     a = sorted(resolve_names(cdf, odf).collect())
     b = sorted(resolve_names(cdf.repartition(5).orderBy(F.rand(1)), odf.repartition(3)).collect())
     assert a == b
+
+
+def test_name_trees_match_sequential_model(spark):
+    rng = random.Random(23)
+    bases = ["a.txt", "a_1.txt", "a_1_2.txt", "a_2.txt", "a_2_1_3.txt", "b.dat", "c", "c_3", "d.log",
+             "e.", "e._1", "f_7.txt"]
+    for trial in range(5):
+        occupied = {("/z", rng.choice(bases)) for _ in range(rng.randint(0, 6))}
+        occupied |= {("/z", f"a_{rng.randint(1, 6)}.txt") for _ in range(rng.randint(0, 3))}
+        claims = [(i, rng.randint(0, 10 ** 6) * 1000 + i, "/z", rng.choice(bases)) for i in range(60 + 30 * trial)]
+        cdf = spark.createDataFrame(claims, "claim_id long, seq long, dir string, name string")
+        odf = spark.createDataFrame(sorted(occupied) or [("/none", "none")], "dir string, name string")
+        got = {r.claim_id: r.final_name for r in resolve_names(cdf, odf).collect()}
+        assert got == py_resolve(claims, occupied), trial
