@@ -99,7 +99,9 @@ def list_members(archives: DataFrame, readers: list[tuple[str, Reader]] | None =
 
 def read_archives(spark: SparkSession, pattern: str, readers=None) -> DataFrame:
     """List members of archive files on storage (content is read inside the tasks)."""
-    files = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("archive"), "content")
+    # same path form as ``inventory.scan_files`` (local 'file:' scheme dropped) so plans join
+    files = (spark.read.format("binaryFile").load(pattern)
+             .select(F.regexp_replace("path", r"^file:", "").alias("archive"), "content"))
     return list_members(files, readers)
 
 

@@ -139,3 +139,38 @@ def test_sinks_write_only_what_the_plan_says(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "plan")).count() == 2
     after = {r.path for r in P.after_state(inv, plan).collect()}
     assert after == {"/b/t/y.txt", "/b/z.bin"}
+
+
+def test_end_to_end_on_real_files(spark, tmp_path):
+    """An archive next to its unpacked copy: the rule moves the archive with clean-up on, the
+    identical directory is planned for removal; in a dry run nothing is executed."""
+    import zipfile
+
+    from lakerules.sources.archives import read_archives
+    from lakerules.sources.inventory import relative_to, scan_files
+    base = str(tmp_path)
+    (tmp_path / "test").mkdir()
+    (tmp_path / "test" / "a.txt").write_text("alpha")
+    (tmp_path / "test" / "b.txt").write_text("beta!!")
+    with zipfile.ZipFile(tmp_path / "test.zip", "w") as z:
+        z.writestr("a.txt", "alpha")
+        z.writestr("b.txt", "beta!!")
+    files = scan_files(spark, base)
+    level = I.collect_level(I.entries(files), base)
+    assert {(r.name, r.is_directory) for r in level.collect()} == {("test.zip", False), ("test", True)}
+    rules = [{"name": "archives", "conditions": {"end": ".zip"}, "action": {"type": "move", "target": "archives"},
+              "delete_unpacked_on_match": True}]
+    members = read_archives(spark, f"{base}/*.zip")
+    from pyspark.sql import functions as F
+    dirfiles = (files.withColumn("p", F.concat("parent", F.lit("/"), "name"))
+                .select(F.lit(f"{base}/test").alias("dir"), relative_to("p", f"{base}/test").alias("rel"), "size")
+                .filter(F.col("rel").isNotNull()))
+    for mode, removed in ((Dc.AUTOMATIC, True), (Dc.DRY_RUN, False)):
+        matched = match_rules(level, rules, AS_OF)
+        plan = P.plan_actions(matched, rules, I.entry_names(files), mode=mode, always_delete=True)
+        out = Cl.cleanup_unpacked(plan, rules, members, dirfiles, mode, always_delete=True).collect()
+        if removed:
+            assert [(r.final_path, r.dir, r.identical, r.decision) for r in out] == [
+                (f"{base}/archives/test.zip", f"{base}/test", True, True)]
+        else:
+            assert out == []  # the move itself is not executed, so no clean-up follows
