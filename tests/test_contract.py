@@ -63,3 +63,13 @@ def test_stream_equals_batch(spark):
     stream = sorted(tuple(r) for r in q["match_stream"](spark, SF0001).select("seq", "rule_idx").collect())
     batch = sorted(tuple(r) for r in q["match_rules"](spark, SF0001).select("seq", "rule_idx").collect())
     assert stream == batch and len(batch) > 0
+
+
+def test_no_cartesian_products_in_any_plan(spark):
+    """Scale guard: no query plans a cartesian product; the only nested-loop join is the
+    rules-as-data matcher, whose rule table is broadcast after a size check."""
+    for name, fn in sorted(E.queries().items()):
+        plan = fn(spark, SF0001)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan, name
+        if name != "match_rules_join":
+            assert "BroadcastNestedLoopJoin" not in plan, name
