@@ -941,3 +941,11 @@ select count(*) as total_pairs, count_if(identical) as identical, count_if(not i
 def q_cleanup_summary(spark, d):
     compared = Cl.compared_pairs(_mem_with_7z(spark, d), A.dirfiles(spark, d))
     return Cl.cleanup_summary(Cl.cleanup_plan(compared, Dc.AUTOMATIC, always_delete=True))
+
+
+ORACLE["rule_checks_json"] = (
+    _CHECKS_SQL.replace("'unknown action type ''' || action_type || ''''", "'unknown action type ' || action_type")
+    .replace("checks as (", "checks as (select ruleset, rule_idx, name, 'V22' as \"check\", "
+                            "'''case_sensitive'' must be boolean' as detail from flat "
+                            "where rule_idx = 0 and right(ruleset, 1) in ('1', '3', '5', '7', '9') union all ", 1)
+    + _CHECKS_SELECT)
