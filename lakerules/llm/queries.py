@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakerules.llm import dedup, jaccard, langid, lm, mixing, quality, toxicity, urls
+from lakerules.llm import dedup, jaccard, langid, lm, mixing, pieces, quality, tokens, toxicity, urls
 from lakerules.session import ship_package
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -32,6 +32,20 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_piece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of every text, in digest: the ids themselves are the operator's."""
+    found = pieces.sample_segmentations(table(spark, sf_dir, "documents"))
+    decoded = pieces.decoder()(F.col("ids"))
+    return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "inclusion",
+                        F.xxhash64("ids").alias("ids_hash"),
+                        (F.xxhash64(decoded) == F.col("text_hash")).alias("round_trip"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every text, counted within its document."""
+    return tokens.attribute(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -68,6 +82,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixture": op1_mixture,
     "op2_language": op2_language,
+    "op3_piece_samples": op3_piece_samples,
+    "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
     "op6_language_model": op6_language_model,
     "op7_toxicity": op7_toxicity,
