@@ -16,8 +16,9 @@ least ``LEAST`` percent; linked documents form components.
    once per fragment, the overlaps are counted there and summed per pair.
 5. Candidates come in two rounds. First every document meets the smallest id of each shingle of
    its prefix: linear, and enough to connect a group of near copies however large. Then, in each
-   shingle, members of *different* groups meet. Pairs inside a group are connected already, so
-   thousands of near copies never meet all pairs; no candidate between groups is left out.
+   shingle, members of *different* groups meet whose sizes and positions allow a link. Pairs inside
+   a group are connected already, so thousands of near copies never meet all pairs; no candidate
+   between groups is left out.
 6. Components by large-star and small-star steps on the links.
 
 Shingles are compared by 64-bit hashes (58 bits inside a fragment when counting overlaps): a chance
@@ -39,6 +40,7 @@ from lakerules.llm._text import U64, Words, mix, salt, shingles, slices, sorted_
 
 SHINGLE = 5
 LEAST = 75  # percent
+SIZE_STEP = 1.4  # ratio of size classes; more than 100 / LEAST, so partners are one class apart at most
 HASH_BITS = 58  # of an order key: fragment above, hash below
 
 
@@ -164,21 +166,31 @@ def _leader_pairs(prefix: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(prefix: DataFrame) -> DataFrame:
-    """Candidates whose two documents have different labels. Shingles with one label only drop out
-    first; then labels meet, and only then the documents of two different labels."""
+    """Candidates whose two documents have different labels.
+
+    Shingles with one label drop out first. In the others, documents of the most frequent label meet
+    only those of other labels. Of two documents the smaller one must have the shingle it shares
+    first within a seventh of its set (else the rest cannot reach 75 %), and the larger one has at
+    most 4/3 of its size: so only such rows meet, within classes of size.
+    """
     groups = prefix.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("members"))
-    mixed = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("gram")
-    groups = groups.join(mixed, "gram").select("gram", "label")
-    a = groups.withColumnRenamed("label", "label_x")
-    b = groups.withColumnRenamed("label", "label_y")
-    labels = a.join(b, "gram").filter("label_x < label_y")
-    x = prefix.select("gram", F.col("label").alias("label_x"), F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"))
-    y = prefix.select("gram", F.col("label").alias("label_y"), F.col("doc_id").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"))
-    # Sizes and positions as part of the join's condition: pairs that cannot do are never rows.
+    top = groups.groupBy("gram").agg(F.max(F.struct("members", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    rows = prefix.join(top.filter("labels > 1").select("gram", F.col("top.label").alias("main")), "gram")
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(SIZE_STEP)))
+    rows = rows.select("gram", "doc_id", "n", "at", "label", (F.col("label") != F.col("main")).alias("minor"), size.alias("size"))
+    small = rows.filter("(100 + {0}) * (n - at) >= 2 * {0} * n".format(LEAST))
+    small = small.select("gram", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("doc_id").alias("x"),
+                         F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("label").alias("label_x"), "minor")
+    large = rows.select(F.col("gram").alias("g"), F.col("size").alias("s"), F.col("doc_id").alias("y"), F.col("n").alias("n_y"),
+                        F.col("at").alias("at_y"), F.col("label").alias("label_y"), F.col("minor").alias("minor_y"))
     reach = _can_reach(F.col("n_x"), F.col("n_y"), F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    met = labels.join(x, ["gram", "label_x"])
-    met = met.join(y, (met["gram"] == y["gram"]) & (met["label_y"] == y["label_y"]) & reach)
-    return met.select("x", "y", "n_x", "n_y").distinct()
+    meet = ((F.col("gram") == F.col("g")) & (F.col("size") == F.col("s")) & (F.col("n_x") <= F.col("n_y"))
+            & (F.col("label_x") != F.col("label_y")) & reach)
+    met = small.filter("minor").join(large, meet).unionByName(small.filter("not minor").join(large.filter("minor_y"), meet))
+    first = F.col("x") < F.col("y")
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
+                      F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_x"),
+                      F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_y")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -256,7 +268,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     label = up.join(top, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
     labelled = cut(prefix.join(label, prefix["doc_id"] == label["node"], "left").select(
         "gram", "doc_id", "n", "at", F.coalesce("label", "doc_id").alias("label")))
-    far = _verified(_cross_pairs(labelled).join(pairs.select("x", "y"), ["x", "y"], "left_anti"), parts)
+    others = cut(_cross_pairs(labelled).join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
+    far = _verified(others, parts)
     found = components(near.union(far))
 
     named = classes.join(found, classes["class_id"] == found["node"], "left").select(
