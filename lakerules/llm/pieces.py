@@ -42,7 +42,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ZIPF = 1.0
 SAMPLES = 2
 SEED = 20
-SLICE = 1 << 21
+SLICE = 1 << 20
 NO_EDGE = -2
 SPACE = "▁"
 
@@ -165,8 +165,8 @@ class Lattices:
             table[where[hit], most - length] = ids
             where = where[on]
         flat = np.flatnonzero(table.ravel() != NO_EDGE)
-        position, piece = flat // most, table.ravel()[flat]
-        length = most - (flat - position * most)
+        position, piece = (flat // most).astype(np.int32), table.ravel()[flat]
+        length = (most - (flat - position.astype(np.int64) * most)).astype(np.int32)
         self.edge_at = np.searchsorted(position, np.arange(n + 1))
         value = vocab.weight[piece]
         bytes_ = piece < 0
@@ -194,7 +194,7 @@ class Lattices:
         total_p = np.cumsum(np.exp(self.log_p))
         self.cdf = total_p - np.concatenate(([0.0], total_p))[self.edge_at[:-1]][position]
         self.cdf[self.edge_at[1:] - 1] = 2.0  # the last edge takes what rounding leaves
-        self.rest = rest
+        self.rest = rest.astype(np.int32)
         # Bytes of the characters, for those that fall back to bytes.
         self.width, self.byte_at, self.letters = width, byte_at, letters
 
@@ -278,7 +278,7 @@ class _Row:
         lat, edges = self.lat, self.paths[path][0]
         used = self.taken[path].setdefault(at, [int(edges[at])])
         p = lat.position[edges[at]]
-        options = np.setdiff1d(np.arange(lat.edge_at[p], lat.edge_at[p + 1]), used)
+        options = np.array([e for e in range(lat.edge_at[p], lat.edge_at[p + 1]) if e not in used])
         chance = np.exp(lat.log_p[options] - lat.log_p[options].max())
         u = uniforms(self.seed, np.array([at]), 2000 + len(self.paths))[0]
         pick_ = min(int(np.searchsorted(np.cumsum(chance) / chance.sum(), u)), len(options) - 1)
@@ -343,7 +343,7 @@ def piece_ids(lat: Lattices, vocab: Vocabulary, edges: np.ndarray) -> np.ndarray
     return out
 
 
-def _sample(k: int, path: str, zipf: float, carry: list[str]):
+def _sample(k: int, path: str, zipf: float, carry: list[str], decoded: bool):
     def sample(batches):
         vocab = vocabulary(path, zipf)
         for batch in batches:
@@ -365,17 +365,20 @@ def _sample(k: int, path: str, zipf: float, carry: list[str]):
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch[c].take(take) for c in carry], pa.array(number, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                     pa.array(log_p, pa.float64()), pa.array(score, pa.float64())],
-                    names=[*carry, "sample", "ids", "log_prob", "inclusion"])
+                columns = {c: batch[c].take(take) for c in carry} | {
+                    "sample": pa.array(number, pa.int32()),
+                    "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    "log_prob": pa.array(log_p, pa.float64()), "inclusion": pa.array(score, pa.float64())}
+                if decoded:
+                    columns["text"] = pa.array([decode_ids(x, vocab) for x in ids], pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
     return sample
 
 
 def sample_segmentations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES,
-                         seed: int = SEED, path: str = MODEL, zipf: float = ZIPF) -> DataFrame:
-    """``doc_id, text_hash, sample, ids, log_prob, inclusion``: up to ``k`` rows per input row.
+                         seed: int = SEED, path: str = MODEL, zipf: float = ZIPF, decoded: bool = False) -> DataFrame:
+    """``doc_id, text_hash, sample, ids, log_prob, inclusion``: up to ``k`` rows per input row; with
+    ``decoded`` also ``text``, decoded from the ids in the same pass.
 
     ``sample`` counts from 0 in the order found, the largest perturbed value first; ``inclusion`` is
     the log inclusion score. ``text_hash`` is the text's xxhash64, by which decoded text can be
@@ -391,8 +394,9 @@ def sample_segmentations(df: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.select("doc_id", "text", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("seed"),
                        F.xxhash64(spaced(F.col("text"))).alias("text_hash"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_sample(k, path, zipf, ["doc_id", "text_hash"]),
-                           f"doc_id {kind}, text_hash long, sample int, ids array<int>, log_prob double, inclusion double")
+    return rows.mapInArrow(_sample(k, path, zipf, ["doc_id", "text_hash"], decoded),
+                           f"doc_id {kind}, text_hash long, sample int, ids array<int>, log_prob double, inclusion double"
+                           + ", text string" * decoded)
 
 
 def spaced(text: Column) -> Column:
@@ -400,28 +404,23 @@ def spaced(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit(SPACE), F.lit(" "))
 
 
+def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> str:
+    """The text of piece ids. Ids out of range and control pieces give nothing; bytes that are not
+    UTF-8 become U+FFFD."""
+    ids = ids[(ids >= 0) & (ids < len(vocab.bytes_at) - 1)]
+    begin = vocab.bytes_at[ids]
+    n = vocab.bytes_at[ids + 1] - begin
+    source = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+    text = vocab.bytes[source].tobytes().decode("utf-8", "replace")
+    return text[1:] if text[:1] == " " else text
+
+
 def decoder(path: str = MODEL):
-    """A column function: piece ids -> text. Null ids give null; ids out of range or without text
-    (control pieces) give nothing; bytes that are not UTF-8 become U+FFFD."""
+    """A column function: piece ids -> text (see ``decode_ids``). Null ids give null."""
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         vocab = vocabulary(path)
-        if isinstance(ids, pa.ChunkedArray):
-            ids = ids.combine_chunks()
-        bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
-        out = []
-        for low in range(0, len(ids), 256):
-            part = ids.slice(low, 256)
-            flat = pc.fill_null(part.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = np.where((flat >= 0) & (flat < len(vocab.bytes_at) - 1), flat, 0)
-            n = np.diff(vocab.bytes_at)[flat]
-            source = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(vocab.bytes_at[flat], n)
-            data = vocab.bytes[source].tobytes()
-            ends = np.concatenate(([0], np.cumsum(n)))[bounds[low:low + len(part) + 1] - bounds[low]]
-            for a, b, null in zip(ends[:-1], ends[1:], part.is_null().to_pylist()):
-                text = data[a:b].decode("utf-8", "replace")
-                out.append(None if null else text[1:] if text[:1] == " " else text)
-        return pa.array(out, pa.string())
+        return pa.array([None if x is None else decode_ids(np.array(x, np.int64), vocab) for x in ids.to_pylist()], pa.string())
 
     return decode

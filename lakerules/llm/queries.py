@@ -34,11 +34,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_piece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two segmentations of every text, in digest: the ids themselves are the operator's."""
-    found = pieces.sample_segmentations(table(spark, sf_dir, "documents"))
-    decoded = pieces.decoder()(F.col("ids"))
+    found = pieces.sample_segmentations(table(spark, sf_dir, "documents"), decoded=True)
     return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "inclusion",
                         F.xxhash64("ids").alias("ids_hash"),
-                        (F.xxhash64(decoded) == F.col("text_hash")).alias("round_trip"))
+                        (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ WINDOW = 4
 STEP = 2
 WARM_STEPS, ROUNDS, STEPS, RATE, DECAY = 60, 20, 10, 0.05, 3e-6
 SEED = "toxicity-1"
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def word_buckets(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,18 +119,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_texts([r["text"] for r in got], y, share, rounds, steps)
 
 
+def _sample_words(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Words per text, each word's distinct word, and the distinct words' buckets; slice by slice."""
+    counts, hashes, seen, buckets, sizes = [], [], [], [], []
+    for low, high in slices(texts, SLICE):
+        words = Words(texts.slice(low, high - low))
+        _, bucket, at = word_buckets(words)
+        counts.append(words.counts)
+        hashes.append(words.hash)
+        seen.append(np.unique(words.hash))
+        buckets.append(bucket.astype(np.int32))
+        sizes.append(np.diff(at))
+    keys, first = np.unique(np.concatenate(seen), return_index=True)
+    size, bucket = np.concatenate(sizes), np.concatenate(buckets)
+    begin, size = (np.cumsum(size) - size)[first], size[first]
+    at = np.concatenate(([0], np.cumsum(size)))
+    bucket = bucket[np.arange(at[-1]) + np.repeat(begin - at[:-1], size)]
+    which = np.concatenate([np.searchsorted(keys, h).astype(np.int32) for h in hashes])
+    return np.concatenate(counts), which, bucket, at
+
+
 def fit_texts(texts: list[str], y: np.ndarray, share: dict, rounds: int = ROUNDS, steps: int = STEPS) -> dict:
     """The model of these texts and labels; ``share`` has the true number of each label."""
-    words = Words(pa.array(texts, pa.large_string()))
-    which, bucket, at = word_buckets(words)
-    bucket, which = bucket.astype(np.int32), which.astype(np.int32)
-    row, start, end = windows(words.first)
+    counts, which, bucket, at = _sample_words(pa.array(texts, pa.large_string()))
+    row, start, end = windows(np.concatenate(([0], np.cumsum(counts))))
     rng = np.random.default_rng(11)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     softmax = rng.normal(0, 0.1, (2, DIMENSIONS))
     bias = np.zeros(2)
     fold = np.arange(len(texts)) % 5
-    kept = (fold != 4) & (words.counts > 0)
+    kept = (fold != 4) & (counts > 0)
     each = np.where(y == 1, 0.5 / max(1, y[kept].sum()), 0.5 / max(1, (1 - y[kept]).sum())) * kept
     size = np.diff(at)
 
@@ -147,7 +165,7 @@ def fit_texts(texts: list[str], y: np.ndarray, share: dict, rounds: int = ROUNDS
 
     # First whole documents as one window each, then every document's worst window.
     docs = np.flatnonzero(kept)
-    spans = (docs, words.first[:-1][docs], words.first[1:][docs])
+    spans = (docs, (np.cumsum(counts) - counts)[docs], np.cumsum(counts)[docs])
     for turn in range(rounds + 1):
         if turn:
             chosen = worst(word_values(table()))
