@@ -87,11 +87,16 @@ def sides(members: DataFrame, dirfiles: DataFrame, pairs: DataFrame | None = Non
     return pairs, a, d
 
 
+def same_size():
+    """A size that is not known on either side never counts as equal: it must not allow a delete."""
+    return F.coalesce(F.col("archive_size") == F.col("dir_size"), F.lit(False))
+
+
 def compare(a: DataFrame, d: DataFrame) -> DataFrame:
     """Full outer join on (archive, dir, rel) and classify every name."""
     j = a.withColumn("_a", F.lit(True)).join(d.withColumn("_d", F.lit(True)), KEY, "full_outer")
     kind = (F.when(F.col("_a").isNull(), "extra").when(F.col("_d").isNull(), "missing")
-            .when(F.col("archive_size") != F.col("dir_size"), "size_mismatch").otherwise("same"))
+            .when(same_size(), "same").otherwise("size_mismatch"))
     return j.select(*KEY, kind.alias("kind"), "archive_size", "dir_size")
 
 
@@ -110,7 +115,7 @@ def diff_extra(a: DataFrame, d: DataFrame) -> DataFrame:
 
 
 def diff_size(a: DataFrame, d: DataFrame) -> DataFrame:
-    return a.join(d, KEY, "inner").filter(F.col("archive_size") != F.col("dir_size"))
+    return a.join(d, KEY, "inner").filter(~same_size())
 
 
 def identical_pairs(pairs: DataFrame, diffs: DataFrame) -> DataFrame:

@@ -32,12 +32,12 @@ select distinct 'conv_'||conv_id, role||'/', cast(0 as bigint) from conversation
 TREE = """tree as (select '/'||regexp_replace(regexp_replace(url,'^https?://',''),'[?#].*$','') as path,
   cast(length(html) as bigint) as size, page_id as seq from pages)"""
 
-TXT = """txt as (select doc_id as seq, '/'||source||'/'||lang as parent, substr(text,1,24) as name_nfc,
-  replace(substr(text,1,24),'\u00e9','e\u0301') as name_nfd, n_chars as size from documents)"""
+TXT = """txt as (select doc_id as seq, '/'||source||'/'||lang as parent, text as name_nfc,
+  replace(text,'\u00e9','e\u0301') as name_nfd, n_chars as size from documents)"""
 
 APPR = """appr as (select event_id as id, event_type as key,
   case when event_id%97=3 then 'never' when event_id%89=5 then 'a' when event_id%2=0 then 'n' else '' end as resp
-from events where value>100)"""
+from events)"""
 
 RULES = """rules as (select s.source as ruleset, r.* from (values
  (0,'old tmp','end','.tmp','delete',null), (0,'old tmp','older','7d','delete',null),

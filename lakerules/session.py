@@ -59,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
+    if not spark.conf.get("spark.master", "local").startswith("local[") and spark.conf.get("spark.master", "local") != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = str(id(spark))
     if key not in _local_ckpt:
         _local_ckpt[key] = tempfile.mkdtemp(prefix="lakerules-ckpt-")

@@ -104,9 +104,9 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def txt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT: document starts as names, in NFC and in a decomposed form."""
+    """TXT: whole document texts as names, in NFC and in a decomposed form."""
     d = table(spark, sf_dir, "documents")
-    name = F.substring(d.text, 1, 24)
+    name = d.text
     return d.select(d.doc_id.alias("seq"), F.concat(F.lit("/"), d.source, F.lit("/"), d.lang).alias("parent"),
                     name.alias("name_nfc"), F.replace(name, F.lit("\u00e9"), F.lit("e\u0301")).alias("name_nfd"),
                     d.n_chars.alias("size"))
@@ -117,7 +117,7 @@ def appr(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     resp = (F.when(e.event_id % 97 == 3, "never").when(e.event_id % 89 == 5, "a")
             .when(e.event_id % 2 == 0, "n").otherwise(""))
-    return e.filter(e.value > 100).select(e.event_id.alias("id"), e.event_type.alias("key"), resp.alias("resp"))
+    return e.select(e.event_id.alias("id"), e.event_type.alias("key"), resp.alias("resp"))
 
 
 # Fixed rule rows of the RULES adapter (one rule set, flattened to one condition per row).

@@ -92,3 +92,9 @@ def test_top_differences_caps_lines(spark):
     lines = sorted((r.line, r.message) for r in D.top_differences(D.structure_diff(m, d), 5).collect())
     assert len(lines) == 6 and lines[0][1] == "Missing in directory: m00.txt"
     assert lines[-1][1] == "... and 4 more differences"
+
+
+def test_unknown_size_never_counts_as_equal(spark):
+    for left, right in ((None, 5), (5, None), (None, None)):
+        ident, diffs = _compare(spark, [("/q/box.zip", "kept.bin", left, 0)], [("/q/box", "kept.bin", right)])
+        assert ident == {"/q/box.zip": False} and diffs == {("kept.bin", "size_mismatch")}
