@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -91,11 +90,8 @@ def rules_frame(spark: SparkSession, rules) -> DataFrame:
     return spark.createDataFrame(rows, RULES_SCHEMA)
 
 
-def rules_from_frame(df: DataFrame, max_rules: int = 100_000) -> list[Rule]:
-    """Collect a rules table after checking its size (rules are configuration, bounded)."""
-    n = df.count()
-    if n > max_rules:
-        raise ValueError(f"rule table has {n} rows, more than {max_rules}; match it with a join instead")
+def rules_from_frame(df: DataFrame) -> list[Rule]:
+    """The rules of a rules table, as configuration: their number does not grow with the data."""
     out = []
     for r in df.orderBy("rule_idx").collect():
         out.append(Rule(idx=int(r["rule_idx"]), conditions=dict(r["conditions"] or {}),
@@ -104,15 +100,3 @@ def rules_from_frame(df: DataFrame, max_rules: int = 100_000) -> list[Rule]:
                         is_directory=_flag(r["is_directory"]),
                         delete_unpacked_on_match=_flag(r["delete_unpacked_on_match"])))
     return out
-
-
-def flatten_rule_rows(df: DataFrame) -> DataFrame:
-    """Rows (rule_idx, name, cond_key, cond_value, action_type, target) -> one row per rule.
-
-    ``posexplode`` keeps the conditions' order; ``map_from_entries`` builds the condition map.
-    """
-    return (df.groupBy("rule_idx")
-            .agg(F.first("name", ignorenulls=True).alias("name"),
-                 F.map_from_entries(F.sort_array(F.collect_list(F.struct("cond_key", "cond_value")))).alias("conditions"),
-                 F.first("action_type", ignorenulls=True).alias("action_type"),
-                 F.first("target", ignorenulls=True).alias("target")))

@@ -4,8 +4,9 @@ Two physical forms with the same answer:
 
 * ``match_rules`` compiles the ordered rules into one ``CASE WHEN`` (first true branch wins). It is
   a pure projection: no shuffle, whole-stage codegen, literal bounds for size and time.
-* ``match_rules_join`` keeps the rules as data: the (size-checked) rule table is broadcast, a
-  nested-loop join emits (row, rule) hits and ``min(rule_idx)`` picks the first.
+* ``match_rules_join`` keeps the rules as data: one constant array of structs, from which a
+  higher-order filter takes the first hit of each row. It is a projection as well, and its size as
+  generated code does not depend on the number of rules.
 
 ``check_archive`` rules also fire when any member of the archive satisfies the conditions. The
 members are evaluated map-side into one bit per such rule, OR-ed per archive (partial aggregate
@@ -14,6 +15,7 @@ before the shuffle) and joined back only onto archive rows.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +27,6 @@ from ..functions.rules import Rule, as_of_micros, rules_from_frame, to_rules
 
 BITS_PER_MASK = 62  # bits used per bigint mask column (sign bit kept clear)
 RULES_PER_CASE = 40  # rules per CASE chunk (measured best with hugeMethodLimit=8000)
-MAX_BROADCAST_RULES = 10_000
 
 
 FOLDED = "__lname"  # lower-cased name, computed once per row for all case-insensitive tests
@@ -175,9 +176,13 @@ def rule_patterns(rules) -> list[str]:
     return out
 
 
-def rule_table(spark: SparkSession, rules, as_of) -> DataFrame:
-    """One row per rule with every condition parsed into a typed column (NULL = not given);
-    a regex is referenced by its position in :func:`rule_patterns`."""
+RULE_FIELDS = ("rule_idx int, r_is_directory boolean, r_case boolean, r_start string, r_end string, "
+               "r_contain string, r_regex int, r_larger bigint, r_smaller bigint, r_older_us bigint, r_newer_us bigint")
+
+
+def rule_array(rules, as_of) -> Column:
+    """The rules in order as a constant array of structs, every condition parsed into a typed field
+    (NULL = not given); a regex is referenced by its position in :func:`rule_patterns`."""
     rules = to_rules(rules)
     as_of = as_of_micros(as_of)
     patterns = rule_patterns(rules)
@@ -196,47 +201,63 @@ def rule_table(spark: SparkSession, rules, as_of) -> DataFrame:
             as_of - py_parse_duration(c["older"]) * 1_000_000 if "older" in c else None,
             as_of - py_parse_duration(c["newer"]) * 1_000_000 if "newer" in c else None,
         ))
-    schema = ("rule_idx int, r_is_directory boolean, r_case boolean, r_start string, r_end string, "
-              "r_contain string, r_regex int, r_larger bigint, r_smaller bigint, r_older_us bigint, r_newer_us bigint")
-    return spark.createDataFrame(rows, schema)
-
-
-def _join_condition(rows: DataFrame, rt: DataFrame) -> Column:
-    name = F.when(rt.r_case, rows.name).otherwise(rows[FOLDED])
-    us = F.unix_micros(rows.mtime)
-
-    def opt(col, pred):
-        return col.isNull() | pred
-
-    return (
-        (F.coalesce(rows.is_directory, F.lit(False)) == rt.r_is_directory)
-        & opt(rt.r_start, F.startswith(name, rt.r_start))
-        & opt(rt.r_end, F.endswith(name, rt.r_end))
-        & opt(rt.r_contain, F.contains(name, rt.r_contain))
-        & opt(rt.r_regex, F.element_at(rows["__re"], rt.r_regex + 1))
-        & opt(rt.r_larger, rows.size > rt.r_larger)
-        & opt(rt.r_smaller, rows.size < rt.r_smaller)
-        & opt(rt.r_older_us, us <= rt.r_older_us)
-        & opt(rt.r_newer_us, us >= rt.r_newer_us)
-    )
-
-
-def match_rules_join(inv: DataFrame, rules_df: DataFrame, as_of) -> DataFrame:
-    """Rules as a table: broadcast nested-loop join (rule count checked) + ``min(rule_idx)``.
-
-    The post-join aggregate groups by the row's own key (``seq``) so a hot directory or rule
-    cannot skew it; rows without any hit are kept by the left join.
+    names = [f.split()[0] for f in RULE_FIELDS.split(", ")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    return F.from_json(F.lit(text), f"array<struct<{RULE_FIELDS.replace(' ', ':').replace(',:', ',')}>>")
+
+
+def _first_hit(rules: list[Rule], as_of, name: str, regexes: str, gate: bool) -> Column:
+    """Index of the first of ``rules`` whose conditions a row meets; with ``gate`` its kind as well.
+    ``regexes`` is the row's array of pattern results."""
+    us = F.unix_micros("mtime")
+
+    def hit(r: Column) -> Column:
+        text = F.when(r["r_case"], F.col(name)).otherwise(F.col(FOLDED))
+        tests = [
+            r["r_start"].isNull() | F.startswith(text, r["r_start"]),
+            r["r_end"].isNull() | F.endswith(text, r["r_end"]),
+            r["r_contain"].isNull() | F.contains(text, r["r_contain"]),
+            r["r_regex"].isNull() | F.get(F.col(regexes), r["r_regex"]),
+            r["r_larger"].isNull() | (F.col("size") > r["r_larger"]),
+            r["r_smaller"].isNull() | (F.col("size") < r["r_smaller"]),
+            r["r_older_us"].isNull() | (us <= r["r_older_us"]),
+            r["r_newer_us"].isNull() | (us >= r["r_newer_us"]),
+        ]
+        if gate:
+            tests.insert(0, F.coalesce(F.col("is_directory"), F.lit(False)) == r["r_is_directory"])
+        return reduce(lambda a, b: a & b, tests)
+
+    return F.get(F.filter(rule_array(rules, as_of), hit), F.lit(0))["rule_idx"]
+
+
+def _with_tests(df: DataFrame, name: str, patterns: list[str]) -> DataFrame:
+    """Per row, once: the folded name and every distinct regex as a literal pattern (a pattern taken
+    from a struct would be recompiled for every rule)."""
+    tests = [F.col(name).rlike(p) for p in patterns]
+    return df.withColumn(FOLDED, F.lower(name)).withColumn(
+        "__re", F.array(*tests) if tests else F.array().cast("array<boolean>"))
+
+
+def match_rules_join(inv: DataFrame, rules_df: DataFrame, as_of, members: DataFrame | None = None) -> DataFrame:
+    """Rules as a table -> inventory + ``rule_idx``, the same answer as :func:`match_rules`.
+
+    A projection without a shuffle. With ``members`` the first ``check_archive`` rule that a member
+    meets is a ``min`` per archive, which only archive rows join; an archive is a file, so rules for
+    directories have no say there.
     """
-    spark = inv.sparkSession
-    rules = rules_from_frame(rules_df, MAX_BROADCAST_RULES)  # size checked before broadcast
-    rt = rule_table(spark, rules, as_of)
-    # per row, once: the folded name and every distinct regex as a literal pattern (a pattern
-    # taken from a column would be recompiled whenever consecutive rules differ)
-    pats = rule_patterns(rules)
-    rows = inv.withColumn(FOLDED, F.lower("name")).withColumn(
-        "__re", F.array(*[F.col("name").rlike(p) for p in pats]) if pats else F.array().cast("array<boolean>"))
-    joined = rows.join(F.broadcast(rt), _join_condition(rows, rt), "left")
-    keep = [c for c in inv.columns if c != "seq"]
-    return (joined.groupBy("seq")
-            .agg(*[F.first(c).alias(c) for c in keep], F.min("rule_idx").alias("rule_idx"))
-            .select(*inv.columns, "rule_idx"))
+    rules = rules_from_frame(rules_df)
+    patterns = rule_patterns(rules)
+    out = _with_tests(inv, "name", patterns).withColumn("rule_idx", _first_hit(rules, as_of, "name", "__re", True))
+    out = out.select(*inv.columns, "rule_idx")
+    inside = [r for r in archive_rules(rules) if not r.is_directory]
+    if members is None or not inside:
+        return out
+    m = members if "mtime" in members.columns else members.withColumn("mtime", F.lit(None).cast("timestamp"))
+    patterns = rule_patterns(inside)
+    hits = (_with_tests(m, "member", patterns)
+            .select(F.col("archive").alias("__path"), _first_hit(inside, as_of, "member", "__re", False).alias("__inside"))
+            .filter("__inside is not null").groupBy("__path").agg(F.min("__inside").alias("__inside")))
+    arch = F.coalesce(is_archive("name") & ~F.coalesce(F.col("is_directory"), F.lit(False)), F.lit(False))
+    found = (out.filter(arch).withColumn("__path", path_of("parent", "name")).join(hits, "__path", "left")
+             .withColumn("rule_idx", F.least("rule_idx", "__inside")))
+    return found.select(*inv.columns, "rule_idx").unionByName(out.filter(~arch))

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_compressed_file, parent_of, path_of, zip_name
+from ..functions.columns import dir_path, is_compressed_file, parent_of, path_of, zip_name
 from ..functions.conditions import ACTION_TYPES
 from ..functions.rules import to_rules
 from ..operators.match import rule_attribute
@@ -31,54 +31,63 @@ PLAN_COLS = ["seq", "path", "parent", "name", "is_directory", "rule_idx", "actio
 
 def entry_seq(df: DataFrame) -> DataFrame:
     """Processing order: ``seq`` where given, else a stable hash of the path (directory rows)."""
+    return df.withColumn("seq", seq_of(df))
+
+
+def seq_of(df: DataFrame) -> Column:
     h = F.xxhash64(path_of("parent", "name"))
-    if "seq" in df.columns:
-        return df.withColumn("seq", F.coalesce(F.col("seq"), h))
-    return df.withColumn("seq", h)
+    return F.coalesce(F.col("seq"), h) if "seq" in df.columns else h
 
 
-def clean_target(target: str | None) -> tuple[bool, str] | None:
-    """(absolute?, target with empty and '.' segments removed); None when there is no target."""
+def clean_target(target: str | None) -> tuple[bool, int, str] | None:
+    """(absolute?, levels to go up from the entry's directory, path below that) of a target;
+    None when there is no target. Empty, '.' and '..' segments are resolved here, so that names
+    are looked up in the folder the entry would really land in."""
     if target is None or str(target) == "":
         return None
-    t = str(target)
-    return t.startswith("/"), "/".join(p for p in t.split("/") if p not in ("", "."))
+    absolute, ups, parts = str(target).startswith("/"), 0, []
+    for p in str(target).split("/"):
+        if p == "..":
+            if parts:
+                parts.pop()
+            elif not absolute:  # above the root is the root
+                ups += 1
+        elif p not in ("", "."):
+            parts.append(p)
+    return absolute, ups, "/".join(parts)
+
+
+def target_dir(parent, absolute, ups, rel) -> Column:
+    """Directory that a target (see :func:`clean_target`) names for an entry of ``parent``."""
+    base = F.regexp_replace(F.col(parent), r"/+$", "")
+    levels = F.greatest(F.size(F.split(F.col(parent), "/+(?=.)")) - ups, F.lit(0))
+    above = F.when(absolute, "").when(ups == 0, base).otherwise(F.array_join(F.slice(F.split(base, "/+"), F.lit(1), levels), "/"))
+    return dir_path(F.concat_ws("/", above, F.nullif(rel, F.lit(""))))
 
 
 def rule_attrs(spark, rules, custom=None) -> DataFrame:
     """One row per rule with what a plan needs, computed once on the driver (rules are small)."""
-    rules = to_rules(rules)
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules exceed the broadcast bound of {MAX_RULES}")
-    rows = []
-    for r in rules:
-        ct = clean_target(r.target)
-        rows.append((r.idx, r.name, r.action_type, r.target, None if ct is None else ct[0], None if ct is None else ct[1]))
+    rows = [(r.idx, r.name, r.action_type, r.target, *(clean_target(r.target) or (None, None, None)))
+            for r in to_rules(rules)]
     return spark.createDataFrame(rows, "rule_idx int, rule_name string, action_type string, target string, "
-                                       "target_abs boolean, target_rel string")
-
-
-MAX_RULES = 10_000
+                                       "target_abs boolean, target_ups int, target_rel string")
 
 
 def plan_rows(matched: DataFrame, rules, custom: dict[str, Callable] | None = None) -> DataFrame:
     """Matched entries (``rule_idx`` not NULL) -> action, target directory and M4 status.
 
-    Rule attributes arrive through a broadcast join with the (size-checked) rule table, so rows
-    carry plain columns instead of one ``CASE`` per attribute.
+    Rule attributes arrive through a join with the rule table, so rows carry plain columns instead
+    of one ``CASE`` per attribute; Spark broadcasts the table if it is small.
     """
     known = list(ACTION_TYPES) + list((custom or {}).keys())
     m = entry_seq(matched.filter(F.col("rule_idx").isNotNull()))
-    m = m.join(F.broadcast(rule_attrs(matched.sparkSession, rules, custom)), "rule_idx", "left")
-    atype, base = F.col("action_type"), F.col("parent")
-    rel = F.col("target_rel")
-    tdir = (F.when(F.col("target_abs"), F.concat(F.lit("/"), rel))
-            .when(F.col("target_abs").isNotNull(),
-                  F.when(rel == "", base).otherwise(F.concat(base, F.lit("/"), rel))))
-    m = m.withColumn("target_dir", tdir)
+    m = m.join(rule_attrs(matched.sparkSession, rules, custom), "rule_idx", "left")
+    atype = F.col("action_type")
+    tdir = target_dir("parent", F.col("target_abs"), F.col("target_ups"), F.col("target_rel"))
+    m = m.withColumn("target_dir", F.when(F.col("target_abs").isNotNull(), tdir))
     status = (F.when(atype.isNull() | ~atype.isin(*known), F.lit(INVALID_ACTION))
               .when(atype.isin("move", "compress") & F.col("target_abs").isNull(), F.lit(MISSING_TARGET))
-              .when((atype == "move") & (F.col("target_dir") == base), F.lit(UNCHANGED))
+              .when((atype == "move") & (F.col("target_dir") == dir_path("parent")), F.lit(UNCHANGED))
               .when((atype == "compress") & is_compressed_file("name", "is_directory"), F.lit(SKIPPED_ARCHIVE))
               .otherwise(F.lit(PLANNED)))
     wanted = (F.when(atype == "move", F.col("name"))
@@ -100,7 +109,7 @@ def plan_actions(matched: DataFrame, rules, occupied: DataFrame, *, mode: str =
     claims = (p.filter((F.col("status") == PLANNED) & F.col("action_type").isin("move", "compress"))
               .select(F.col("seq").alias("claim_id"), "seq", F.col("target_dir").alias("dir"),
                       F.col("wanted_name").alias("name")))
-    names = resolve_names(claims, occupied.select(F.col("parent").alias("dir"), "name"), claims_are_cut=True)
+    names = resolve_names(claims, occupied.select(dir_path("parent").alias("dir"), "name"), claims_are_cut=True)
     p = p.join(names.withColumnRenamed("claim_id", "seq"), "seq", "left")
     final = (F.when(F.col("status") == UNCHANGED, F.col("path"))
              .when(F.col("final_name").isNotNull(), path_of("target_dir", "final_name")))
@@ -150,9 +159,10 @@ def run_stats(matched: DataFrame) -> DataFrame:
 def after_state(inventory: DataFrame, plan: DataFrame, base: str | None = None) -> DataFrame:
     """Inventory after the executed plan rows.
 
-    ``base=None``: every plan row is its own entry (rows are matched by ``seq``).
-    ``base``: plan rows are the entries directly in ``base``; every inventory row below an entry
-    follows it (J10: equi-join on the first path component under the base).
+    ``base=None``: every plan row is its own entry (rows are matched by path and ``seq``).
+    ``base``: plan rows are the entries directly in ``base``; an entry's own row and every
+    inventory row below it follow it (J10: equi-join on the first path component under the base).
+    Rows outside ``base`` stay as they are.
     Deleted -> gone; moved -> path rewritten; compressed -> gone, plus one new archive row.
     Output: ``path, size, mtime, is_directory``.
     """
@@ -161,22 +171,28 @@ def after_state(inventory: DataFrame, plan: DataFrame, base: str | None = None)
         if c not in inventory.columns:
             inventory = inventory.withColumn(c, F.lit(v).cast(t))
     inv = inventory.withColumn("path", path_of("parent", "name"))
+    outside = None
     if base is None:
-        j = inv.join(ex.select("seq", "action_type", "final_path"), "seq", "left")
+        j = entry_seq(inv).join(ex.select("path", "seq", "action_type", "final_path"), ["path", "seq"], "left")
         new_path = F.when(F.col("action_type") == "move", F.col("final_path")).otherwise(F.col("path"))
         kept = j.filter(F.col("action_type").isNull() | (F.col("action_type") == "move"))
     else:
         b = base.rstrip("/")
         rel = F.when(F.col("path").startswith(b + "/"), F.substring("path", len(b) + 2, 1 << 30))
-        inv = inv.withColumn("_rel", rel).filter(F.col("_rel").isNotNull())
+        inv = inv.withColumn("_rel", rel)
+        outside = inv.filter(F.col("_rel").isNull()).select("path", "size", "mtime", "is_directory")
         top = F.substring_index("_rel", "/", 1)
-        inv = inv.withColumn("_top", top).withColumn("_below", F.col("_rel").contains("/"))
-        e = ex.select(F.col("name").alias("_top"), F.col("is_directory").alias("_below"), "action_type", "final_path")
-        j = inv.join(e, ["_top", "_below"], "left")
+        # a row in or below a directory entry, its own row included, belongs to the directory
+        in_dir = F.col("_rel").contains("/") | F.coalesce(F.col("is_directory"), F.lit(False))
+        inv = inv.filter(F.col("_rel").isNotNull()).withColumn("_top", top).withColumn("_in_dir", in_dir)
+        e = ex.select(F.col("name").alias("_top"), F.col("is_directory").alias("_in_dir"), "action_type", "final_path")
+        j = inv.join(e, ["_top", "_in_dir"], "left")
         rest = F.substring("_rel", F.length("_top") + 1, 1 << 30)
         new_path = F.when(F.col("action_type") == "move", F.concat(F.col("final_path"), rest)).otherwise(F.col("path"))
         kept = j.filter(F.col("action_type").isNull() | (F.col("action_type") == "move"))
     stays = kept.select(new_path.alias("path"), "size", "mtime", "is_directory")
+    if outside is not None:
+        stays = stays.unionByName(outside)
     packed = ex.filter(F.col("action_type") == "compress").select(
         F.col("final_path").alias("path"), F.lit(None).cast("bigint").alias("size"),
         F.lit(None).cast("timestamp").alias("mtime"), F.lit(False).alias("is_directory"))
@@ -186,7 +202,9 @@ def after_state(inventory: DataFrame, plan: DataFrame, base: str | None = None)
 def survivors(inventory: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows an executed delete does not remove (row-level plans)."""
     gone = plan.filter(F.col("decision") & (F.col("status") == PLANNED) & (F.col("action_type") == "delete"))
-    return inventory.join(gone.select("seq"), "seq", "left_anti")
+    rows = inventory.withColumn("_seq", seq_of(inventory)).withColumn("_path", path_of("parent", "name"))
+    gone = gone.select(F.col("path").alias("_path"), F.col("seq").alias("_seq"))
+    return rows.join(gone, ["_path", "_seq"], "left_anti").select(*inventory.columns)
 
 
 def route(matched: DataFrame, rules, unmatched: str = "_unmatched") -> DataFrame:
