@@ -7,6 +7,7 @@ keeps other characters' bytes out of the ASCII range, so working on bytes is exa
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +75,15 @@ def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def release() -> None:
+    """Give freed memory back to the system. Python workers are reused by later stages, and memory
+    that the allocators keep would count against every one of them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 class Words:
     """The words of a batch: ``start`` and ``end`` in ``data``, ``doc`` (row), ``hash``, and
     ``first``, where each row's words begin (one more entry than rows)."""

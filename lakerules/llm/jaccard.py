@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lakerules.llm import _exchange as ex
 from lakerules.llm._common import cut, pick
-from lakerules.llm._text import U64, Words, mix, salt, shingles, slices, sorted_distinct
+from lakerules.llm._text import U64, Words, mix, release, salt, shingles, slices, sorted_distinct
 
 SHINGLE = 5
 LEAST = 75  # percent
@@ -76,6 +76,7 @@ def _signatures(n: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(low, high - low), pa.array(np.diff(at), pa.int64()), *map(pa.array, sums)],
                     names=["doc_id", "n_shingles", "s1", "s2"])
+            release()
     return signatures
 
 
@@ -84,8 +85,13 @@ def _block_sets(docs: pa.Table, reps: pa.Table, n: int) -> tuple[np.ndarray, np.
     chosen = pc.is_in(docs["doc_id"], value_set=reps["rep"].combine_chunks())
     docs = docs.filter(chosen)
     ids, of = np.unique(np.array(docs["doc_id"].to_pylist(), dtype=object), return_inverse=True) if len(docs) else ([], [])
-    values, at = shingle_sets(docs["text"], n) if len(docs) else (np.zeros(0, U64), np.zeros(1, int))
-    row = np.asarray(of, dtype=np.int64)[np.repeat(np.arange(len(docs)), np.diff(at))] if len(docs) else np.zeros(0, int)
+    texts = docs["text"].combine_chunks()
+    values, row = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for low, high in slices(texts) if len(docs) else ():
+        own, at = shingle_sets(texts.slice(low, high - low), n)
+        values.append(own)
+        row.append(np.repeat(np.asarray(of[low:high], dtype=np.int64), np.diff(at)))
+    values, row = np.concatenate(values), np.concatenate(row)
     order = np.argsort(row, kind="stable")
     values, at = sorted_distinct(values[order], row[order], len(ids))
     return values, at, list(ids)
@@ -97,13 +103,17 @@ def _emit(n: int, bits: int):
             return ex.send(0, np.zeros(0, U64), np.zeros(0, int), bits)
         values, _, _ = _block_sets(docs, reps, n)
         keys, counts = np.unique(values, return_counts=True)
+        release()
         return ex.send(docs["block"][0].as_py(), keys, counts, bits)
     return emit
 
 
 def _total(key, sent):
     where, _, totals, _ = ex.add_up(sent)
-    return ex.totals_rows(sent, [totals[w] for w in where]).append_column("rep", pa.nulls(len(sent), pa.int64()))
+    rows = ex.totals_rows(sent, [totals[w] for w in where]).append_column("rep", pa.nulls(len(sent), pa.int64()))
+    del where, totals
+    release()
+    return rows
 
 
 def _fragments(n: int, id_type: pa.DataType):
@@ -130,6 +140,7 @@ def _fragments(n: int, id_type: pa.DataType):
                         for k, v in zip(out, (ids[i], int(size[i]), start, int(part[0] >> HASH_BITS), part)):
                             out[k].append(v)
                         start += len(part)
+        release()
         types = {"doc_id": id_type, "fragment": pa.int32(), "grams": pa.list_(pa.int64())}
         return pa.table({k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
     return fragments

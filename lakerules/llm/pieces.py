@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakerules.llm._common import pick
-from lakerules.llm._text import BASE, U64, _power_tables, buffer_of, mix, salt, slices
+from lakerules.llm._text import BASE, U64, _power_tables, buffer_of, mix, release, salt, slices
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ZIPF = 1.0
@@ -372,6 +372,7 @@ def _sample(k: int, path: str, zipf: float, carry: list[str], decoded: bool):
                 if decoded:
                     columns["text"] = pa.array([decode_ids(x, vocab) for x in ids], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
+            release()
     return sample
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lakerules.llm import _linear as fit
 from lakerules.llm._common import pick
-from lakerules.llm._text import U64, Words, mix, salt, shingles, slices
+from lakerules.llm._text import U64, Words, mix, release, salt, shingles, slices
 
 PER_CLASS = 1000
 BUCKETS = 1 << 18
@@ -27,7 +27,7 @@ KEEP_FROM = 0.5
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of words
 WINDOW = 8
-SLICE = 1 << 21
+SLICE = 1 << 20
 SEED = "quality-1"
 BASE_FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FIELDS = "struct<" + ",".join(f"{x}:bigint" for x in BASE_FIELDS) + ",probability:double>"
@@ -127,6 +127,7 @@ def _features(batches):
                 pa.array([buckets[p].astype(np.int32).tobytes() for p in pieces], pa.binary()),
                 pa.array([values[p].astype(np.float32).tobytes() for p in pieces], pa.binary())],
                 names=["doc_id", "label", "buckets", "values"])
+        release()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -186,6 +187,7 @@ def scorer(model: dict):
             parts["probability"].append(fit.sigmoid(a * _mean_weights(words, weights) + b))
         arrays = [pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64() if k == "probability" else pa.int64())
                   for k, v in parts.items()]
+        release()
         return pa.StructArray.from_arrays(arrays, names=list(parts))
 
     return score
