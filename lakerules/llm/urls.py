@@ -1,13 +1,14 @@
 """URL filters (operator 10), with DataFrame functions only: a path-template tree per host.
 
 1. A path's segments lose their variable parts: runs of digits and long hexadecimal strings become
-   ``<n>`` and ``<x>``, segments below ``LEVELS`` become one ``<**>``.
-2. Level by level, a segment stays literal where it has at least ``MIN_SHARE`` of its host's pages;
-   the others under the same parent become the wildcard ``<*>``. So a host keeps at most
-   1 / ``MIN_SHARE`` literals per level, however many paths it has.
-3. Sibling branches, templates that differ in one literal, merge into a wildcard where their share
-   of bad labels agrees with that of all siblings within two standard errors. Branches without
-   labels merge only with each other: nothing shows that they are like a labelled one.
+   ``<n>`` and ``<x>``. The tree has the full depth of the paths.
+2. Level by level, from the deepest to the first, templates that differ in that level's segment only
+   are branches. Labelled branches, rare or not, merge into the wildcard ``<*>`` where their share of
+   bad labels agrees with that of all labelled branches within two standard errors; the others stay
+   literal.
+3. Branches without labels never join labelled ones. Where no branch has labels, all merge into
+   ``<*>``; else those with less than ``MIN_SHARE`` of their host's pages go into a wildcard of
+   their own, ``<?>``.
 4. A template is rejected when its smoothed share of good labels is below ``LEAST_PURITY``. The
    prior is the share over all labelled pages, worth ``PRIOR`` pages, so a template without labels
    gets the prior.
@@ -16,22 +17,21 @@ Explicit rules come first. Pages that a rule decides are the labelled ones unles
 brings labels.
 
 Spark plan: pages are counted by (host, shape) before anything else, with map-side combine; the
-tree works on those counts. Pages meet their verdict by one join on (host, shape).
+tree works on those counts, one round for each level at which shapes of one host and depth differ.
+Pages meet their verdict by one join on (host, shape).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lakerules.llm._common import UPPER, cut, pick
 
-LEVELS = 3
 MIN_SHARE = 0.01
 PRIOR = 10.0
 LEAST_PURITY = 0.3
-ANY, TAIL = "<*>", "<**>"
+ANY, UNKNOWN = "<*>", "<?>"  # a path has no "?", and shape() leaves no other "<"
 
 
 def host_of(url: Column) -> Column:
@@ -56,51 +56,44 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def shape(path: Column) -> Column:
-    """The path's segments with variable parts replaced, at most ``LEVELS`` and a tail."""
+    """The path's segments with variable parts replaced."""
     segments = F.array_remove(F.split(path, "/"), "")
-    plain = F.transform(segments, lambda s: F.when(
-        s.rlike(r"^[0-9a-fA-F-]{12,}$"), F.lit("<x>")).otherwise(F.regexp_replace(s, "[0-9]+", "<n>")))
-    head = F.slice(plain, 1, LEVELS)
-    return F.when(F.size(plain) > LEVELS, F.concat(head, F.array(F.lit(TAIL)))).otherwise(head)
+    return F.transform(segments, lambda s: F.when(s.rlike(r"^[0-9a-fA-F-]{12,}$"), F.lit("<x>")).otherwise(
+        F.regexp_replace(F.regexp_replace(s, "<", "&lt;"), "[0-9]+", "<n>")))
 
 
-def _literal_levels(paths: DataFrame) -> DataFrame:
-    """Adds ``template``: rare segments as wildcards, level by level from the root."""
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"))
-    paths = paths.withColumn("template", F.array().cast("array<string>"))
-    for level in range(LEVELS):
-        here = paths.withColumn("segment", F.get("segments", F.lit(level)))
-        nodes = (here.filter("segment is not null").groupBy("host", "template", "segment")
-                 .agg(F.sum("n").alias("node_n")))
-        kept = nodes.join(hosts, "host").filter(F.col("node_n") >= MIN_SHARE * F.col("host_n"))
-        kept = kept.select("host", "template", "segment", F.lit(True).alias("literal"))
-        here = here.join(kept, ["host", "template", "segment"], "left")
-        step = F.when(F.col("segment").isNull(), F.array().cast("array<string>")).otherwise(
-            F.array(F.when(F.col("literal"), F.col("segment")).otherwise(F.lit(ANY))))
-        paths = here.select("host", "segments", "n", "labelled", "bad",
-                            F.concat("template", step).alias("template"))
-    tail = F.when(F.size("segments") > LEVELS, F.array(F.lit(TAIL))).otherwise(F.array().cast("array<string>"))
-    return paths.withColumn("template", F.concat("template", tail))
+def _levels(paths: DataFrame) -> list[int]:
+    """Where shapes of one host and depth differ, the deepest level first; elsewhere nothing merges."""
+    each = paths.select("host", F.size("segments").alias("depth"), F.posexplode("segments").alias("level", "segment"))
+    seen = each.groupBy("host", "depth", "level").agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
+    return sorted((r["level"] for r in seen.filter("low <> high").select("level").distinct().collect()), reverse=True)
 
 
 def _merge_branches(paths: DataFrame, prior: float) -> DataFrame:
-    """Replaces ``template`` where siblings that differ at one level only are alike."""
-    for level in range(LEVELS):
-        at = F.get("template", F.lit(level))
-        wider = F.concat(F.slice("template", 1, level), F.array(F.lit(ANY)),
-                         F.slice("template", level + 2, LEVELS + 1))
-        stats = paths.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        stats = stats.filter(at.isNotNull()).withColumn("wider", wider)
-        group = W.partitionBy("host", "wider")  # bounded: one row per kept literal
-        stats = (stats.withColumn("all_l", F.sum("l").over(group)).withColumn("all_b", F.sum("b").over(group))
-                 .withColumn("branches", F.count(F.lit(1)).over(group)))
+    """Adds ``template``: the shape, widened level by level where branches are alike."""
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"))
+    levels = _levels(paths)
+    paths = paths.withColumn("template", F.col("segments"))
+    for level in levels:
+        def with_segment(segment: str) -> Column:
+            return F.concat(F.slice("template", 1, level), F.array(F.lit(segment)),
+                            F.slice("template", F.lit(level + 2), F.size("template")))
+
+        stats = paths.filter(F.size("template") > level).groupBy("host", "template").agg(
+            F.sum("n").alias("node_n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        stats = cut(stats.withColumn("wider", with_segment(ANY)))
+        groups = stats.groupBy("host", "wider").agg(
+            F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.count(F.lit(1)).alias("branches"))
+        stats = stats.join(groups.filter("branches > 1"), ["host", "wider"]).join(hosts, "host")
         rate = (F.col("all_b") + PRIOR * prior) / (F.col("all_l") + PRIOR)
-        error = F.sqrt(rate * (1 - rate) / F.greatest(F.col("l"), F.lit(1)))
-        alike = F.when(F.col("l") == 0, F.col("all_l") == 0).otherwise(
-            F.abs(F.col("b") / F.col("l") - rate) <= 2 * error)
-        merged = stats.filter((F.col("branches") > 1) & alike).select("host", "template", "wider")
-        paths = paths.join(merged, ["host", "template"], "left").select(
-            "host", "segments", "n", "labelled", "bad", F.coalesce("wider", "template").alias("template"))
+        error = F.sqrt(rate * (1 - rate) / F.col("l"))
+        rare = F.col("node_n") < MIN_SHARE * F.col("host_n")
+        name = (F.when(F.col("all_l") == 0, F.col("wider"))
+                .when(F.col("l") == 0, F.when(rare, with_segment(UNKNOWN)))
+                .when(F.abs(F.col("b") / F.col("l") - rate) <= 2 * error, F.col("wider")))
+        merged = stats.select("host", "template", name.alias("name")).filter("name is not null")
+        paths = cut(paths.join(merged, ["host", "template"], "left").select(
+            "host", "segments", "n", "labelled", "bad", F.coalesce("name", "template").alias("template")))
     return paths
 
 
@@ -112,7 +105,7 @@ def path_templates(pages: DataFrame) -> DataFrame:
         F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
     seen = paths.agg(F.sum("labelled"), F.sum("bad")).first()
     prior = (seen[1] + 1.0) / (seen[0] + 2.0) if seen[0] else 0.0
-    paths = cut(_merge_branches(_literal_levels(paths), prior))
+    paths = _merge_branches(paths, prior)
     stats = paths.groupBy("host", "template").agg(
         F.sum("n").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     purity = (F.col("labelled") - F.col("bad") + PRIOR * (1 - prior)) / (F.col("labelled") + PRIOR)
@@ -130,7 +123,7 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id",
     - A null url and one without ``://`` have empty host and path; they form a host of their own,
       which no rule fits. An empty path has the root template.
     - Rows given twice count twice; null ids are kept. An empty table gives an empty result.
-    - Long paths are read whole: what lies below ``LEVELS`` counts as one tail segment.
+    - Long paths are read whole, and every level counts.
     """
     cols = {"page_id": id_col, "url": url_col} | ({"label": label_col} if label_col else {})
     rows = pick(df, **cols)

@@ -358,6 +358,29 @@ def test_url_templates_learn_from_labels(spark):
         ("shop", "block", "/shop/item<n>/<n>.html"), ("news", "allow", "/news/item<n>/<n>.html")}
 
 
+
+def test_url_rare_branches_keep_their_labels(spark):
+    def pages(host, path, n, bad):
+        return [(f"http://{host}/{path}/{i}", bad) for i in range(n)]
+
+    rows = pages("a.com", "news", 9860, None) + pages("a.com", "de", 90, 1) + pages("a.com", "es", 50, None)
+    for d in range(300):
+        name = f"{chr(97 + d // 26)}{chr(97 + d % 26)}"
+        rows += pages("b.com", name, 30, int(d < 100)) + [(f"http://b.com/{name}/77", None)]
+    rows += pages("c.com", "a/b/c/bad", 50, 1) + pages("c.com", "a/b/c/good", 50, 0) + pages("d.com", "<*>", 40, 1) + pages("d.com", "x", 40, 0)
+    rows += [(f"http://{h}/a/b/c/{d}/99", None) for h in ("c.com",) for d in ("bad", "good")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, bad int")
+    got = collections.defaultdict(set)
+    for r in urls.judge(df, [], label_col="bad").collect():
+        got[r["host"], r["path"].rsplit("/", 1)[0]].add((r["verdict"], r["template"]))
+    assert {v for v, _ in got["a.com", "/es"]} == {"allow"} and {v for v, _ in got["a.com", "/de"]} == {"block"}
+    assert {t for _, t in got["a.com", "/es"]} == {"/<?>/<n>"}
+    blocked = [path for (host, path), found in got.items() if host == "b.com" and {v for v, _ in found} == {"block"}]
+    assert len(blocked) == 100 and max(blocked) < "/dw"
+    assert got["c.com", "/a/b/c/bad"] == {("block", "/a/b/c/bad/<n>")} and got["c.com", "/a/b/c/good"] == {("allow", "/a/b/c/good/<n>")}
+    assert {v for v, _ in got["d.com", "/<*>"]} == {"block"} and {v for v, _ in got["d.com", "/x"]} == {"allow"}
+
+
 def test_empty_tables(spark):
     df = docs(spark).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
