@@ -9,9 +9,10 @@
 3. Branches without labels never join labelled ones. Where no branch has labels, all merge into
    ``<*>``; else those with less than ``MIN_SHARE`` of their host's pages go into a wildcard of
    their own, ``<?>``.
-4. A template is rejected when its smoothed share of good labels is below ``LEAST_PURITY``. The
-   prior is the share over all labelled pages, worth ``PRIOR`` pages, so a template without labels
-   gets the prior.
+4. A template is rejected when it has bad labels of its own and its smoothed share of good labels
+   is below ``LEAST_PURITY``. It is smoothed towards its host's share, worth ``PRIOR`` pages, and
+   the host's towards the mean of all hosts with labels, where each host weighs the same. A template
+   without labels has its host's share as purity and is always allowed.
 
 Explicit rules come first. Pages that a rule decides are the labelled ones unless the caller
 brings labels.
@@ -69,9 +70,17 @@ def _levels(paths: DataFrame) -> list[int]:
     return sorted((r["level"] for r in seen.filter("low <> high").select("level").distinct().collect()), reverse=True)
 
 
-def _merge_branches(paths: DataFrame, prior: float) -> DataFrame:
+def _hosts(paths: DataFrame) -> DataFrame:
+    """``host, host_n, prior``: pages, and the share of bad labels that stands in for missing ones."""
+    hosts = paths.groupBy("host").agg(
+        F.sum("n").alias("host_n"), F.sum("labelled").alias("host_l"), F.sum("bad").alias("host_b"))
+    overall = hosts.filter("host_l > 0").agg(F.avg((F.col("host_b") + 1) / (F.col("host_l") + 2))).first()[0] or 0.0
+    return cut(hosts.select("host", "host_n", (
+        (F.col("host_b") + PRIOR * overall) / (F.col("host_l") + PRIOR)).alias("prior")))
+
+
+def _merge_branches(paths: DataFrame, hosts: DataFrame) -> DataFrame:
     """Adds ``template``: the shape, widened level by level where branches are alike."""
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"))
     levels = _levels(paths)
     paths = paths.withColumn("template", F.col("segments"))
     for level in levels:
@@ -85,7 +94,7 @@ def _merge_branches(paths: DataFrame, prior: float) -> DataFrame:
         groups = stats.groupBy("host", "wider").agg(
             F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.count(F.lit(1)).alias("branches"))
         stats = stats.join(groups.filter("branches > 1"), ["host", "wider"]).join(hosts, "host")
-        rate = (F.col("all_b") + PRIOR * prior) / (F.col("all_l") + PRIOR)
+        rate = (F.col("all_b") + PRIOR * F.col("prior")) / (F.col("all_l") + PRIOR)
         error = F.sqrt(rate * (1 - rate) / F.col("l"))
         rare = F.col("node_n") < MIN_SHARE * F.col("host_n")
         name = (F.when(F.col("all_l") == 0, F.col("wider"))
@@ -103,13 +112,13 @@ def path_templates(pages: DataFrame) -> DataFrame:
     paths = cut(pages.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
-    seen = paths.agg(F.sum("labelled"), F.sum("bad")).first()
-    prior = (seen[1] + 1.0) / (seen[0] + 2.0) if seen[0] else 0.0
-    paths = _merge_branches(paths, prior)
+    hosts = _hosts(paths)
+    paths = _merge_branches(paths, hosts)
     stats = paths.groupBy("host", "template").agg(
         F.sum("n").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    purity = (F.col("labelled") - F.col("bad") + PRIOR * (1 - prior)) / (F.col("labelled") + PRIOR)
-    stats = stats.withColumn("purity", purity).withColumn("rejected", purity < LEAST_PURITY)
+    purity = (F.col("labelled") - F.col("bad") + PRIOR * (1 - F.col("prior"))) / (F.col("labelled") + PRIOR)
+    stats = stats.join(hosts.select("host", "prior"), "host").withColumn("purity", purity).drop("prior")
+    stats = stats.withColumn("rejected", (F.col("bad") > 0) & (F.col("purity") < LEAST_PURITY))
     return paths.select("host", "segments", "template").join(stats, ["host", "template"])
 
 

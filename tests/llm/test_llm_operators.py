@@ -381,6 +381,25 @@ def test_url_rare_branches_keep_their_labels(spark):
     assert {v for v, _ in got["d.com", "/<*>"]} == {"block"} and {v for v, _ in got["d.com", "/x"]} == {"allow"}
 
 
+
+def test_url_verdict_does_not_follow_the_mix_of_the_table(spark):
+    rows = [(f"http://hot.net/{s}/{i}", "net") for s in ("shop", "news") for i in range(400)]
+    rows += [(f"http://b.com/{s}/{i}", None) for s in ("shop", "news") for i in range(20)]
+    rows += [(f"http://a.org/fr/{i}", "org") for i in range(20)] + [(f"http://a.org/en/{i}", None) for i in range(20)]
+    rows += [("http://example.com/de", None), ("http://example.com/de/", "example.com")]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(df, RULES).collect()}
+    for i, (url, rule) in enumerate(rows):
+        assert got[i]["verdict"] == ("block" if rule in ("net", "example.com") else "allow"), url
+    # Smoothed towards the own host: one bad label is enough in a bad host and not in a good one.
+    rows = [(f"http://{h}.com/{d}/{i}", bad) for h, most in (("bad", 1), ("good", 0)) for d, n, bad in
+            (("a", 200, most), ("b", 200, 1 - most if h == "good" else 1), ("c", 1, 1), ("c", 1, None)) for i in range(n)]
+    rows += [(f"http://good.com/{d}/{i}", 0) for d in ("e", "f", "g") for i in range(300)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, bad int")
+    got = {(r["host"], r["path"].split("/")[1]): r["verdict"] for r in urls.judge(df, [], label_col="bad").collect()}
+    assert got["bad.com", "c"] == "block" and got["good.com", "c"] == "allow" and got["good.com", "b"] == "block"
+
+
 def test_empty_tables(spark):
     df = docs(spark).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
