@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the Jaccard join, the one with the smallest id. Rows with
     a null id have no component and stay."""
     ship_package(spark)
-    found = jaccard.similar_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("keep_id"))
+    found = jaccard.similar_groups(docs, count_links=False).filter("doc_id = component_id").select(F.col("doc_id").alias("keep_id"))
     return _keep_ids(docs, found).unionByName(docs.filter("doc_id is null"))
 
 

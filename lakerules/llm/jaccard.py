@@ -4,7 +4,7 @@ Two documents link when the Jaccard similarity of their sets of ``SHINGLE``-word
 least ``LEAST`` percent; linked documents form components.
 
 1. Documents with the same set are one class (a 128-bit signature of the set, one narrow pass).
-   Only a class's smallest id goes on, so copies cost nothing from here and are never paired.
+   Only a class's smallest id goes on, weighed by its rows, so copies are never paired.
 2. ``_exchange`` counts, for each shingle, how many classes have it. The global order puts rare
    shingles first: by *fragment*, the power of two of that count, then by hash. Shingles of one
    class only cannot be shared. They come first, so a document with enough of them has no partner
@@ -20,6 +20,11 @@ least ``LEAST`` percent; linked documents form components.
    a group are connected already, so thousands of near copies never meet all pairs; no candidate
    between groups is left out.
 6. Components by large-star and small-star steps on the links.
+7. Links are counted over all pairs, those inside a group included. Both ends of a link are in one
+   component, so components are compared whole: small ones many to a task, large ones in *rooms* of
+   one size class, each of which meets the rooms of its own and of the next class. A meeting counts
+   all its overlaps as products of 0/1 matrices and hands on one number per document, so pairs are
+   never rows.
 
 Shingles are compared by 64-bit hashes (58 bits inside a fragment when counting overlaps): a chance
 collision would have to fall into the same two documents to move a count by one.
@@ -41,6 +46,10 @@ from lakerules.llm._text import U64, Words, mix, release, salt, shingles, slices
 SHINGLE = 5
 LEAST = 75  # percent
 SIZE_STEP = 1.4  # ratio of size classes; more than 100 / LEAST, so partners are one class apart at most
+ROOM = 512  # documents that meet as one
+ROOM_GRAMS = 1 << 20
+TASK_GRAMS = 1 << 18  # of small components that share a task, on average
+COLUMNS = 4096  # shingles per matrix product
 HASH_BITS = 58  # of an order key: fragment above, hash below
 
 
@@ -232,12 +241,120 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id, class_size`` for every row.
+def _overlaps(grams: np.ndarray, doc: np.ndarray, docs: int, split: int) -> np.ndarray:
+    """Shared shingles of each document under ``split`` with each from there on; of all with all
+    where ``split`` is 0."""
+    _, which, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    used = shared[which]
+    which, doc = (np.cumsum(shared) - 1)[which[used]], doc[used]
+    order = np.argsort(which, kind="stable")
+    which, doc = which[order], doc[order]
+    both = np.zeros((split or docs, docs - split), np.int64)
+    many = int(shared.sum())
+    for low in range(0, many, COLUMNS):
+        begin, end = np.searchsorted(which, (low, low + COLUMNS))
+        has = np.zeros((docs, min(COLUMNS, many - low)), np.float32)
+        has[doc[begin:end], which[begin:end] - low] = 1
+        both += (has[:split or docs] @ has[split:].T).astype(np.int64)
+    return both
+
+
+def _count_links(id_type: pa.DataType):
+    def count(rows):
+        meet = rows["meet"].to_numpy()
+        order = np.lexsort((rows["side"].to_numpy(), meet))
+        rows = rows.take(pa.array(order)).combine_chunks()
+        meet, side = meet[order], rows["side"].to_numpy()
+        code = rows["doc_id"].combine_chunks().dictionary_encode()
+        ids, code = code.dictionary, code.indices.to_numpy()
+        lists = rows["grams"].combine_chunks()
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        n, weight = rows["n"].to_numpy(), rows["weight"].to_numpy()
+        found, links = [], []
+        cuts = np.flatnonzero(np.diff(meet)) + 1
+        for begin, end in zip((0, *cuts), (*cuts, len(meet))):
+            # A document's rows, one per fragment, are on one side; side 0 comes first.
+            own, first, doc = np.unique(code[begin:end], return_index=True, return_inverse=True)
+            sides = side[begin:end][first]
+            place = np.argsort(sides, kind="stable")
+            split = int((sides == 0).sum()) if sides.any() else 0
+            if rows["paired"][begin].as_py() and split in (0, len(own)):
+                continue  # one of the two rooms only
+            back = np.empty(len(own), np.int64)
+            back[place] = np.arange(len(own))
+            doc = np.repeat(back[doc], np.diff(at[begin:end + 1]))
+            both = _overlaps(values[at[begin]:at[end]], doc, len(own), split)
+            own, first = own[place], first[place]
+            size, rows_of = n[begin:end][first], weight[begin:end][first]
+            similar = 100 * both >= LEAST * (size[:split or len(own), None] + size[None, split:] - both)
+            if split:
+                links.append(np.concatenate((similar @ rows_of[split:], similar.T @ rows_of[:split])))
+            else:
+                np.fill_diagonal(similar, False)
+                links.append(similar @ rows_of)
+            found.append(own)
+        release()
+        found = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return pa.table({"doc_id": ids.take(pa.array(found)).cast(id_type),
+                         "links": pa.array(np.concatenate(links) if links else np.zeros(0, np.int64), pa.int64())})
+    return count
+
+
+def _partners(parts: DataFrame, found: DataFrame, classes: DataFrame, name: str, id_type: pa.DataType) -> DataFrame:
+    """``rep, partners``: for each class representative with links, the rows of the classes that it
+    links to."""
+    members = found.union(found.select(F.col("component").alias("node"), "component").distinct())
+    held = parts.groupBy("doc_id", "n").agg(F.sum(F.size("grams")).alias("held"))
+    docs = cut(held.join(members, held["doc_id"] == members["node"]).select("doc_id", "n", "held", "component"))
+    totals = docs.groupBy(F.col("component").alias("whole")).agg(F.count(F.lit(1)).alias("m"), F.sum("held").alias("g"))
+    large = totals.filter((F.col("m") > ROOM) | (F.col("g") > ROOM_GRAMS)).select("whole", F.lit(True).alias("large"))
+    docs = docs.join(large, docs["component"] == large["whole"], "left")
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(SIZE_STEP))).cast("int")
+    docs = cut(docs.select("doc_id", "held", "component", F.coalesce("large", F.lit(False)).alias("large"),
+                           F.when(F.col("large"), size).otherwise(F.lit(0)).alias("size")))
+    tasks = max(1, -(-(docs.filter("not large").agg(F.sum("held")).first()[0] or 0) // TASK_GRAMS))
+
+    rooms = cut(docs.groupBy("component", "size").agg(F.when(F.first("large"), F.greatest(
+        F.ceil(F.count(F.lit(1)) / ROOM), F.ceil(F.sum("held") / ROOM_GRAMS))).otherwise(F.lit(1)).cast("int").alias("k")))
+    above = rooms.select("component", (F.col("size") - 1).alias("size"), F.col("k").alias("k_above"))
+    below = rooms.select("component", (F.col("size") + 1).alias("size"), F.col("k").alias("k_below"))
+    rooms = rooms.join(above, ["component", "size"], "left").join(below, ["component", "size"], "left")
+    docs = docs.join(rooms, ["component", "size"]).withColumn("room", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+
+    def meetings(k: Column, low: Column, paired: int, left, right, side) -> Column:
+        every = F.when(F.coalesce(k, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct(
+            low.alias("low"), left(j).alias("left"), right(j).alias("right"),
+            (F.lit(bool(paired)) | (left(j) != right(j))).alias("paired"), F.lit(paired).alias("next"),
+            side(j).cast("int").alias("side"))))
+        return F.coalesce(every, F.array().cast(
+            "array<struct<low:int,left:int,right:int,paired:boolean,next:int,side:int>>"))
+
+    room = F.col("room")
+    each = F.concat(
+        meetings(F.col("k"), F.col("size"), 0, lambda j: F.least(room, j), lambda j: F.greatest(room, j), lambda j: j < room),
+        meetings(F.col("k_above"), F.col("size"), 1, lambda j: room, lambda j: j, lambda j: F.lit(0)),
+        meetings(F.col("k_below"), F.col("size") - 1, 1, lambda j: j, lambda j: room, lambda j: F.lit(1)))
+    docs = docs.select("doc_id", "component", "large", F.explode(each).alias("m"))
+    meet = F.xxhash64("component", "m.low", "m.left", "m.right", "m.next")
+    docs = docs.select("doc_id", F.when(F.col("large"), meet).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks))).alias("task"),
+                       meet.alias("meet"), "m.paired", "m.side")
+    weights = classes.filter("class_id is not null").groupBy(F.col("class_id").alias("doc_id")).agg(
+        F.sum("class_size").alias("weight"))
+    sent = parts.select("doc_id", "n", "grams").join(weights, "doc_id").join(docs, "doc_id")
+    sent = sent.select("task", "meet", "paired", "side", "doc_id", "n", "weight", "grams")
+    links = sent.groupBy("task").applyInArrow(_count_links(id_type), f"doc_id {name}, links long")
+    return links.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("partners"))
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                   count_links: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, component_id, class_id, class_size, n_links`` for every row.
 
     ``component_id`` is the smallest id reachable by links, ``class_id`` the smallest id with the
-    very same set, ``class_size`` the number of rows with it. Links are not counted: inside a group
-    of near copies their number is quadratic, and the component needs only some of them.
+    very same set, ``class_size`` the number of rows with it. ``n_links`` is the number of other rows
+    that the row links to, all of its class and of the classes similar to it; without ``count_links``
+    the column is left out.
 
     - Null texts and texts without words have no shingles, no class but themselves and no links;
       texts of fewer than ``shingle`` words have one, their whole sequence.
@@ -286,9 +403,16 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = classes.join(found, classes["class_id"] == found["node"], "left").select(
         F.col("n_shingles").alias("n"), F.col("s1").alias("a"), F.col("s2").alias("b"), "class_id", "class_size",
         F.coalesce("component", "class_id").alias("component"))
+    if count_links:
+        known = classes.filter("class_id is not null").groupBy(F.col("class_id").alias("rep")).agg(
+            F.sum("class_size").alias("weight"))
+        known = known.join(_partners(parts, found, classes, name, id_type), "rep", "left")
+        named = named.join(cut(known), F.col("class_id") == F.col("rep"), "left").withColumn(
+            "links", F.coalesce("weight", "class_size") - 1 + F.coalesce("partners", F.lit(0)))
     joined = signed.join(named, (F.col("n_shingles") == F.col("n")) & (F.col("s1") == F.col("a")) & (F.col("s2") == F.col("b")), "left")
     empty = F.col("n_shingles") == 0
+    last = [F.coalesce("links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
     return joined.select(
         "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), *last)

@@ -146,6 +146,25 @@ def test_jaccard_against_all_pairs(spark):
     assert got == brute_components(rows)
 
 
+
+@pytest.mark.parametrize("room", [512, 5])
+def test_jaccard_counts_every_link(spark, monkeypatch, room):
+    monkeypatch.setattr(jaccard, "ROOM", room)
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(4):  # groups of near copies: chains and dense clusters, some rows twice
+        base = [f"g{g}w{j}" for j in range(60 + 15 * g)]
+        for i in range(40):
+            own = base[:len(base) - i // 2] if g % 2 else list(base)
+            own[int(rng.integers(len(own)))] = f"x{g}y{i % 30}"
+            rows.append((100 * g + i, " ".join(own), "en", "a"))
+    rows += [(900 + i, rows[i % 7][1], "en", "a") for i in range(20)] + [(950, "one two", "en", "a"), (951, None, "en", "a")]
+    sets = {i: {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t, *_ in rows}
+    want = {i: sum(1 for j, y in sets.items() if i != j and x and y and 100 * len(x & y) >= 75 * len(x | y)) for i, x in sets.items()}
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.similar_groups(docs(spark, rows)).collect()}
+    assert got == want and max(want.values()) > 20
+
+
 def test_jaccard_awkward_rows(spark):
     got = jaccard.similar_groups(docs(spark)).collect()
     assert len(got) == len(ROWS)
