@@ -33,7 +33,7 @@ from lakerules.llm import _exchange as ex
 from lakerules.llm._common import crc, cut, pick
 from lakerules.llm._text import BASE, U64, Words, mix, salt
 
-ORDER = 2
+ORDER = 3
 CLASSES = 64
 END = mix(np.array([0x454E44], np.uint64))[0]
 START = mix(np.array([0x5354415254], np.uint64))[0]

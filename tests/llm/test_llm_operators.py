@@ -419,6 +419,13 @@ def test_url_verdict_does_not_follow_the_mix_of_the_table(spark):
     assert got["bad.com", "c"] == "block" and got["good.com", "c"] == "allow" and got["good.com", "b"] == "block"
 
 
+
+def test_language_model_hears_two_words_back(spark):
+    rows = [(i, "a b c" if i % 2 else "x b d", "en", "a") for i in range(40)] + [(100, "a b c", "en", "a"), (101, "a b d", "en", "a")]
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs(spark, rows), learn=F.col("doc_id") < 100).collect()}
+    assert got[100] > got[101] + 0.3
+
+
 def test_empty_tables(spark):
     df = docs(spark).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
