@@ -50,10 +50,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, every copy whole."""
     ship_package(spark)
     weights = mixing.quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.repeat_documents(docs, mixing.mix(docs, weights))
+    return mixing.repeat_documents(docs, mixing.mix(docs, weights), whole_only=True)
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

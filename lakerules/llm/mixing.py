@@ -120,11 +120,12 @@ def mix(df: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id",
 
 
 def repeat_documents(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
+                     text_col: str = "text", whole_only: bool = False) -> DataFrame:
     """The mixed corpus: ``docs``' columns, a document once for each time the mix takes it.
 
     ``taken`` is the result of ``mix``. When the budget ends inside a document, its last copy holds
-    the words taken, joined by single spaces. Documents without words do not appear. Rows that
+    the words taken, joined by single spaces; with ``whole_only`` that copy is whole or left out,
+    whichever comes nearer the target (whole if both are as near). Documents without words do not appear. Rows that
     share id and size appear equally often, by the largest number taken.
     """
     names = docs.columns
@@ -133,7 +134,11 @@ def repeat_documents(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id",
     plan = (taken.filter("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken")))
     inner = inner.withColumn("words", n_words(text))
     rows = inner.join(plan, doc_id.eqNullSafe(plan["doc_id"]) & (F.col("words") == F.col("size")))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    parts = F.col("taken") / F.col("size")
+    rows = rows.withColumn("copies", (F.floor(parts + 0.5) if whole_only else F.ceil(parts)).cast("int")).filter("copies > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    if whole_only:
+        return rows.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
     left = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
     head = F.array_join(F.slice(F.array_remove(F.split(text, WORD_GAPS), ""), F.lit(1), left), " ")
     whole = F.when(left >= F.col("size"), text).otherwise(head)

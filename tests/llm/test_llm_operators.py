@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lakerules.llm import _exchange as ex
 from lakerules.llm import dedup, jaccard, langid, lm, mixing, pieces, quality, tokens, toxicity, urls
 from lakerules.llm._common import cut, pick
@@ -106,6 +107,21 @@ def test_mix_awkward_rows_and_copies(spark):
     assert words == got.agg(F.sum("taken")).first()[0]
 
 
+def test_pipeline_mix_keeps_documents_whole(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, "line one\n\nline  two " + "w " * (i % 37), "en", "ab"[i % 2]) for i in range(90)] + [(200, "long\n" * 4000, "en", "c")]
+    df = docs(spark, rows)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mix_sources(spark, df, str(tmp_path)).collect()]
+    texts = {i: text for i, text, *_ in rows}
+    assert got and all(text == texts[i] for i, text in got)
+    copies, near = collections.Counter(i for i, _ in got), collections.defaultdict(list)
+    weights = mixing.quality_weights(spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    for r in mixing.mix(df, weights).collect():
+        assert abs(copies[r["doc_id"]] * r["size"] - r["taken"]) <= r["size"] / 2
+        near[r["source"]].append(copies[r["doc_id"]] * r["size"] != r["taken"])
+    assert all(sum(v) <= 1 for v in near.values()) and any(map(sum, near.values()))
+
+
 def words_of(text, n):
     w = folded(text).split()
     return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
