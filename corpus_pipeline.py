@@ -18,11 +18,6 @@ from lakerules.llm._common import fold_ascii, shared_dir, text_or_empty
 from lakerules.session import ship_package
 
 
-def _keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is in ``ids`` (``keep_id``), with all their columns."""
-    return docs.join(ids, docs["doc_id"] == ids["keep_id"], "left_semi")
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules and the calibrated classifier keep. The model is trained on the
     labelled rows of ``documents``."""
@@ -32,21 +27,33 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the row with the largest id; a row given
-    twice stays once. Rows with a null id are deduplicated among themselves."""
+    """Of texts that are equal but for the case of A-Z, one row: that with the largest id. A null id
+    stays only where its text has no other. Rows are told apart by id and text, so an id that several
+    texts share keeps or loses each of them by itself."""
     ship_package(spark)
-    kept = dedup.exact_groups(docs.filter("doc_id is not null"), keep="max").filter("kept")
-    named = _keep_ids(docs, kept.select(F.col("doc_id").alias("keep_id"))).dropDuplicates(["doc_id", "text"])
-    nameless = docs.filter("doc_id is null").withColumn("llm_folded", fold_ascii(text_or_empty("text")))
-    return named.unionByName(nameless.dropDuplicates(["llm_folded"]).drop("llm_folded"))
+    kept = dedup.exact_groups(docs, keep="max").filter("kept").select(
+        F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    rows = docs.withColumn("llm_sha", F.sha2(fold_ascii(text_or_empty("text")).cast("binary"), 256))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["keep_id"]) & (rows["llm_sha"] == kept["keep_sha"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "llm_sha"]).drop("llm_sha")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the Jaccard join, the one with the smallest id. Rows with
-    a null id have no component and stay."""
+    """One document of each component of the Jaccard join, the one with the smallest id; one with a
+    null id only where all are null. The join runs on a key of id and text, so rows with a null or a
+    repeated id are documents like any other; a row given twice stays once."""
     ship_package(spark)
-    found = jaccard.similar_groups(docs, count_links=False).filter("doc_id = component_id").select(F.col("doc_id").alias("keep_id"))
-    return _keep_ids(docs, found).unionByName(docs.filter("doc_id is null"))
+    parts = [F.coalesce(F.length(F.col("doc_id").cast("string")).cast("string"), F.lit("null")),
+             F.col("doc_id").cast("string"), F.col("text")]
+    rows = docs.withColumn("llm_key", F.md5(F.concat_ws(":", *parts).cast("binary")))
+    found = jaccard.similar_groups(rows, id_col="llm_key", count_links=False).select(
+        F.col("doc_id").alias("key"), "component_id")
+    named = rows.select("llm_key", "doc_id").join(found.distinct(), F.col("llm_key") == F.col("key"))
+    kept = named.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("llm_key").alias("key"))).alias("least"))
+    kept = kept.select(F.col("least.key").alias("keep_key"))
+    return (rows.join(kept, rows["llm_key"] == kept["keep_key"], "left_semi")
+            .dropDuplicates(["llm_key"]).drop("llm_key"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +77,7 @@ STAGES = [
     ("SentencePiece sampling", segmentations),
 ]
 
-#: SQL cannot express the trained and sampled stages; tests check the pipeline against brute force.
+#: SQL cannot express the trained and sampled stages; tests check the two dedup stages against brute force.
 ORACLE_SQL = None
 
 

@@ -34,8 +34,9 @@ def sizes(docs: DataFrame, per_byte: float = 1 / 6) -> tuple[int, int]:
     return max(1, -(-total // BLOCK_BYTES)), max(2, int(np.ceil(np.log2(buckets))))
 
 
-def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+def in_blocks(docs: DataFrame, blocks: int, *by: str) -> DataFrame:
+    """Deals rows by the columns ``by``, by default their id."""
+    return docs.withColumn("block", F.pmod(F.xxhash64(*(by or ("doc_id",))), F.lit(blocks)))
 
 
 def squeeze(values: np.ndarray) -> bytes:

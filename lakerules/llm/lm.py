@@ -193,7 +193,7 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     """
     rows = pick(df, doc_id=id_col, text=text_col)
     blocks, bits = ex.sizes(rows, per_byte=order / 6)
-    rows = ex.in_blocks(rows.withColumn("learn", F.coalesce(learn, F.lit(False))), blocks)
+    rows = ex.in_blocks(rows.withColumn("learn", F.coalesce(learn, F.lit(False))), blocks, "doc_id", "text")
     sent = rows.groupBy("block").applyInArrow(_emit(order, bits), ex.SENT)
     totals = sent.groupBy("bucket").applyInArrow(_total, ex.TOTALS + ", n long, v long")
     id_type = rows.schema["doc_id"].dataType

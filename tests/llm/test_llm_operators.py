@@ -189,6 +189,54 @@ def test_jaccard_awkward_rows(spark):
     assert by[4]["n_shingles"] == 0 and by[4]["component_id"] == 4 and by[7]["class_size"] == 3
 
 
+
+def test_pipeline_dedup_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(12):  # copies, copies in capitals and near copies, under null, repeated and own ids
+        base = [f"g{g}w{i}" for i in range(40)]
+        near = [*base[:-1], "other"]
+        for words in (base, base, near, base[:20]):
+            text = " ".join(words)
+            i = [None, 7, 1000 + len(rows)][int(rng.integers(3))]
+            rows.append((i, text.upper() if rng.integers(4) == 0 else text, "en", "a"))
+    rows += [(7, rows[0][1], "en", "a")] * 2 + [(None, rows[5][1], "en", "a")] * 2 + [(None, None, "en", "a"), (3, "", "en", "a")]
+
+    def first(ids):
+        return min(ids, key=lambda i: (i is None, i or 0))
+
+    schema = "doc_id long, text string, lang string, source string"
+    exact = corpus_pipeline.exact_dedup(spark, spark.createDataFrame(rows, schema), str(tmp_path))
+    assert exact.columns == ["doc_id", "text", "lang", "source"]
+    groups = collections.defaultdict(list)
+    for i, text, *_ in rows:
+        groups[folded(text)].append(i)
+    want = sorted((str(max((i for i in ids if i is not None), default=None)), t) for t, ids in groups.items())
+    kept = [(r["doc_id"], r["text"]) for r in exact.collect()]
+    assert sorted((str(i), folded(t)) for i, t in kept) == want
+
+    spark.createDataFrame([(i, t, "en", "a") for i, t in kept], schema).write.parquet(f"{tmp_path}/in")
+    given = spark.read.parquet(f"{tmp_path}/in")
+    numbered = [(n, t, "en", "a") for n, (_, t) in enumerate(kept)]
+    members = collections.defaultdict(list)
+    for n, (_, root) in brute_components(numbered).items():
+        members[root].append(kept[n][0])
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, given, str(tmp_path)).collect()]
+    assert sorted(str(i) for i, _ in got) == sorted(str(first(ids)) for ids in members.values())
+    # Rows given twice stay once, also when nothing came before this stage.
+    again = corpus_pipeline.near_dedup(spark, given.union(given), str(tmp_path))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in again.collect()))) == sorted(map(str, got))
+
+
+def test_language_model_spreads_null_ids_over_blocks(spark, monkeypatch):
+    seen, whole = [], ex.in_blocks
+    monkeypatch.setattr(lm.ex, "in_blocks", lambda *a: seen.append(whole(*a)) or seen[-1])
+    monkeypatch.setattr(ex, "BLOCK_BYTES", 256)
+    rows = [(None, f"row number {i} of many", "en", "a") for i in range(200)]
+    assert lm.score_texts(docs(spark, rows), learn=F.lit(True)).count() == 200
+    assert max(r["count"] for r in seen[0].groupBy("block").count().collect()) < 50
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101)], "x long, y long")
     got = {r["node"]: r["component"] for r in jaccard.components(links).collect()}
