@@ -42,6 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch[0]
 
 
+def new_path(spark: SparkSession, kind: str = "llm") -> str:
+    """A folder of the shared folder for one table, removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if not _cuts:
+        atexit.register(_drop_cuts)
+    _cuts.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
@@ -49,11 +58,8 @@ def cut(df: DataFrame) -> DataFrame:
     tables are removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    if not _cuts:
-        atexit.register(_drop_cuts)
-    _cuts.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
