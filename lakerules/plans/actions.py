@@ -98,29 +98,39 @@ def plan_rows(matched: DataFrame, rules, custom: dict[str, Callable] | None = No
 
 def plan_actions(matched: DataFrame, rules, occupied: DataFrame, *, mode: str = AUTOMATIC,
                  always_delete: bool = False, approved: DataFrame | None = None,
-                 custom: dict[str, Callable] | None = None) -> DataFrame:
+                 custom: dict[str, Callable] | None = None, reuse_released: bool = False) -> DataFrame:
     """Full plan: statuses, collision-free final paths and the decision of the mode.
 
     occupied: ``parent, name`` of every entry present before the run (files and directories).
     approved: optional ``seq, approved`` (interactive mode, from :func:`decisions.approvals`).
+    reuse_released: an entry that leaves in the run (its row is executed and moves, packs or deletes
+    it) frees its name for claims of a later ``seq``, as when rows are executed one after the other.
+    Without it a name held before the run is never given out in it.
+
+    Entries are told apart by their path; several may have one ``seq``, and are then served in the
+    order of a hash of the path.
     """
     # the narrow plan rows are written once; claims, names and the final join all read them
-    p = cut_lineage(plan_rows(matched, rules, custom))
-    claims = (p.filter((F.col("status") == PLANNED) & F.col("action_type").isin("move", "compress"))
-              .select(F.col("seq").alias("claim_id"), "seq", F.col("target_dir").alias("dir"),
-                      F.col("wanted_name").alias("name")))
-    names = resolve_names(claims, occupied.select(dir_path("parent").alias("dir"), "name"), claims_are_cut=True)
-    p = p.join(names.withColumnRenamed("claim_id", "seq"), "seq", "left")
-    final = (F.when(F.col("status") == UNCHANGED, F.col("path"))
-             .when(F.col("final_name").isNotNull(), path_of("target_dir", "final_name")))
-    p = p.withColumn("final_path", final)
+    p = plan_rows(matched, rules, custom).withColumn("entry", F.xxhash64("path", "is_directory"))
     if approved is not None:
         p = p.join(approved.select("seq", "approved"), "seq", "left")
         dec = decide("action_type", mode, always_delete, F.col("approved"))
     else:
         dec = decide("action_type", mode, always_delete)
-    executable = F.col("status").isin(PLANNED, UNCHANGED)
-    p = p.withColumn("decision", executable & dec)
+    p = cut_lineage(p.withColumn("decision", F.col("status").isin(PLANNED, UNCHANGED) & dec))
+    claims = (p.filter((F.col("status") == PLANNED) & F.col("action_type").isin("move", "compress"))
+              .select(F.col("entry").alias("claim_id"), "seq", F.col("target_dir").alias("dir"),
+                      F.col("wanted_name").alias("name")))
+    held = occupied.select(dir_path("parent").alias("dir"), "name")
+    if reuse_released:
+        leaving = (p.filter((F.col("status") == PLANNED) & F.col("decision") & F.col("action_type").isin(*ACTION_TYPES))
+                   .groupBy(dir_path("parent").alias("dir"), "name").agg(F.max("seq").alias("release")))
+        held = held.join(leaving, ["dir", "name"], "left")
+    names = resolve_names(claims, held, claims_are_cut=True)
+    p = p.join(names.withColumnRenamed("claim_id", "entry"), "entry", "left")
+    final = (F.when(F.col("status") == UNCHANGED, F.col("path"))
+             .when(F.col("final_name").isNotNull(), path_of("target_dir", "final_name")))
+    p = p.withColumn("final_path", final)
     for name, fn in (custom or {}).items():
         p = fn(p, name)
     return p.select(*PLAN_COLS)
@@ -225,8 +235,9 @@ def pack_layout(inventory: DataFrame, plan: DataFrame, base: str | None = None,
     Descendants find their entry by an equi-join on their first component under ``base``.
     """
     ex = plan.filter(F.col("decision") & (F.col("status") == PLANNED) & (F.col("action_type") == "compress"))
-    files = (ex.filter(~F.col("is_directory")).select(F.col("final_path").alias("archive"), F.col("name").alias("member"), "seq")
-             .join(inventory.select("seq", "size"), "seq").select("archive", "member", "size"))
+    files = (ex.filter(~F.col("is_directory")).select(F.col("final_path").alias("archive"), F.col("name").alias("member"), "seq", "path")
+             .join(inventory.select(seq_of(inventory).alias("seq"), path_of("parent", "name").alias("path"), "size"), ["seq", "path"])
+             .select("archive", "member", "size"))
     if base is None:
         return files
     b = base.rstrip("/")

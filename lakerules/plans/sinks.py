@@ -6,9 +6,8 @@ Every function takes an explicit plan or routed table; nothing here runs unless
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .actions import PLANNED
+from .actions import survivors
 
 
 def write_plan(plan: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -28,8 +27,7 @@ def write_survivors(inventory: DataFrame, plan: DataFrame, path: str, execute: b
     ``execute=False`` only returns the survivors; with ``execute=True`` they are written to
     ``path`` (a new location: the input is never overwritten while it is being read).
     """
-    gone = plan.filter(F.col("decision") & (F.col("status") == PLANNED) & (F.col("action_type") == "delete"))
-    survivors = inventory.join(gone.select("seq"), "seq", "left_anti")
+    kept = survivors(inventory, plan)
     if execute:
-        survivors.write.mode(mode).parquet(path)
-    return survivors
+        kept.write.mode(mode).parquet(path)
+    return kept

@@ -492,6 +492,56 @@ def q_conflict_names(spark, d):
             .select("seq", "parent", "name", "final_name"))
 
 
+# Claims of names that are numbered forms of other claimed names, over names held with gaps.
+_LINKED_SQL = """with recursive part_claim as (select p_partkey as seq, p_brand as dir, 'p'||(p_partkey % 7) as key,
+  'p'||(p_partkey % 7)||case p_partkey % 5 when 0 then '_1' when 1 then '_2_1' else '' end as stem from part where p_partkey % 4 <> 0),
+held as (select distinct p_brand as dir, 'p'||(p_partkey % 7) as key,
+  'p'||(p_partkey % 7)||case when p_partkey % 8 = 0 then '_'||(p_partkey % 3 + 1) else '' end||'.dat' as name, {release} as release
+  from part where p_partkey % 4 = 0),
+stays as (select dir, key, name, case when count(*) = count(release) then max(release) end as release from held group by all),
+cl as (select c.seq, c.dir, c.key, c.stem, row_number() over (partition by c.dir, c.key order by c.seq) as i,
+  coalesce(list(s.name) filter (s.name is not null), []) as there
+  from part_claim c left join stays s on s.dir = c.dir and s.key = c.key and (s.release is null or s.release >= c.seq)
+  group by c.seq, c.dir, c.key, c.stem),
+steps as (select distinct dir, key, cast(0 as bigint) as i, cast(null as bigint) as seq, cast(null as varchar) as stem,
+    cast(null as varchar) as final_name, cast([] as varchar[]) as taken from cl
+  union all
+  select dir, key, i, seq, stem, f, list_append(taken, f) from (
+    select c.dir, c.key, c.i, c.seq, c.stem, s.taken, case when not list_contains(list_concat(s.taken, c.there), c.stem||'.dat') then c.stem||'.dat'
+      else c.stem||'_'||list_filter(range(1, len(s.taken) + len(c.there) + 2),
+        lambda j: not list_contains(list_concat(s.taken, c.there), c.stem||'_'||j||'.dat'))[1]||'.dat' end as f
+    from steps s join cl c on c.dir = s.dir and c.key = s.key and c.i = s.i + 1))
+select seq, dir, stem||'.dat' as name, final_name from steps where i > 0"""
+
+
+def _linked_claims(spark, d):
+    part = A.table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("dir"))
+    key = F.concat(F.lit("p"), (F.col("seq") % 7).cast("string"))
+    tail = F.when(F.col("seq") % 5 == 0, "_1").when(F.col("seq") % 5 == 1, "_2_1").otherwise("")
+    number = F.when(F.col("seq") % 8 == 0, F.concat(F.lit("_"), (F.col("seq") % 3 + 1).cast("string"))).otherwise("")
+    claims = part.filter("seq % 4 <> 0").select(F.col("seq").alias("claim_id"), "seq", "dir", F.concat(key, tail, F.lit(".dat")).alias("name"))
+    held = part.filter("seq % 4 = 0").select("seq", "dir", F.concat(key, number, F.lit(".dat")).alias("name"))
+    return claims, held
+
+
+def _resolved(claims, held):
+    return (claims.join(resolve_names(claims, held), "claim_id").select("seq", "dir", "name", "final_name"))
+
+
+@query("linked_names", _LINKED_SQL.format(release="cast(null as bigint)"))
+def q_linked_names(spark, d):
+    claims, held = _linked_claims(spark, d)
+    return _resolved(claims, held.select("dir", "name"))
+
+
+@query("released_names", _LINKED_SQL.format(release="case when p_partkey % 3 > 0 then p_partkey + 700 end"))
+def q_released_names(spark, d):
+    claims, held = _linked_claims(spark, d)
+    leaves = F.when(F.col("seq") % 3 > 0, F.col("seq") + 700)
+    held = held.groupBy("dir", "name").agg(F.when(F.count(F.lit(1)) == F.count(leaves), F.max(leaves)).alias("release"))
+    return _resolved(claims, held)
+
+
 def _visible_inv(spark, d):
     return A.inv(spark, d).filter(K.not_hidden("name"))
 
@@ -872,7 +922,9 @@ def _tree_pack_rows(spark, d, suffix=".zip"):
     files, dirs, plan = _tree_plan(spark, d)
     layout = P.pack_layout(files, plan, base="/", known_dirs=dirs)
     pages = A.tree(spark, d).join(A.table(spark, d, "pages").select(F.col("page_id").alias("seq"), "html"), "seq")
-    content = pages.select(F.substring("path", 2, 1 << 30).alias("member"), F.encode("html", "UTF-8").alias("content"))
+    # pages of one path are one file: the first of them
+    content = pages.groupBy(F.substring("path", 2, 1 << 30).alias("member")).agg(
+        F.min_by(F.encode("html", "UTF-8"), "seq").alias("content"))
     rows = layout.join(content, "member", "left").select("archive", "member", "content")
     return rows.withColumn("archive", F.regexp_replace("archive", r"\.zip$", suffix))
 

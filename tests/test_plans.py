@@ -7,6 +7,7 @@ from lakerules.operators.match import match_rules
 from lakerules.plans import actions as P
 from lakerules.plans import cleanup as Cl
 from lakerules.plans import decisions as Dc
+from lakerules.plans.sinks import write_survivors
 from lakerules.sources import inventory as I
 from tests.helpers import AS_OF, inv_df
 
@@ -210,3 +211,35 @@ def test_entries_that_share_a_seq_stay_apart(spark):
                           mode=Dc.AUTOMATIC, always_delete=True)
     assert [r.name for r in P.survivors(inv, plan).collect()] == ["two.txt"]
     assert [r.path for r in P.after_state(inv, plan).collect()] == ["/b/two.txt"]
+
+
+def _equal_seq_plan(spark, **options):
+    inv = spark.createDataFrame([("/b", "gone.log", 1, None, False, 5), ("/b", "keep.dat", 2, None, False, 5),
+                                 ("/b", "m.txt", 3, None, False, 5), ("/c", "m.txt", 4, None, False, 5), ("/b", "p.bin", 5, None, False, 5)],
+                                "parent string, name string, size bigint, mtime timestamp, is_directory boolean, seq bigint")
+    rules = [{"conditions": {"end": ".log"}, "action": {"type": "delete"}},
+             {"conditions": {"end": ".txt"}, "action": {"type": "move", "target": "/t"}},
+             {"conditions": {"end": ".bin"}, "action": {"type": "compress", "target": "/z"}}]
+    matched = match_rules(inv, rules, AS_OF)
+    return inv, P.plan_actions(matched, rules, inv.select("parent", "name"), always_delete=True, **options)
+
+
+def test_entries_of_one_seq_stay_apart(spark):
+    inv, plan = _equal_seq_plan(spark)
+    rows = {r["path"]: r["final_path"] for r in plan.collect()}
+    assert len(rows) == plan.count() == 4
+    assert {rows["/b/m.txt"], rows["/c/m.txt"]} == {"/t/m.txt", "/t/m_1.txt"}
+    left = {r["name"] for r in write_survivors(inv, plan, "unused").collect()}
+    assert left == {"keep.dat", "m.txt", "p.bin"}
+    assert [tuple(r) for r in P.pack_layout(inv, plan).collect()] == [("/z/p.zip", "p.bin", 5)]
+
+
+def test_a_name_freed_in_the_run_is_given_out_later(spark):
+    inv = spark.createDataFrame([("/t", "a.txt", 1, None, False, 1), ("/s", "a.txt", 2, None, False, 2), ("/r", "a.txt", 3, None, False, 0)],
+                                "parent string, name string, size bigint, mtime timestamp, is_directory boolean, seq bigint")
+    rules = [{"conditions": {"smaller": "2"}, "action": {"type": "move", "target": "/u"}},
+             {"conditions": {}, "action": {"type": "move", "target": "/t"}}]
+    matched = match_rules(inv, rules, AS_OF)
+    for reuse, second in ((True, "/t/a.txt"), (False, "/t/a_2.txt")):
+        plan = P.plan_actions(matched, rules, inv.select("parent", "name"), reuse_released=reuse)
+        assert {r["path"]: r["final_path"] for r in plan.collect()} == {"/t/a.txt": "/u/a.txt", "/s/a.txt": second, "/r/a.txt": "/t/a_1.txt"}
