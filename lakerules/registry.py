@@ -84,6 +84,22 @@ def q_match_rules_join(spark, d):
     return M.match_rules_join(A.inv(spark, d), rules_frame(spark, INV_RULES), INV_AS_OF)
 
 
+def many_rules(n: int) -> list[dict]:
+    """n rules from a rule: a prefix o<k>, one of four endings, a size bound that grows."""
+    ends = [".zip", ".tmp", ".parquet", "_1"]
+    return [{"conditions": {"start": f"o{k + 1}", "end": ends[k % 4], "larger": f"{k % 50 * 20}KB"},
+             "action": {"type": "delete"}} for k in range(n)]
+
+
+@query("match_rules_many", O.with_(O.INVL) + r""", rules as (select k as rule_idx, 'o' || (k + 1) as s,
+  ['.zip', '.tmp', '.parquet', '_1'][k % 4 + 1] as e, k % 50 * 20 * 1024 as larger from range(2000) t(k))
+select parent, name, size, cast(min(rule_idx) as integer) as rule_idx
+from invl left join rules on starts_with(lower(name), s) and ends_with(lower(name), e) and size > larger
+group by seq, parent, name, size""")
+def q_match_rules_many(spark, d):
+    return M.match_rules(A.invl(spark, d), many_rules(2000), INVL_AS_OF).select("parent", "name", "size", "rule_idx")
+
+
 # =============================================================================================
 # One query per condition
 # =============================================================================================
