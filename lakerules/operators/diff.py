@@ -2,8 +2,9 @@
 
 All pairs are compared in one job: the archive side (members with the archive's own root folder
 stripped, names in NFC) and the directory side (its listing, hidden entries pruned) meet in a
-full outer join keyed by (archive, dir, name). Keying by the *name* as well as the pair means a
-pair with millions of entries is spread over many tasks -- the full outer join has no hot key.
+one aggregate keyed by (archive, dir, name) over the tagged union of the sides, or, as separate
+operators, in a full outer join on that key. Keying by the *name* as well as the pair means a pair
+with millions of entries is spread over many tasks: there is no hot key.
 """
 
 from __future__ import annotations
@@ -100,10 +101,57 @@ def compare(a: DataFrame, d: DataFrame) -> DataFrame:
     return j.select(*KEY, kind.alias("kind"), "archive_size", "dir_size")
 
 
+def pair_flags(members: DataFrame, dirfiles: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """The pairs of :func:`pair_archives` with what is known of each: ``archive, dir, has_dirs`` (the
+    archive lists sub-directories), ``has_hidden`` (the directory holds hidden entries), ``unreadable``.
+    With ``only`` (``archive, dir``) these pairs, also of archives that list no member.
+
+    One aggregate by (parent, name) over both sides. It combines map-side, and a group holds the
+    archives next to one directory that bear its name, at most one per format and spelling.
+    """
+    is_dir = F.when(F.col("member").endswith("/"), nfc("member") != F.concat(nfc(stem_of(name_of("archive"))), F.lit("/"))).otherwise(False)
+    bad = F.col("error").isNotNull() if "error" in members.columns else F.lit(False)
+    a = members.filter(is_archive(name_of("archive"))).select(
+        parent_of("archive").alias("_p"), stem_of(name_of("archive")).alias("_n"),
+        F.struct("archive", F.coalesce(is_dir, F.lit(False)).alias("is_dir"), bad.alias("bad")).alias("entry"),
+        F.lit(None).cast("string").alias("dir"), F.lit(False).alias("hidden"))
+    if only is not None:
+        a = a.unionByName(only.select(
+            parent_of("archive").alias("_p"), stem_of(name_of("archive")).alias("_n"),
+            F.struct("archive", F.lit(False).alias("is_dir"), F.lit(False).alias("bad")).alias("entry"),
+            F.lit(None).cast("string").alias("dir"), F.lit(False).alias("hidden")))
+    d = dirfiles.select(parent_of("dir").alias("_p"), name_of("dir").alias("_n"), F.lit(None).cast(a.schema["entry"].dataType).alias("entry"),
+                        "dir", (~no_hidden_component("rel")).alias("hidden"))
+    both = (a.unionByName(d).groupBy("_p", "_n").agg(F.collect_set("entry").alias("entries"), F.collect_set("dir").alias("dirs"),
+                                                     F.bool_or("hidden").alias("has_hidden"))
+            .filter((F.size("entries") > 0) & (F.size("dirs") > 0)))
+    one = both.select("entries", "has_hidden", F.explode("dirs").alias("dir"), F.transform("entries", lambda e: e["archive"]).alias("names"))
+    one = one.select("entries", "has_hidden", "dir", F.explode(F.array_distinct("names")).alias("archive"))
+    said = lambda field: F.exists("entries", lambda e: (e["archive"] == F.col("archive")) & e[field])
+    flags = one.select("archive", "dir", said("is_dir").alias("has_dirs"), "has_hidden", said("bad").alias("unreadable"))
+    return flags if only is None else flags.join(only.select(*PAIR), PAIR, "left_semi")
+
+
+def compare_listings(members: DataFrame, dirfiles: DataFrame, flags: DataFrame) -> DataFrame:
+    """Both sides in one pass: their union, tagged, and one conditional aggregate by (archive, dir, rel),
+    with the same answer as :func:`compare` on :func:`sides`. Names spread a pair over tasks."""
+    pairs = flags.select(*PAIR)
+    a = archive_side(members, pairs).select(*PAIR, nfc("rel").alias("rel"), F.struct("pos", "size").alias("a"))
+    listed = dirfiles.join(flags.select(*PAIR, "has_dirs"), "dir").filter(
+        (F.col("has_dirs") | ~F.col("rel").endswith("/")) & no_hidden_component("rel"))
+    d = listed.select(*PAIR, nfc("rel").alias("rel"), F.struct(F.col("rel").alias("name"), "size").alias("d"))
+    rows = a.withColumn("d", F.lit(None).cast(d.schema["d"].dataType)).unionByName(d.withColumn("a", F.lit(None).cast(a.schema["a"].dataType)))
+    # the last copy of a name that an archive lists twice; one entry of names that are equal in NFC
+    met = rows.groupBy(*KEY).agg(F.max("a").alias("a"), F.max("d").alias("d"))
+    met = met.select(*KEY, "a", "d", F.col("a.size").alias("archive_size"), F.col("d.size").alias("dir_size"))
+    kind = (F.when(F.col("a").isNull(), "extra").when(F.col("d").isNull(), "missing")
+            .when(same_size(), "same").otherwise("size_mismatch"))
+    return met.select(*KEY, kind.alias("kind"), "archive_size", "dir_size")
+
+
 def structure_diff(members: DataFrame, dirfiles: DataFrame) -> DataFrame:
     """Every difference: ``archive, dir, rel, kind, archive_size, dir_size``."""
-    _, a, d = sides(members, dirfiles)
-    return compare(a, d).filter(F.col("kind") != "same")
+    return compare_listings(members, dirfiles, pair_flags(members, dirfiles)).filter(F.col("kind") != "same")
 
 
 def diff_missing(a: DataFrame, d: DataFrame) -> DataFrame:

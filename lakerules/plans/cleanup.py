@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_archive, name_of, parent_of
-from ..functions.conditions import no_hidden_component
 from ..functions.rules import to_rules
 from ..operators import diff as D
+from ..session import cut_lineage
 from ..sources.inventory import self_and_ancestors
 from .actions import PLANNED
 from .decisions import AUTOMATIC, decide
@@ -29,19 +29,14 @@ REMOVED, GONE, KEPT, DIFFERENT, HIDDEN, UNREADABLE = "removed", "gone", "kept",
 
 def compared_pairs(members: DataFrame, dirfiles: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """``archive, dir, n_differences, identical, has_hidden`` for every pair."""
-    pairs, a, d = D.sides(members, dirfiles, pairs)
-    ident = D.identical_pairs(pairs, D.compare(a, d).filter(F.col("kind") != "same"))
-    hidden = (dirfiles.filter(~no_hidden_component("rel")).select("dir").distinct()
-              .withColumn("has_hidden", F.lit(True)))
-    out = (ident.join(hidden, "dir", "left")
-           .withColumn("has_hidden", F.coalesce("has_hidden", F.lit(False))))
-    if "error" in members.columns:
-        # an archive that could not be read lists no members: never call it identical
-        bad = members.filter(F.col("error").isNotNull()).select("archive").distinct().withColumn("_bad", F.lit(True))
-        out = (out.join(bad, "archive", "left")
-               .withColumn("unreadable", F.coalesce("_bad", F.lit(False))).drop("_bad")
-               .withColumn("identical", F.col("identical") & ~F.col("unreadable")))
-    return out
+    flags = cut_lineage(D.pair_flags(members, dirfiles, pairs))  # a row per pair, read three times below
+    diffs = D.compare_listings(members, dirfiles, flags).filter(F.col("kind") != "same")
+    n = diffs.groupBy(*D.PAIR).agg(F.count(F.lit(1)).alias("n"))
+    out = flags.join(n, D.PAIR, "left").withColumn("n_differences", F.coalesce("n", F.lit(0)).cast("bigint"))
+    # an archive that could not be read lists no members: never call it identical
+    identical = (F.col("n_differences") == 0) & ~F.col("unreadable")
+    out = out.select(*D.PAIR, "n_differences", identical.alias("identical"), "has_hidden", "unreadable")
+    return out if "error" in members.columns else out.drop("unreadable")
 
 
 def cleanup_plan(compared: DataFrame, mode: str = AUTOMATIC, always_delete: bool = False,
@@ -54,7 +49,7 @@ def cleanup_plan(compared: DataFrame, mode: str = AUTOMATIC, always_delete: bool
     else:
         ok = decide(F.lit("delete"), mode, always_delete)
     c = c.withColumn("decision", F.col("identical") & ~F.col("has_hidden") & ok)
-    return cleanup_order(c)
+    return cleanup_order(cut_lineage(c))
 
 
 def cleanup_order(c: DataFrame) -> DataFrame:
@@ -91,7 +86,7 @@ def cleanup_unpacked(plan: DataFrame, rules, members: DataFrame, dirfiles: DataF
     flagged = [r.idx for r in to_rules(rules) if r.delete_unpacked_on_match]
     moved = plan.filter(F.col("decision") & (F.col("status") == PLANNED) & (F.col("action_type") == "move")
                         & ~F.col("is_directory") & is_archive("name") & F.col("rule_idx").isin(flagged))
-    arch = moved.select(F.col("path").alias("archive"), "final_path")
+    arch = cut_lineage(moved.select(F.col("path").alias("archive"), "final_path"))
     dirs = dirfiles.select("dir").distinct()
     pairs = D.pair_archives(arch, dirs)
     compared = compared_pairs(members, dirfiles, pairs)

@@ -98,3 +98,40 @@ def test_unknown_size_never_counts_as_equal(spark):
     for left, right in ((None, 5), (5, None), (None, None)):
         ident, diffs = _compare(spark, [("/q/box.zip", "kept.bin", left, 0)], [("/q/box", "kept.bin", right)])
         assert ident == {"/q/box.zip": False} and diffs == {("kept.bin", "size_mismatch")}
+
+
+def test_one_pass_equals_the_join_of_the_sides(spark):
+    """Random listings: names in two normal forms, double members, hidden entries, roots, empty sides,
+    several archives per directory, unknown sizes."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lakerules.operators import diff as D
+    rng = random.Random(9)
+    names = ["a.txt", "s/b.txt", "s/", "caf\u00e9.txt", "cafe\u0301.txt", ".h/x", "s/.y", "z"]
+    members, listing = [], []
+    for k in range(40):
+        stem = f"/r/{rng.choice(['p', 'q'])}{k}"
+        for ext in rng.sample([".zip", ".7z", ".ZIP", ".txt"], rng.randint(0, 3)):
+            for pos in range(rng.randint(0, 7)):
+                n = rng.choice([*names, ""])
+                members.append((stem + ext, rng.choice(["", stem.rsplit("/", 1)[1] + "/"]) + n or "x", rng.choice([1, 1, 2, None]), pos))
+        listing += [(stem, n, rng.choice([1, 1, 2, None])) for n in rng.sample(names, rng.randint(0, 6)) if rng.random() < .8]
+    m = spark.createDataFrame(members, "archive string, member string, size long, pos long")
+    f = spark.createDataFrame(listing, "dir string, rel string, size long")
+    pairs, a, d = D.sides(m, f)
+    flags = D.pair_flags(m, f)
+    plain = lambda df, *cols: sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+    assert plain(flags, "archive", "dir", "has_dirs") == plain(
+        pairs.join(D.has_dirs(m, pairs), D.PAIR, "left"), "archive", "dir", F.coalesce("has_dirs", F.lit(False)))
+    cols = [*D.KEY, "kind", "archive_size", "dir_size"]
+    assert plain(D.compare_listings(m, f, flags), *cols) == plain(D.compare(a, d), *cols)
+
+
+def test_given_pairs_of_archives_without_members_are_compared(spark):
+    from lakerules.plans.cleanup import compared_pairs
+    m = spark.createDataFrame([("/r/b.zip", "x", 1, 0)], "archive string, member string, size long, pos long")
+    f = spark.createDataFrame([("/r/a", "y", 1), ("/r/a", ".h", 1), ("/r/b", "x", 1)], "dir string, rel string, size long")
+    pairs = spark.createDataFrame([("/r/a.zip", "/r/a")], "archive string, dir string")
+    assert [tuple(r) for r in compared_pairs(m, f, pairs).collect()] == [("/r/a.zip", "/r/a", 1, False, True)]
