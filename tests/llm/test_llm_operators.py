@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lakerules.llm import _common
 from lakerules.llm import _exchange as ex
 from lakerules.llm import dedup, jaccard, langid, lm, mixing, pieces, quality, tokens, toxicity, urls
 from lakerules.llm._common import cut, pick
@@ -465,6 +467,67 @@ def test_url_rare_branches_keep_their_labels(spark):
 
 
 
+def test_url_unlabelled_siblings_follow_one_sided_evidence(spark):
+    words = [a + b for a in "bcdfghjklm" for b in ("ake", "ond", "ist", "urp")]
+    rows = [(f"http://h.com/{w}/buy-now", 1 if i < 8 else None) for i, w in enumerate(words[:11])]  # three unknown
+    rows += [(f"http://h.com/{w}/about", 0 if i < 8 else None) for i, w in enumerate(words[:11])]
+    rows += [(f"http://two.com/{w}/buy-now", (1, 1, None)[i]) for i, w in enumerate(words[:3])]  # too little evidence
+    rows += [(f"http://mixed.com/{w}/x", (1, 1, 1, 1, 0, None)[i]) for i, w in enumerate(words[:6])]  # a sibling differs
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, bad int")
+    got = {(r["host"], r["path"]): (r["verdict"], r["template"]) for r in urls.judge(df, [], label_col="bad").collect()}
+    for w in words[:11]:
+        assert got["h.com", f"/{w}/buy-now"] == ("block", "/<*>/buy-now")
+        assert got["h.com", f"/{w}/about"] == ("allow", "/<*>/about")
+    assert got["two.com", f"/{words[2]}/buy-now"][0] == "allow"
+    assert got["mixed.com", f"/{words[5]}/x"][0] == "allow"
+
+
+def test_url_hidden_labels_are_found_again(spark):
+    """Half of the labels of every directory hidden: the tree blocks the hidden bad pages, rules and all."""
+    rng = random.Random(4)
+    slug = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    rows = [(f"http://{h}/{d}/{slug()}{tail}", bad, i % 2) for h in ("a.com", "b.org") for d, tail, bad in
+            (("deals", "/offer", 1), ("casino", "", 1), ("blog", "", 0), ("wiki", "/page", 0)) for i in range(60)]
+    df = spark.createDataFrame([(i, u, bad if seen else None) for i, (u, bad, seen) in enumerate(rows)], "page_id long, url string, bad int")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, [], label_col="bad").collect()}
+    hidden = [(got[i], bad) for i, (_, bad, seen) in enumerate(rows) if not seen]
+    assert sum(v == "block" for v, bad in hidden if bad) >= 0.9 * sum(bad for _, bad in hidden)
+    assert all(v == "allow" for v, bad in hidden if not bad)
+    # The same through rules alone: pages of the rules' own directories teach their siblings.
+    rules = [(f"h.com/{w}/ad", "block") for w in ("boat", "cars", "dogs", "eggs")]
+    rows = [f"http://h.com/{w}/ad" for w in ("boat", "cars", "dogs", "eggs", "fish")] + [f"http://h.com/{w}/text" for w in ("boat", "fish")]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {(r["path"], r["rule"] is None): r["verdict"] for r in urls.judge(df, rules).collect()}
+    assert got["/fish/ad", True] == "block" and got["/fish/text", True] == got["/boat/text", True] == "allow"
+
+
+def test_url_rules_equal_a_brute_force_search(spark):
+    rng = random.Random(6)
+    hosts = ["net", "example.net", "a.example.net", "EXAMPLE.com", "xexample.com", "b.org", "org.", ""]
+    urls_ = [rng.choice(["http://", "x://", "", "://", "http:/"]) + rng.choice(hosts) + rng.choice(["", "/", "?", "#"]) +
+             rng.choice(["en/1", "de/", "de", "fr/x?/en/", "/fr/", "fr/#a", "://net/en/"]) for _ in range(400)] + [None, ""]
+
+    def brute(url):
+        head, sep, rest = (url or "").partition("://")
+        end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, tail = rest[:end].lower(), rest[end:]
+        path = tail[:min([tail.find(c) for c in "?#" if c in tail] or [len(tail)])]
+        fits = [r for r, _ in RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/"):])]
+        return host, path, max(fits, key=lambda r: (len(r), r), default=None)
+
+    df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in urls.judge(df, RULES).collect()}
+    assert got == {i: brute(u) for i, u in enumerate(urls_)}
+
+
+def test_url_deep_paths_without_siblings_cost_no_table(spark):
+    rows = ["http://h.com/" + "/".join(f"{c}{chr(97 + i % 26)}" for i in range(40)) for c in "xy"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    before = len(_common._cuts)
+    assert {r["verdict"] for r in urls.judge(df, RULES).collect()} == {"allow"}
+    assert len(_common._cuts) - before <= 3
+
+
 def test_url_verdict_does_not_follow_the_mix_of_the_table(spark):
     rows = [(f"http://hot.net/{s}/{i}", "net") for s in ("shop", "news") for i in range(400)]
     rows += [(f"http://b.com/{s}/{i}", None) for s in ("shop", "news") for i in range(20)]
