@@ -3,11 +3,16 @@
 A batch of texts is one byte buffer with offsets. Words ``[^\\x20\\x09-\\x0D]+`` are found on the
 buffer, and every word gets a 64-bit hash of its bytes, without one Python object per word. UTF-8
 keeps other characters' bytes out of the ASCII range, so working on bytes is exact.
+
+Byte ranges below ``LONG`` bytes are hashed as a polynomial modulo 2^64, all at once. Longer ones
+need another hash, since Thue-Morse words of 1024 bytes are equal under every such polynomial: they
+take BLAKE2b, one call each, of which a buffer has at most one per ``LONG`` bytes.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +24,8 @@ BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 
+LONG = 256  # bytes
+
 IS_GAP = np.zeros(256, bool)
 IS_GAP[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -51,6 +58,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+def rehash_long(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """``hashes`` of the byte ranges [start, end), those of ``LONG`` bytes or more replaced by BLAKE2b."""
+    for i in np.flatnonzero(end - start >= LONG):
+        digest = hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest()
+        hashes[i] = int.from_bytes(digest, "little")
+    return hashes
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the offsets of each; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -109,8 +124,8 @@ class Words:
         self.hash = self.hash_of(self.start, self.end)
 
     def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the byte ranges [start, end) of ``data``."""
-        return mix((self._total[end] - self._total[start]) * self._inverse[start])
+        """Hashes of the byte ranges [start, end) of ``data``, of which long ones do not overlap."""
+        return rehash_long(self.data, start, end, mix((self._total[end] - self._total[start]) * self._inverse[start]))
 
     def __len__(self) -> int:
         return len(self.start)

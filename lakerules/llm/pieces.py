@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakerules.llm._common import pick
-from lakerules.llm._text import BASE, U64, _power_tables, buffer_of, mix, release, salt, slices
+from lakerules.llm._text import BASE, U64, _power_tables, buffer_of, mix, rehash_long, release, salt, slices
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ZIPF = 1.0
@@ -127,7 +127,7 @@ class Lattices:
         self.doc = np.searchsorted(offsets, start, "right") - 1
         power, inverse = _power_tables(n)
         total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(data.astype(np.uint64) + salt(5)) * power[:n], dtype=np.uint64)))
-        keys = mix((total[end] - total[start]) * inverse[start])
+        keys = rehash_long(data, start, end, mix((total[end] - total[start]) * inverse[start]))
         _, sample, self.word = np.unique(keys, return_index=True, return_inverse=True)
         self._build(data, start[sample], end[sample], vocab)
         # Where each occurrence begins in its row, in characters.

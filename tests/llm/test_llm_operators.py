@@ -423,6 +423,29 @@ def test_segmentations_of_awkward_rows(spark):
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("size", [255, 256, 512, 1024, 4096])
+def test_words_of_equal_polynomials_stay_apart(size):
+    x, y = thue_morse(size), thue_morse(size, "b", "a")
+    words = Words(pa.array([f"{x} {y} {x}", y, x.upper()]))
+    assert words.hash[0] == words.hash[2] == words.hash[4] and words.hash[1] == words.hash[3] != words.hash[0]
+
+
+def test_thue_morse_words_in_the_operators(spark):
+    x, y = thue_morse(1024), thue_morse(1024, "b", "a")
+    assert quality.base_counts(Words(pa.array([f"{x}\n{y}", f"{x}\n{x}"]), lower=False))["n_dup_lines"].tolist() == [0, 1]
+    df = docs(spark, [(1, x, "en", "a"), (2, y, "en", "a"), (3, x + " ", "en", "a"), (4, f"{x} {y}", "en", "a")])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4}
+    texts = {r["doc_id"]: set() for r in df.collect()}
+    for r in pieces.sample_segmentations(df, decoded=True).collect():
+        texts[r["doc_id"]].add(r["text"])
+    assert texts == {1: {x}, 2: {y}, 3: {x + " "}, 4: {f"{x} {y}"}}
+
+
 def test_url_rules_and_parts(spark):
     cases = [("http://A.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/", "allow"),
              ("https://example.net/de/2#t", "example.net", "/de/2", "net/", "block"),
