@@ -14,10 +14,12 @@ least ``LEAST`` percent; linked documents form components.
    and the sizes must be within 75 % of each other.
 4. Verification. A document is cut by the global order into fragments. A candidate pair meets
    once per fragment, the overlaps are counted there and summed per pair.
-5. Candidates come in two rounds. First every document meets the smallest id of each shingle of
-   its prefix: linear, and enough to connect a group of near copies however large. Then, in each
-   shingle, members of *different* groups meet whose sizes and positions allow a link. Pairs inside
-   a group are connected already, so thousands of near copies never meet all pairs; no candidate
+5. First every document meets the smallest id of each shingle of its prefix: linear, and enough to
+   connect most of a group of near copies however large. The links' components are the labels. Then,
+   as long as that finds links, every document meets the smallest document of another label in each
+   shingle, which is linear too, and the labels are computed anew. Last, in each shingle, the members
+   of labels that are still different meet whose sizes and positions allow a link. Pairs inside a
+   group are connected already, so thousands of near copies never meet all pairs; no candidate
    between groups is left out.
 6. Components by large-star and small-star steps on the links.
 7. Links are counted over all pairs, those inside a group included. Both ends of a link are in one
@@ -185,6 +187,22 @@ def _leader_pairs(prefix: DataFrame) -> DataFrame:
     return met.select("x", F.col("doc_id").alias("y"), "n_x", F.col("n").alias("n_y")).distinct()
 
 
+def _other_leader_pairs(prefix: DataFrame) -> DataFrame:
+    """Each document with the smallest id of another label in every shingle of its prefix. Only the
+    two smallest of different labels are needed: the second serves the documents of the first's label."""
+    leads = prefix.groupBy("gram", "label").agg(F.min(F.struct("doc_id", "n", "at")).alias("lead"))
+    leads = leads.select("gram", F.struct("lead.doc_id", "lead.n", "lead.at", "label").alias("lead"))
+    first = leads.groupBy("gram").agg(F.min("lead").alias("first"))
+    second = leads.join(first, "gram").filter("lead.label <> first.label").groupBy("gram", "first").agg(F.min("lead").alias("second"))
+    met = prefix.join(second, "gram").withColumn("lead", F.when(F.col("label") == F.col("first.label"), F.col("second"))
+                                                 .otherwise(F.col("first")))
+    met = met.filter(_can_reach(F.col("lead.n"), F.col("n"), F.col("lead.n") - F.col("lead.at"), F.col("n") - F.col("at")))
+    ends = [F.struct(F.col("doc_id").alias("id"), "n"), F.struct(F.col("lead.doc_id").alias("id"), F.col("lead.n").alias("n"))]
+    met = met.select(F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
+    return met.select(F.col("low.id").alias("x"), F.col("high.id").alias("y"), F.col("low.n").alias("n_x"),
+                      F.col("high.n").alias("n_y")).distinct()
+
+
 def _cross_pairs(prefix: DataFrame) -> DataFrame:
     """Candidates whose two documents have different labels.
 
@@ -390,15 +408,21 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     pairs = cut(_leader_pairs(prefix))
     near = cut(_verified(pairs, parts))
-    # A first label: the smallest leader, then that leader's own. Equal labels are connected.
-    up = near.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("label"))
-    top = up.select(F.col("node").alias("label"), F.col("label").alias("above"))
-    label = up.join(top, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
-    labelled = cut(prefix.join(label, prefix["doc_id"] == label["node"], "left").select(
-        "gram", "doc_id", "n", "at", F.coalesce("label", "doc_id").alias("label")))
-    others = cut(_cross_pairs(labelled).join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
-    far = _verified(others, parts)
-    found = components(near.union(far))
+    tested = pairs.select("x", "y")
+    while True:
+        found = components(near)
+        labelled = cut(prefix.join(found, prefix["doc_id"] == found["node"], "left").select(
+            "gram", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("label")))
+        more = cut(_other_leader_pairs(labelled).join(tested, ["x", "y"], "left_anti"))
+        tested = tested.union(more.select("x", "y"))
+        new = cut(_verified(more, parts))
+        if new.isEmpty():
+            break
+        near = near.union(new)
+    others = cut(_cross_pairs(labelled).join(tested, ["x", "y"], "left_anti"))
+    far = cut(_verified(others, parts))
+    if not far.isEmpty():
+        found = components(near.union(far))
 
     named = classes.join(found, classes["class_id"] == found["node"], "left").select(
         F.col("n_shingles").alias("n"), F.col("s1").alias("a"), F.col("s2").alias("b"), "class_id", "class_size",
