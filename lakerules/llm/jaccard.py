@@ -414,15 +414,18 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         labelled = cut(prefix.join(found, prefix["doc_id"] == found["node"], "left").select(
             "gram", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("label")))
         more = cut(_other_leader_pairs(labelled).join(tested, ["x", "y"], "left_anti"))
+        if more.isEmpty():
+            break
         tested = tested.union(more.select("x", "y"))
         new = cut(_verified(more, parts))
         if new.isEmpty():
             break
         near = near.union(new)
     others = cut(_cross_pairs(labelled).join(tested, ["x", "y"], "left_anti"))
-    far = cut(_verified(others, parts))
-    if not far.isEmpty():
-        found = components(near.union(far))
+    if not others.isEmpty():
+        far = cut(_verified(others, parts))
+        if not far.isEmpty():
+            found = components(near.union(far))
 
     named = classes.join(found, classes["class_id"] == found["node"], "left").select(
         F.col("n_shingles").alias("n"), F.col("s1").alias("a"), F.col("s2").alias("b"), "class_id", "class_size",
