@@ -88,24 +88,6 @@ def test_failing_reader_is_skipped(spark):
     assert [(r.member, r.size) for r in rows] == [("f", 1)]
 
 
-def test_driver_side_validation():
-    assert Ca.validate_rule_list({"a": 1}) == ["rule set must be a list of rules"]
-    assert Ca.validate_rule_list([]) == ["rule set is empty"]
-    good = [{"name": "ok", "conditions": {"end": ".log", "older": "30d"}, "action": {"type": "delete"},
-             "check_archive": False}]
-    assert Ca.validate_rule_list(good) == []
-    bad = ["text", {"name": 3, "conditions": {"larger": 512}, "action": {"type": "move", "target": 7}},
-           {"conditions": [], "action": {}}, {"conditions": {"regex": "("}, "action": "delete", "is_directory": "yes"}]
-    errs = Ca.validate_rule_list(bad)
-    assert any("#1: must be a mapping" in e for e in errs)
-    assert any("#2: name must be text" in e for e in errs)
-    assert any("target must be text" in e for e in errs)
-    assert any("#3: conditions must be a mapping" in e for e in errs)
-    assert any("bad value '('" in e for e in errs)
-    assert any("action must be a mapping" in e for e in errs)
-    assert any("'is_directory' must be boolean" in e for e in errs)
-
-
 def test_unreadable_archive_is_never_identical(spark):
     from lakerules.plans import cleanup as Cl
     from lakerules.plans import decisions as Dc
@@ -126,7 +108,7 @@ def test_scan_files_reads_metadata(spark, tmp_path):
     assert rows == {("a.txt", 7), ("b.log", 2)}
 
 
-def test_json_catalog_checks_match_driver_validator(spark):
+def test_json_catalog_checks(spark):
     import json
     from lakerules.operators.catalog_json import rule_checks_json
     sets = {
@@ -149,6 +131,3 @@ def test_json_catalog_checks_match_driver_validator(spark):
                    ("bad", 4, "V14"), ("bad", 4, "V10"), ("bad", 4, "V11"), ("bad", 4, "V16"), ("bad", 4, "V22"),
                    ("bad", 5, "V12"), ("bad", 5, "V13"), ("bad", 5, "V18"),
                    ("bad", 6, "V7"), ("bad", 6, "V21")}
-    # same rule sets, same number of findings as the driver-side validator
-    for k, v in sets.items():
-        assert len(Ca.validate_rule_list(v)) == sum(1 for g in got if g[0] == k), k
