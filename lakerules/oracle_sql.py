@@ -97,3 +97,24 @@ cmp as (select coalesce(a.archive, d.archive) as archive, coalesce(a.dir, d.dir)
 diffs as (select * from cmp where kind <> 'same'),
 ident as (select p.archive, p.dir, cast(coalesce(n.n, 0) as bigint) as n_differences, coalesce(n.n, 0) = 0 as identical
   from pairs p left join (select archive, dir, count(*) as n from diffs group by archive, dir) n using (archive, dir))"""
+
+# MEM, DIR and the files of the nested world: archives at two depths, every ninth as two formats.
+_ROOT = "'/data/conv/'||({n}%7)||case when {n}%2=1 then '/deep/er' else '' end"
+_NUMBER = "cast(regexp_extract(archive, 'conv_(-?[0-9]+)[.]', 1) as bigint)"
+CONV_MEM = MEM.replace("mem as (", "mem0 as (", 1) + """,
+mem1 as (select *, """ + _NUMBER + """ as n from mem0),
+mem as (select """ + _ROOT.format(n="n") + """||'/'||archive as archive, member, size, pos from mem1
+  union all select """ + _ROOT.format(n="n") + """||'/'||replace(archive, '.zip', '.7z'), member, size, pos from mem1 where n%9=0)"""
+CONV_DIR = DIR.replace("dirf as (", "dirf0 as (", 1) + """,
+dirf1 as (select *, cast(split_part(dir, '_', 2) as bigint) as n from dirf0),
+dirf as (select """ + _ROOT.format(n="n") + """||'/'||dir as dir, rel, size from dirf1 d
+  where not ends_with(rel, '/') or exists (select 1 from dirf1 f where f.dir = d.dir and starts_with(f.rel, d.rel) and f.rel <> d.rel))"""
+CONVW = """convw as (select """ + _ROOT.format(n="conv_id") + """||'/conv_'||conv_id||'/'||role as parent, 't'||turn||'.txt' as name,
+  cast(length(text) as bigint) as size, 1700000000+conv_id*100+turn as date from conversations
+  where conv_id%3<>1 and not (conv_id%8=0 and turn=1)
+union all
+select regexp_extract(archive, '^(.*)/[^/]*$', 1), regexp_extract(archive, '[^/]*$'), cast(sum(size) as bigint), null from mem group by archive),
+cdirs as (select distinct unnest(list_filter(list_transform(range(1, len(string_split(parent,'/'))+1),
+  lambda i: array_to_string(string_split(parent,'/')[1:i], '/')), lambda x: x <> '')) as path from convw),
+convpairs as (select c.parent||'/'||c.name as archive, d.path as dir from convw c
+  join cdirs d on d.path = c.parent||'/'||regexp_replace(c.name, '[.](zip|7z)$', '') where regexp_matches(c.name, '[.](zip|7z)$'))"""

@@ -1017,3 +1017,120 @@ ORACLE["rule_checks_json"] = (
                             "'''case_sensitive'' must be boolean' as detail from flat "
                             "where rule_idx = 0 and right(ruleset, 1) in ('1', '3', '5', '7', '9') union all ", 1)
     + _CHECKS_SELECT)
+
+
+# =============================================================================================
+# J1, S4, S6 at any depth; M8, M7, M10 as whole runs: queries over the nested world
+# =============================================================================================
+
+from .plans import runs as R  # noqa: E402
+
+
+@query("pairs_any_depth", O.with_(O.CONV_MEM, O.CONVW) + "select archive, dir from convpairs")
+def q_pairs_any_depth(spark, d):
+    return I.archives_with_directory(A.conv_world(spark, d))
+
+
+@query("list_directories", O.with_(O.CONV_MEM, O.CONVW) + """,
+wanted as (select distinct dir from convpairs union select distinct '/data/conv/'||(conv_id%7) from conversations)
+select w.dir, substr(c.parent||'/'||c.name, length(w.dir)+2) as rel, c.size, cast(c.date as bigint) as date, false as is_dir_entry
+from convw c join wanted w on starts_with(c.parent||'/', w.dir||'/')
+union all
+select w.dir, substr(p.path, length(w.dir)+2)||'/', cast(0 as bigint), cast(t.date as bigint), true
+from cdirs p join wanted w on starts_with(p.path, w.dir||'/')
+left join (select parent, max(date) as date from convw group by parent) t on t.parent = p.path""")
+def q_list_directories(spark, d):
+    world = A.conv_world(spark, d)
+    conv = A.table(spark, d, "conversations").select(F.concat(F.lit("/data/conv/"), (F.col("conv_id") % 7).cast("string")).alias("dir"))
+    dirs = I.archives_with_directory(world).select("dir").unionByName(conv)
+    return (I.list_directories(world, dirs, include_hidden=True)
+            .select("dir", "rel", "size", F.unix_seconds("mtime").alias("date"), "is_dir_entry"))
+
+
+@query("listing_details", O.with_(O.CONV_MEM, O.CONVW) + """, l as (
+select w.dir, substr(c.parent||'/'||c.name, length(w.dir)+2) as rel, c.size, c.date
+from convw c join (select distinct dir from convpairs) w on starts_with(c.parent||'/', w.dir||'/')
+union all
+select w.dir, substr(p.path, length(w.dir)+2)||'/', 0, t.date from cdirs p
+join (select distinct dir from convpairs) w on starts_with(p.path, w.dir||'/')
+left join (select parent, max(date) as date from convw group by parent) t on t.parent = p.path)
+select dir, rel, cast(arg_max(size, coalesce(date, -1)) as bigint) as size, cast(max(date) as bigint) as date,
+  dir||'/'||rtrim(rel, '/') as path from l group by dir, rel""")
+def q_listing_details(spark, d):
+    world = A.conv_world(spark, d)
+    return I.listing_details(I.list_directories(world, I.archives_with_directory(world), include_hidden=True))
+
+
+_CONV_DIFF_SQL = O.with_(O.CONV_MEM, O.CONV_DIR, O.DIFF)
+_CONV_ANSWERED = """, ans as (select *, regexp_extract(dir, '^(.*)/[^/]*$', 1) as key, case
+    when n%29=3 then 'never' when n%23=5 then 'a' when n%4=2 then 'n' when n%5=0 then null else 'y' end as resp
+  from (select *, cast(regexp_extract(archive, 'conv_(-?[0-9]+)[.]', 1) as bigint) as n from ident where identical)),
+asked as (select *, not coalesce(bool_or(resp in ('y', 'a')) over (partition by dir order by archive
+  rows between unbounded preceding and 1 preceding), false) as asked from ans),
+sticky as (select key, arg_min(resp, archive) as sticky_resp, min(archive) as sticky_id from asked
+  where asked and resp in ('a', 'never') group by key),
+ok as (select a.archive, a.dir, case when coalesce(a.archive > s.sticky_id, false) then s.sticky_resp = 'a'
+  else a.asked and coalesce(a.resp in ('y', 'a'), false) end as approved from asked a left join sticky s using (key)),
+first_ok as (select dir, min(archive) as removed_by from ok where approved group by dir)
+"""
+
+
+@query("cleanup_interactive", _CONV_DIFF_SQL + _CONV_ANSWERED + """select i.archive, i.dir, i.n_differences, i.identical,
+  coalesce(o.approved, false) as decision, case when i.archive = f.removed_by then 'removed'
+    when i.archive > f.removed_by then 'gone' when i.identical then 'kept' else 'different' end as status,
+  coalesce(i.archive = f.removed_by, false) as removes
+from ident i left join ok o using (archive) left join first_ok f on f.dir = i.dir""")
+def q_cleanup_interactive(spark, d):
+    plan = R.delete_unpacked(A.conv_world(spark, d), A.conv_members(spark, d), A.conv_answers(spark, d))
+    return plan.select("archive", "dir", "n_differences", "identical", "decision", "status", "removes")
+
+
+# Fixed rules of the whole run: archives with long turns are moved and cleaned up, short files deleted.
+RUN_RULES = [
+    {"name": "long turns", "conditions": {"contain": "assistant/t", "larger": "300B"}, "check_archive": True,
+     "action": {"type": "move", "target": "../long"}, "delete_unpacked_on_match": True},
+    {"name": "short turns", "conditions": {"end": ".txt", "smaller": "100B"}, "action": {"type": "delete"}},
+]
+_RUN_SQL = _CONV_DIFF_SQL + ", " + O.CONVW + """, inside as (select distinct archive from mem
+  where contains(lower(member), 'assistant/t') and size > 300),
+hit as (select c.*, c.parent||'/'||c.name as path, case when i.archive is not null then 0
+  when ends_with(c.name, '.txt') and c.size < 100 then 1 end as rule_idx
+  from convw c left join inside i on i.archive = c.parent||'/'||c.name)"""
+_UP_SQL = "regexp_extract(parent, '^(.*)/[^/]*$', 1) || '/long/' || name"
+
+
+def _conv_run(spark, d):
+    world, members = A.conv_world(spark, d), A.conv_members(spark, d)
+    return R.organize(world, RUN_RULES, INV_AS_OF, members=members, always_delete=True)
+
+
+@query("organize_run", _RUN_SQL + f"""select path, rule_idx, case rule_idx when 0 then 'move' else 'delete' end as action_type,
+  case rule_idx when 0 then {_UP_SQL} end as final_path, 'planned' as status, true as decision from hit where rule_idx is not null""")
+def q_organize_run(spark, d):
+    return _conv_run(spark, d).plan.select("path", "rule_idx", "action_type", "final_path", "status", "decision")
+
+
+@query("organize_run_stats", _RUN_SQL + """select count(*) as total_files, count_if(date is not null and rule_idx is not null) as processed_files,
+  count_if(date is not null and rule_idx is null) as skipped_files, count_if(date is null) as errors from hit""")
+def q_organize_run_stats(spark, d):
+    return _conv_run(spark, d).stats
+
+
+@query("organize_run_cleanup", _RUN_SQL + f""", mv as (select path as archive, {_UP_SQL} as final_path from hit where rule_idx = 0),
+r as (select m.archive, m.final_path, i.dir, i.identical, min(case when i.identical then i.archive end) over (partition by i.dir) as removed_by
+  from mv m join ident i using (archive))
+select archive, final_path, dir, identical, identical as decision, case when archive = removed_by then 'removed'
+  when archive > removed_by then 'gone' when identical then 'kept' else 'different' end as status from r""")
+def q_organize_run_cleanup(spark, d):
+    return _conv_run(spark, d).cleanup
+
+
+@query("match_stream_epochs", ORACLE["match_rules"])
+def q_match_stream_epochs(spark, d):
+    import uuid
+
+    from .session import checkpoint_dir
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = A.table(spark, d, "events")
+    events.repartition(4).write.parquet(f"{base}/in")  # several files, so several micro-batches
+    return match_stream(spark, f"{base}/in", events.schema, A.inv_from_events, INV_RULES, INV_AS_OF, out_dir=f"{base}/out")

@@ -96,6 +96,42 @@ def dirfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(dirs)
 
 
+def conv_root(conv_id) -> F.Column:
+    """Directory of a conversation in the nested world: seven of them, half two levels deeper."""
+    return F.concat(F.lit("/data/conv/"), _s(conv_id % 7), F.when(conv_id % 2 == 1, "/deep/er").otherwise(""))
+
+
+def conv_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MEM under the directories of the nested world; every ninth archive also as ``.7z``."""
+    m = mem(spark, sf_dir)
+    n = F.regexp_extract("archive", r"conv_(-?[0-9]+)[.]", 1).cast("bigint")
+    m = m.withColumn("archive", F.concat(conv_root(n), F.lit("/"), F.col("archive"))).withColumn("_n", n)
+    twin = m.filter("_n % 9 = 0").withColumn("archive", F.regexp_replace("archive", r"\.zip$", ".7z"))
+    return m.unionByName(twin).drop("_n")
+
+
+def conv_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CONVW: files only. The conversation archives and, two thirds of them, unpacked beside them;
+    unpacked files have a time, archives none."""
+    c = table(spark, sf_dir, "conversations")
+    files = c.filter((c.conv_id % 3 != 1) & ~((c.conv_id % 8 == 0) & (c.turn == 1))).select(
+        F.concat(conv_root(c.conv_id), F.lit("/conv_"), _s(c.conv_id), F.lit("/"), c.role).alias("parent"),
+        F.concat(F.lit("t"), _s(c.turn), F.lit(".txt")).alias("name"), F.length(c.text).cast("bigint").alias("size"),
+        F.timestamp_seconds(F.lit(1700000000) + c.conv_id * 100 + c.turn).alias("mtime"))
+    archives = (conv_members(spark, sf_dir).groupBy("archive").agg(F.sum("size").alias("size"))
+                .select(F.regexp_extract("archive", "^(.*)/[^/]*$", 1).alias("parent"),
+                        F.regexp_extract("archive", "[^/]*$", 0).alias("name"), "size", F.lit(None).cast("timestamp").alias("mtime")))
+    return files.unionByName(archives).withColumn("is_directory", F.lit(False))
+
+
+def conv_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to the clean-up prompts of the nested world, by archive."""
+    archives = conv_members(spark, sf_dir).select(F.col("archive").alias("id")).distinct()
+    n = F.regexp_extract("id", r"conv_(-?[0-9]+)[.]", 1).cast("bigint")
+    resp = (F.when(n % 29 == 3, "never").when(n % 23 == 5, "a").when(n % 4 == 2, "n").when(n % 5 == 0, "maybe").otherwise(""))
+    return archives.select("id", resp.alias("resp"))
+
+
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TREE: page URLs as paths; a trailing '/' marks a directory entry."""
     p = table(spark, sf_dir, "pages")

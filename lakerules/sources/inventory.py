@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import _c, name_of, parent_of, path_of
+from ..functions.columns import _c, is_archive, name_of, parent_of, path_of, stem_of
 from ..functions.conditions import no_hidden_component, not_hidden
 
 
@@ -143,3 +143,76 @@ def dir_details(listing: DataFrame) -> DataFrame:
     return (listing.groupBy("dir", "rel")
             .agg(F.max("size").alias("size"))
             .withColumn("path", F.concat(F.col("dir"), F.lit("/"), F.regexp_replace("rel", "/$", ""))))
+
+
+def _dirs_of(inventory: DataFrame) -> DataFrame:
+    """``path`` of every directory that holds rows, and of explicit directory rows; not their ancestors."""
+    held = inventory.select(F.col("parent").alias("path"))
+    if "is_directory" in inventory.columns:
+        held = held.unionByName(inventory.filter("is_directory").select(path_of("parent", "name").alias("path")))
+    return held.filter("path <> ''").distinct()
+
+
+def archives_with_directory(inventory: DataFrame, archives: DataFrame | None = None) -> DataFrame:
+    """``archive, dir``: archive files at any depth with a directory of their stem beside them.
+
+    The directories need no rows of their own: a path below one implies it. ``archives`` (column
+    ``archive``) restricts or replaces the inventory's own. Ancestors are listed for distinct
+    directories only, and meet the few names wanted by archives in an equi-join. Hidden entries count.
+    An inventory without archives gives no rows.
+    """
+    if archives is None:
+        is_file = ~F.coalesce(F.col("is_directory"), F.lit(False)) if "is_directory" in inventory.columns else F.lit(True)
+        archives = inventory.filter(is_file & is_archive("name")).select(path_of("parent", "name").alias("archive"))
+    wanted = (archives.select("archive").distinct().filter(is_archive(name_of("archive")))
+              .select("archive", path_of(parent_of("archive"), stem_of(name_of("archive"))).alias("dir")))
+    there = _dirs_of(inventory).select(F.explode(self_and_ancestors("path")).alias("dir")).distinct()
+    return wanted.join(there, "dir").select("archive", "dir")
+
+
+def list_directories(inventory: DataFrame, dirs: DataFrame, include_hidden: bool = False) -> DataFrame:
+    """Listing of each directory in ``dirs`` (column ``dir``), at any depth: ``dir, rel, size, mtime,
+    is_dir_entry`` (S4, S6). Names are relative to ``dir``; those of directories end in ``/``.
+
+    - Files keep size and time. A directory has size 0 and the time of its own row; without one, or
+      with a null time there, that of the newest row right in it, which may be null.
+    - Directories are those with rows below them and those with a row of their own, each once. A
+      directory listed inside another one of ``dirs`` appears in both listings.
+    - Nulls in ``dir`` or ``parent`` list nothing; repeated file rows stay repeated; a directory
+      without rows has no listing. Hidden entries are left out unless ``include_hidden``.
+
+    Only distinct directories are exploded to their ancestors, and only those below a wanted one go on
+    to meet the files by their immediate parent; AQE splits a parent that holds many of them.
+    """
+    inv = inventory if "is_directory" in inventory.columns else inventory.withColumn("is_directory", F.lit(False))
+    inv = inv if "mtime" in inv.columns else inv.withColumn("mtime", F.lit(None).cast("timestamp"))
+    inv = inv.select("parent", "name", "size", "mtime", F.coalesce("is_directory", F.lit(False)).alias("is_directory"))
+    wanted = dirs.select("dir").filter("dir <> ''").distinct()
+    below = (_dirs_of(inv).select(F.col("path").alias("parent"), F.explode(self_and_ancestors("path")).alias("dir"))
+             .join(wanted, "dir"))
+    below = below.select("dir", "parent", F.expr("substring(parent, length(dir) + 2)").alias("_at"))
+    rel = F.when(F.col("_at") == "", F.col("name")).otherwise(F.concat("_at", F.lit("/"), "name"))
+    files = (inv.filter(~F.col("is_directory")).join(below, "parent")
+             .select("dir", rel.alias("rel"), "size", "mtime", F.lit(False).alias("is_dir_entry")))
+    # one row per directory of the inventory, with its own time or the newest right in it
+    own = inv.filter("is_directory").select(path_of("parent", "name").alias("parent"), F.col("mtime").alias("own"),
+                                            F.lit(None).cast("timestamp").alias("newest"))
+    held = inv.filter(~F.col("is_directory")).select("parent", F.lit(None).cast("timestamp").alias("own"), F.col("mtime").alias("newest"))
+    times = (own.unionByName(held).groupBy("parent")
+             .agg(F.coalesce(F.max("own"), F.max("newest")).alias("mtime")))
+    timed = below.join(times, "parent", "left")
+    entries_ = (timed.select("dir", F.explode(self_and_ancestors("_at")).alias("rel"), "_at", "mtime")
+                .groupBy("dir", "rel").agg(F.max(F.when(F.col("rel") == F.col("_at"), F.col("mtime"))).alias("mtime"))
+                .select("dir", F.concat("rel", F.lit("/")).alias("rel"), F.lit(0).cast("bigint").alias("size"), "mtime",
+                        F.lit(True).alias("is_dir_entry")))
+    out = files.unionByName(entries_)
+    return out if include_hidden else out.filter(no_hidden_component("rel"))
+
+
+def listing_details(listing: DataFrame) -> DataFrame:
+    """Details keyed by (dir, rel): ``size, date`` (whole seconds of the epoch) and the full ``path``
+    (S6). Rows repeated under one key give the newest one's size and date, nulls last."""
+    newest = F.max(F.struct("mtime", "size"))
+    return (listing.groupBy("dir", "rel").agg(newest.alias("_n"))
+            .select("dir", "rel", F.col("_n.size").alias("size"), F.unix_seconds("_n.mtime").alias("date"),
+                    F.concat(F.col("dir"), F.lit("/"), F.regexp_replace("rel", "/$", "")).alias("path")))
