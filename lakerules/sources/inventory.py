@@ -163,9 +163,11 @@ def archives_with_directory(inventory: DataFrame, archives: DataFrame | None = N
     """
     if archives is None:
         is_file = ~F.coalesce(F.col("is_directory"), F.lit(False)) if "is_directory" in inventory.columns else F.lit(True)
-        archives = inventory.filter(is_file & is_archive("name")).select(path_of("parent", "name").alias("archive"))
-    wanted = (archives.select("archive").distinct().filter(is_archive(name_of("archive")))
-              .select("archive", path_of(parent_of("archive"), stem_of(name_of("archive"))).alias("dir")))
+        at = inventory.filter(is_file & is_archive("name")).select("parent", "name").distinct()
+    else:
+        at = archives.select("archive").distinct().select(parent_of("archive").alias("parent"), name_of("archive").alias("name"))
+        at = at.filter(is_archive("name"))
+    wanted = at.select(path_of("parent", "name").alias("archive"), path_of("parent", stem_of("name")).alias("dir"))
     there = _dirs_of(inventory).select(F.explode(self_and_ancestors("path")).alias("dir")).distinct()
     return wanted.join(there, "dir").select("archive", "dir")
 
