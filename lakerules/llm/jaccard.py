@@ -17,11 +17,12 @@ least ``LEAST`` percent; linked documents form components.
 5. First every document meets the smallest id of each shingle of its prefix: linear, and enough to
    connect most of a group of near copies however large. The links' components are the labels. Then,
    as long as that finds links, every document meets the smallest document of another label in each
-   shingle, which is linear too, and the labels are computed anew. Last, in each shingle, the members
+   shingle, which is linear too, and labels that a link joins become one. Last, in each shingle, the members
    of labels that are still different meet whose sizes and positions allow a link. Pairs inside a
    group are connected already, so thousands of near copies never meet all pairs; no candidate
    between groups is left out.
-6. Components by large-star and small-star steps on the links.
+6. Components by large-star and small-star steps on the links, in one task where they are few. Links
+   found in a later round join labels, not documents: only the labels' components are new.
 7. Links are counted over all pairs, those inside a group included. Both ends of a link are in one
    component, so components are compared whole: small ones many to a task, large ones in *rooms* of
    one size class, each of which meets the rooms of its own and of the next class. A meeting counts
@@ -53,6 +54,7 @@ ROOM_GRAMS = 1 << 20
 TASK_GRAMS = 1 << 18  # of small components that share a task, on average
 COLUMNS = 4096  # shingles per matrix product
 HASH_BITS = 58  # of an order key: fragment above, hash below
+FEW_LINKS = 1 << 18  # that one task makes components of; more take star steps
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,11 +233,34 @@ def _cross_pairs(prefix: DataFrame) -> DataFrame:
                       F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_y")).distinct()
 
 
+def _forest(id_type: pa.DataType):
+    def forest(edges):
+        code = pa.chunked_array([*edges["u"].chunks, *edges["v"].chunks]).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(code.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        u, v = np.split(rank[code.indices.to_numpy()], 2)
+        root = np.arange(len(order))
+        while True:  # hook the larger root to the smaller one, then let every node point to its root
+            a, b = root[u], root[v]
+            if (a == b).all():
+                break
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+        low = np.flatnonzero(root != np.arange(len(order)))
+        ids = code.dictionary.take(order)
+        return pa.table({"node": ids.take(pa.array(low)).cast(id_type), "component": ids.take(pa.array(root[low])).cast(id_type)})
+    return forest
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` for every node of ``links`` (``x``, ``y``): the smallest node reachable.
+    """``node, component`` for every node of ``links`` (``x``, ``y``) but the smallest of its
+    component: the smallest node reachable.
 
-    Alternates large-star and small-star until the edges stay as they are; every step writes its
-    edges to the shared folder, so a lost executor costs at most one step.
+    Up to ``FEW_LINKS`` distinct links are one task's work. More alternate large-star and small-star
+    until the edges stay as they are; every step writes its edges to the shared folder, so a lost
+    executor costs at most one step.
     """
     edges = cut(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct())
 
@@ -243,6 +268,10 @@ def components(links: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     state = mark(edges)
+    if state[0] <= FEW_LINKS:
+        kind = edges.schema["u"].dataType
+        name = kind.simpleString()
+        return cut(edges.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(_forest(to_arrow_type(kind)), f"node {name}, component {name}"))
     while state[0]:
         both = edges.select(F.col("u"), F.col("v")).union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -259,6 +288,19 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found``, the components of earlier links, with ``links`` added: only their labels' components
+    are computed, so a round costs what it adds."""
+    for end in ("x", "y"):
+        label = found.select(F.col("node").alias(end), F.col("component").alias(f"label_{end}"))
+        links = links.join(label, end, "left")
+    between = components(links.select(F.coalesce("label_x", "x").alias("x"), F.coalesce("label_y", "y").alias("y")))
+    renamed = between.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    moved = found.join(renamed, found["component"] == renamed["old"], "left").select(
+        "node", F.coalesce("new", "component").alias("component"))
+    return cut(moved.union(between))
+
+
 def _overlaps(grams: np.ndarray, doc: np.ndarray, docs: int, split: int) -> np.ndarray:
     """Shared shingles of each document under ``split`` with each from there on; of all with all
     where ``split`` is 0."""
@@ -407,10 +449,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prefix = cut(prefix.select("doc_id", "n", "gram", (F.col("start") + F.col("nth")).alias("at")))
 
     pairs = cut(_leader_pairs(prefix))
-    near = cut(_verified(pairs, parts))
+    found = components(cut(_verified(pairs, parts)))
     tested = pairs.select("x", "y")
     while True:
-        found = components(near)
         labelled = cut(prefix.join(found, prefix["doc_id"] == found["node"], "left").select(
             "gram", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("label")))
         more = cut(_other_leader_pairs(labelled).join(tested, ["x", "y"], "left_anti"))
@@ -420,12 +461,12 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         new = cut(_verified(more, parts))
         if new.isEmpty():
             break
-        near = near.union(new)
+        found = _joined(found, new)
     others = cut(_cross_pairs(labelled).join(tested, ["x", "y"], "left_anti"))
     if not others.isEmpty():
         far = cut(_verified(others, parts))
         if not far.isEmpty():
-            found = components(near.union(far))
+            found = _joined(found, far)
 
     named = classes.join(found, classes["class_id"] == found["node"], "left").select(
         F.col("n_shingles").alias("n"), F.col("s1").alias("a"), F.col("s2").alias("b"), "class_id", "class_size",

@@ -598,3 +598,30 @@ def test_packing_round_trip():
 
 def test_cut_needs_a_shared_folder_on_a_cluster(spark):
     assert cut(spark.range(3)).count() == 3
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_labels_joined_by_rounds_equal_components_of_all_links(spark, monkeypatch, few):
+    """A later round starts no more queries than its own links need, and ends in the same labels."""
+    monkeypatch.setattr(jaccard, "FEW_LINKS", few)
+    rng = random.Random(3)
+    all_links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400, 400)]
+    rounds = [spark.createDataFrame([(f"d{x:03}", f"d{y:03}") for x, y in part], "x string, y string")
+              for part in (all_links[:90], all_links[90:150], all_links[150:])]
+    found = jaccard.components(rounds[0])
+    for links in rounds[1:]:
+        found = jaccard._joined(found, links)
+    root = list(range(401))
+    for _ in root:
+        for x, y in all_links:
+            root[x] = root[y] = min(root[x], root[y])
+    want = sorted((f"d{i:03}", f"d{r:03}") for i, r in enumerate(root) if i != r)
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_few_links_need_no_star_steps(spark, monkeypatch):
+    written, whole = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: written.append(df) or whole(df))
+    links = spark.createDataFrame([(i + 1, i) for i in range(60)], "x long, y long")
+    assert jaccard.components(links).count() == 60
+    assert len(written) == 2
