@@ -15,9 +15,11 @@ that are the only one of their n-gram.
 Spark plan. No table of n-grams is broadcast or joined row by row: ``_exchange`` counts them and
 brings each block of documents the counts of its own. A document then holds, for each token, the
 counts of the n-grams that end there, which is all that the automaton's arcs and states on its path
-need. These are written once; sums over them give lambda (at most 64 rows per order), N and V, and
-one left-to-right pass per text follows the arcs. Shuffled data grow with the corpus: each block
-sends its distinct n-grams, about 6 bytes each.
+need. The orders go in ``turns``: each writes the totals it brings back and drops its shuffle files
+before the next begins, so the disk holds the n-grams of one turn only. The documents' counts are
+written once; sums over them give lambda (at most 64 rows per order), N and V, and one left-to-right
+pass per text follows the arcs. Shuffled data grow with the corpus: each block sends its distinct
+n-grams, about 6 bytes each.
 """
 
 from __future__ import annotations
@@ -65,12 +67,17 @@ def ngrams(token: np.ndarray, row: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _emit(order: int, bits: int):
+def turns(order: int) -> list[tuple[int, ...]]:
+    """The orders that are exchanged together. One and two tokens take about as many keys as three."""
+    return [t for t in (tuple(range(1, min(order, 2) + 1)), (3,), (4,)) if t[0] <= order]
+
+
+def _emit(own: tuple[int, ...], bits: int):
     def emit(key, docs):
         words = Words(docs["text"])
         token, row = tokens(words)
         learn = docs["learn"].to_numpy(zero_copy_only=False).astype(bool)[row]
-        grams = ngrams(token, row, order)
+        grams = ngrams(token, row, own[-1])[own[0] - 1:]
         every = np.sort(np.concatenate(grams))
         keys = every[np.concatenate(([True], every[1:] != every[:-1]))]
         learned = np.sort(np.concatenate([g[learn] for g in grams]))
@@ -79,16 +86,19 @@ def _emit(order: int, bits: int):
     return emit
 
 
-def _total(key, sent):
-    where, keys, totals, _ = ex.add_up(sent)
-    back = ex.totals_rows(sent, [totals[w] for w in where])
-    none = pa.nulls(len(back), pa.int64())
-    back = back.append_column("n", none).append_column("v", none)
-    single = (keys & U64(3) == 0) & (totals > 0)
-    own = pa.table([pa.array([-1], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.nulls(1, pa.binary()),
-                    pa.array([int(totals[single].sum())], pa.int64()), pa.array([int(single.sum())], pa.int64())],
-                   names=back.column_names)
-    return pa.concat_tables([back, own])
+def _total(turn: int):
+    def total(key, sent):
+        where, keys, totals, _ = ex.add_up(sent)
+        back = ex.totals_rows(sent, [totals[w] for w in where])
+        none = pa.nulls(len(back), pa.int64())
+        back = back.append_column("n", none).append_column("v", none)
+        single = (keys & U64(3) == 0) & (totals > 0)
+        own = pa.table([pa.array([-1], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.nulls(1, pa.binary()),
+                        pa.array([int(totals[single].sum())], pa.int64()), pa.array([int(single.sum())], pa.int64())],
+                       names=back.column_names)
+        rows = pa.concat_tables([back, own])
+        return rows.append_column("turn", pa.array([turn] * len(rows), pa.int32()))
+    return total
 
 
 def _classes(context: np.ndarray) -> np.ndarray:
@@ -119,10 +129,14 @@ def _look_up(order: int, id_type: pa.DataType):
             words = Words(docs["text"])
             token, of = tokens(words)
             grams = ngrams(token, of, order)
-            every = np.sort(np.concatenate(grams))
-            keys = every[np.concatenate(([True], every[1:] != every[:-1]))]
-            found = ex.received(back.filter(pc.is_valid(back["totals"])))
-            counts = np.stack([found[np.searchsorted(keys, g)] for g in grams])
+            back = back.filter(pc.is_valid(back["totals"]))
+            counts = np.empty((order, len(token)), np.uint64)
+            for turn, own in enumerate(turns(order)):
+                every = np.sort(np.concatenate([grams[m - 1] for m in own]))
+                keys = every[np.concatenate(([True], every[1:] != every[:-1]))]
+                found = ex.received(back.filter(pc.equal(back["turn"], turn)))
+                for m in own:
+                    counts[m - 1] = found[np.searchsorted(keys, grams[m - 1])]
             end = np.searchsorted(of, np.arange(len(docs)), "right")
             start = np.concatenate(([0], end[:-1]))
             texts = int(counts[0][end[-1] - 1])  # ends seen in training: one per text
@@ -194,13 +208,16 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     rows = pick(df, doc_id=id_col, text=text_col)
     blocks, bits = ex.sizes(rows, per_byte=order / 6)
     rows = ex.in_blocks(rows.withColumn("learn", F.coalesce(learn, F.lit(False))), blocks, "doc_id", "text")
-    sent = rows.groupBy("block").applyInArrow(_emit(order, bits), ex.SENT)
-    totals = sent.groupBy("bucket").applyInArrow(_total, ex.TOTALS + ", n long, v long")
+    totals = None
+    for turn, own in enumerate(turns(order)):
+        sent = rows.groupBy("block").applyInArrow(_emit(own, bits), ex.SENT)
+        part = cut(sent.groupBy("bucket").applyInArrow(_total(turn), ex.TOTALS + ", n long, v long, turn int"), tidy=True)
+        totals = part if totals is None else totals.union(part)
     id_type = rows.schema["doc_id"].dataType
     found = cut(rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
         _look_up(order, to_arrow_type(id_type)),
         f"doc_id {id_type.simpleString()}, n_tokens long, n_known long, log_known double, texts long, counts binary, "
-        "level int, class int, among long, novel long, n long, v long"))
+        "level int, class int, among long, novel long, n long, v long"), tidy=True)
     total = found.agg(F.sum("n"), F.sum("v")).first()
     n, v = total[0] or 0, total[1] or 0
     keep = {m: np.full(CLASSES + 1, 0.5) for m in range(2, order + 1)}

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -625,3 +626,26 @@ def test_few_links_need_no_star_steps(spark, monkeypatch):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)], "x long, y long")
     assert jaccard.components(links).count() == 60
     assert len(written) == 2
+
+
+def test_language_model_keeps_the_shuffle_files_of_one_turn_only(spark):
+    """Orders are exchanged in turns, and no turn leaves the n-grams it sent on the disk."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(str(rng.randrange(10 ** 9)) for _ in range(400)), "en", "a") for i in range(400)]
+    df = cut(pick(docs(spark, rows), doc_id="doc_id", text="text"))
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+
+    def held():
+        files = env.blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.length()) if files.apply(i).getName().startswith("shuffle_"))
+
+    before = held()
+    setting = spark.conf.get(_common.TIDY, None)
+    lm.score_texts(df, learn=F.lit(True))
+    for _ in range(100):
+        left = held() - before
+        if left < 500_000:
+            break
+        time.sleep(0.1)
+    assert left < 500_000  # the 320000 bigrams and trigrams alone take over 1.7 MB
+    assert spark.conf.get(_common.TIDY, None) == setting
