@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lakerules.llm import _linear as fit
 from lakerules.llm._common import pick
+from lakerules.llm._exchange import expand, squeeze
 from lakerules.llm._text import U64, Words, mix, release, salt, shingles, slices
 
 PER_CLASS = 1000
@@ -28,6 +29,7 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of words
 WINDOW = 8
 SLICE = 1 << 20
+FIT_GRAMS = 1 << 16  # grams that a step of the training looks at together
 SEED = "quality-1"
 BASE_FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FIELDS = "struct<" + ",".join(f"{x}:bigint" for x in BASE_FIELDS) + ",probability:double>"
@@ -124,9 +126,10 @@ def _features(batches):
             pieces = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").slice(low, n).cast(pa.string()), batch.column("label").slice(low, n).cast(pa.int32()),
-                pa.array([buckets[p].astype(np.int32).tobytes() for p in pieces], pa.binary()),
-                pa.array([values[p].astype(np.float32).tobytes() for p in pieces], pa.binary())],
-                names=["doc_id", "label", "buckets", "values"])
+                pa.array([len(p) for p in pieces], pa.int64()),
+                pa.array([squeeze(np.diff(buckets[p].astype(np.int32), prepend=np.int32(0))) for p in pieces], pa.binary()),
+                pa.array([squeeze(values[p].astype(np.float32)) for p in pieces], pa.binary())],
+                names=["doc_id", "label", "size", "buckets", "values"])
         release()
 
 
@@ -143,28 +146,45 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not (share.get(0) and share.get(1)):
         return model
     sample = fit.labelled_sample(pick(docs, doc_id=id_col, text=text_col), known, per_class, seed)
-    rows = sample.mapInArrow(_features, "doc_id string, label int, buckets binary, values binary").collect()
+    rows = sample.mapInArrow(_features, "doc_id string, label int, size long, buckets binary, values binary").collect()
     rows.sort(key=lambda r: (r["label"], r["doc_id"]))
     y = np.array([r["label"] for r in rows], float)
     if not rows or y.min() == y.max():
         return model
     held = np.arange(len(rows)) % 4 == 3
-    size = np.array([len(r["buckets"]) // 4 for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    col = np.concatenate([np.frombuffer(r["buckets"], np.int32) for r in rows])
-    val = np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows])
-    use = ~held[row]
-    r_, c_, v_ = row[use], col[use], val[use]
     n, kept = len(rows), ~held
+    size = np.array([r["size"] for r in rows], np.int64)
+    at = np.concatenate(([0], np.cumsum(size)))
+    col, val = np.empty(at[-1], np.int32), np.empty(at[-1], np.float32)
+    for i in range(n):  # each row is dropped once it is unpacked
+        col[at[i]:at[i + 1]] = np.cumsum(expand(rows[i]["buckets"], np.int32), dtype=np.int32)
+        val[at[i]:at[i + 1]] = expand(rows[i]["values"], np.float32)
+        rows[i] = None
     each = np.where(y == 1, 0.5 / max(1, (y[kept] == 1).sum()), 0.5 / max(1, (y[kept] == 0).sum())) * kept
     weights, bias = np.zeros(BUCKETS), np.zeros(1)
+    bounds = [0]  # row ranges of at most FIT_GRAMS grams, or one row
+    while bounds[-1] < n:
+        bounds.append(max(bounds[-1] + 1, int(np.searchsorted(at, at[bounds[-1]] + FIT_GRAMS, "right")) - 1))
+
+    def chunks():
+        """Row ranges, and the row, bucket and value of each of their grams."""
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            a, b = at[low], at[high]
+            yield low, high, np.repeat(np.arange(low, high), size[low:high]), col[a:b].astype(np.intp), val[a:b]
+
+    def margins():
+        return np.concatenate([np.bincount(r_ - low, weights=v_ * weights[c_], minlength=high - low)
+                               for low, high, r_, c_, v_ in chunks()])
 
     def gradients(_):
-        error = each * (fit.sigmoid(np.bincount(r_, weights=v_ * weights[c_], minlength=n) + bias[0]) - y)
-        return np.bincount(c_, weights=v_ * error[r_], minlength=BUCKETS) + 1e-7 * weights, np.array([error.sum()])
+        error = each * (fit.sigmoid(margins() + bias[0]) - y)
+        total = np.zeros(BUCKETS)
+        for _, _, r_, c_, v_ in chunks():
+            np.add.at(total, c_, v_ * error[r_])
+        return total + 1e-7 * weights, np.array([error.sum()])
 
     fit.adam([weights, bias], gradients, steps, 0.3)
-    score = np.bincount(row, weights=val * weights[col], minlength=n)
+    score = margins()
     held = held if held.any() and len(set(y[held])) == 2 else np.ones(n, bool)
     real = np.where(y == 1, share[1] / (y[held] == 1).sum(), share[0] / (y[held] == 0).sum()) if held.any() else y
     real = real[held] * held.sum() / real[held].sum()
