@@ -43,9 +43,10 @@ ZIPF = 1.0
 SAMPLES = 2
 SEED = 20
 SLICE = 1 << 20
-NO_EDGE = -2
 SPACE = "▁"
 
+_BYTE_MIX = mix(np.arange(256, dtype=np.uint64) + salt(5))
+
 
 class Vocabulary:
     """Pieces by the hash of their code points, their log-weights, and their bytes."""
@@ -75,20 +76,31 @@ class Vocabulary:
         hashes = np.array([code_hash(np.array([ord(c) for c in t], np.uint64)) for t in texts], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(list(texts.values()), np.int32)[order]
-        self.maybe = np.zeros(1 << 21, bool)
-        self.maybe[(self.hashes >> U64(43)).astype(np.int64)] = True
+        # By the top 21 bits of a hash: 1 if it may be a piece, 2 if it may begin a longer one, and the
+        # first piece there. A slot's pieces follow each other.
+        slots, first, many = np.unique((self.hashes >> U64(43)).astype(np.int64), return_index=True, return_counts=True)
+        self.most = int(many.max())
+        self.first = np.zeros(1 << 21, np.int32)
+        self.first[slots] = first
+        self.may = np.zeros(1 << 21, np.uint8)
+        self.may[slots] = 1
         longer = {t[:n] for t in texts for n in range(1, len(t))}
         starts = np.array([code_hash(np.array([ord(c) for c in t], np.uint64)) for t in longer], np.uint64)
-        self.maybe_start = np.zeros(1 << 21, bool)
-        self.maybe_start[(starts >> U64(43)).astype(np.int64)] = True
+        self.may[(starts >> U64(43)).astype(np.int64)] |= 2
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which hashes are pieces, their ids, and which may begin a longer piece."""
         slot = (hashes >> U64(43)).astype(np.int64)
-        hit = np.flatnonzero(self.maybe[slot])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[hit]), len(self.hashes) - 1)
-        same = self.hashes[at] == hashes[hit]
-        return hit[same], self.ids[at[same]], np.flatnonzero(self.maybe_start[slot])
+        may = self.may[slot]
+        hit = np.flatnonzero(may & 1)
+        at, wanted = self.first[slot[hit]], hashes[hit]
+        same = self.hashes[at] == wanted
+        left = np.flatnonzero(~same)
+        for _ in range(1, self.most):
+            at[left] = np.minimum(at[left] + 1, len(self.hashes) - 1)
+            same[left] = self.hashes[at[left]] == wanted[left]
+            left = left[~same[left]]
+        return hit[same], self.ids[at[same]], np.flatnonzero(may & 2)
 
 
 def code_hash(codes: np.ndarray) -> np.uint64:
@@ -126,7 +138,7 @@ class Lattices:
         end = np.append(start[1:], n) if len(start) else start
         self.doc = np.searchsorted(offsets, start, "right") - 1
         power, inverse = _power_tables(n)
-        total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(data.astype(np.uint64) + salt(5)) * power[:n], dtype=np.uint64)))
+        total = np.concatenate((np.zeros(1, U64), np.cumsum(_BYTE_MIX[data] * power[:n], dtype=np.uint64)))
         keys = rehash_long(data, start, end, mix((total[end] - total[start]) * inverse[start]))
         _, sample, self.word = np.unique(keys, return_index=True, return_inverse=True)
         self._build(data, start[sample], end[sample], vocab)
@@ -151,28 +163,34 @@ class Lattices:
         rest = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(n)  # characters to the word's end
         power, inverse = _power_tables(n)
         total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(codes + salt(5)) * power[:n], dtype=np.uint64)))
-        # Ids by position and length, the longest first: row by row, the edges are then in order.
-        most = vocab.longest
-        table = np.full((n, most), NO_EDGE, np.int32)
-        where = np.arange(n)
-        for length in range(1, most + 1):
+        # Pieces by length; every character has an edge: its piece, or its bytes.
+        found, where, degree = [], np.arange(n), np.ones(n, np.int64)
+        for length in range(1, vocab.longest + 1):
             where = where[rest[where] >= length]
             if not len(where):
                 break
             hit, ids, on = vocab.find(mix((total[where + length] - total[where]) * inverse[where]))
             if length == 1:
-                table[:, most - 1] = -1  # every character has an edge: its piece, or its bytes
-            table[where[hit], most - length] = ids
+                own = np.full(n, -1, np.int32)
+                own[hit] = ids
+                found.append((where, own))
+            else:
+                found.append((where[hit], ids))
+                degree[where[hit]] += 1
             where = where[on]
-        flat = np.flatnonzero(table.ravel() != NO_EDGE)
-        position, piece = (flat // most).astype(np.int32), table.ravel()[flat]
-        length = (most - (flat - position.astype(np.int64) * most)).astype(np.int32)
-        self.edge_at = np.searchsorted(position, np.arange(n + 1))
+        # Edges by position, the longest first.
+        self.edge_at = np.concatenate(([0], np.cumsum(degree)))
+        position = np.repeat(np.arange(n, dtype=np.int32), degree)
+        piece, length = np.empty(len(position), np.int32), np.empty(len(position), np.int32)
+        free = self.edge_at[:-1].copy()
+        for size, (where, ids) in reversed(list(enumerate(found, 1))):
+            at = free[where]
+            piece[at], length[at] = ids, size
+            free[where] = at + 1
         value = vocab.weight[piece]
         bytes_ = piece < 0
         value[bytes_] = vocab.byte_weight * width[position[bytes_]]
         # Backward sums, by distance from the word's end.
-        degree = np.diff(self.edge_at)
         by_rest = np.argsort(rest.astype(np.uint16) if n and rest.max() < 1 << 16 else rest, kind="stable")
         layers = np.searchsorted(rest[by_rest], np.arange(1, (rest.max() if n else 0) + 2))
         beta = np.zeros(n + 1)
@@ -248,17 +266,17 @@ class _Row:
         n = len(self.paths)
         log_p = self.lat.log_p[edges]
         before = np.cumsum(log_p) - log_p
-        value_of = np.full(len(edges), -np.inf)
+        value_of = np.zeros(0)  # of the first pieces; sets further on are too light
         done, upto = 0, min(len(edges), 64)
         while done < upto:
             u = uniforms(self.seed, np.arange(done, upto), 1000 + 2 * n)
             with np.errstate(divide="ignore"):  # log-mass of the paths that leave at each piece
                 mass = before[done:upto] + np.log(-np.expm1(log_p[done:upto]))
-            value_of[done:upto] = np.where(mass > -np.inf, _truncated(mass, value, u), -np.inf)
+            value_of = np.concatenate((value_of, np.where(mass > -np.inf, _truncated(mass, value, u), -np.inf)))
             done = upto
             # Noise from 53 bits is below 38, so sets much lighter than the k + 1 best so far cannot
             # be among the k + 1 best; masses fall along the path.
-            rivals = value_of[:done][value_of[:done] > -np.inf]
+            rivals = value_of[value_of > -np.inf]
             least = np.partition(rivals, -self.k - 1)[-self.k - 1] if len(rivals) > self.k else -np.inf
             upto = int(np.searchsorted(-before, 38.0 - least, "right"))
         value_of[:shared] = -np.inf
@@ -329,18 +347,26 @@ def sample_paths(lat: Lattices, rows: int, seeds: np.ndarray, k: int) -> tuple[l
     return searches, np.array([s.best()[2] for s in searches])
 
 
-def piece_ids(lat: Lattices, vocab: Vocabulary, edges: np.ndarray) -> np.ndarray:
-    """Vocabulary ids of a path; characters without a piece give one id per byte."""
+def path_ids(lat: Lattices, vocab: Vocabulary, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Vocabulary ids of the paths, one after the other, and where each path's begin; characters
+    without a piece give one id per byte."""
+    edges = np.concatenate([np.zeros(0, np.int64), *paths])
     ids = lat.piece[edges]
-    if (ids >= 0).all():
-        return ids
-    p = lat.position[edges]
-    n = np.where(ids >= 0, 1, lat.width[p])
+    bare = np.flatnonzero(ids < 0)
+    p = lat.position[edges[bare]]
+    width = lat.width[p]
+    n = np.ones(len(ids), np.int64)
+    n[bare] = width
+    begin = np.concatenate(([0], np.cumsum(n)))
     out = np.repeat(ids, n)
-    nth = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
-    low = out < 0
-    out[low] = vocab.byte_id[lat.letters[(np.repeat(lat.byte_at[p], n) + nth)[low]]]
-    return out
+    nth = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+    out[np.repeat(begin[bare], width) + nth] = vocab.byte_id[lat.letters[np.repeat(lat.byte_at[p], width) + nth]]
+    return out, begin[np.concatenate(([0], np.cumsum([len(x) for x in paths], dtype=np.int64)))]
+
+
+def piece_ids(lat: Lattices, vocab: Vocabulary, edges: np.ndarray) -> np.ndarray:
+    """Vocabulary ids of one path."""
+    return path_ids(lat, vocab, [edges])[0]
 
 
 def _sample(k: int, path: str, zipf: float, carry: list[str], decoded: bool):
@@ -352,25 +378,24 @@ def _sample(k: int, path: str, zipf: float, carry: list[str], decoded: bool):
                 lat = Lattices(batch["text"].slice(low, rows), vocab)
                 seeds = batch["seed"].slice(low, rows).to_numpy().view(np.uint64)
                 searches, kappa = sample_paths(lat, rows, seeds, k)
-                row, number, ids, log_p, score = [], [], [], [], []
+                row, number, paths, log_p, score = [], [], [], [], []
                 for r, search in enumerate(searches):
                     for i, (edges, p, _) in enumerate(search.paths):
                         row.append(low + r)
                         number.append(i)
-                        ids.append(piece_ids(lat, vocab, edges))
+                        paths.append(edges)
                         log_p.append(p)
                         # log(1 - exp(-exp(x))), which is x for small x and 0 without a rival
                         x = p - kappa[r]
                         score.append(0.0 if x == np.inf else x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 50.0))))))
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+                ids, at = path_ids(lat, vocab, paths)
                 take = pa.array(row, pa.int64())
                 columns = {c: batch[c].take(take) for c in carry} | {
                     "sample": pa.array(number, pa.int32()),
-                    "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())),
                     "log_prob": pa.array(log_p, pa.float64()), "inclusion": pa.array(score, pa.float64())}
                 if decoded:
-                    columns["text"] = pa.array([decode_ids(x, vocab) for x in ids], pa.string())
+                    columns["text"] = pa.array(decode_all(ids, at, vocab), pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
             release()
     return sample
@@ -405,15 +430,22 @@ def spaced(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit(SPACE), F.lit(" "))
 
 
-def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> str:
-    """The text of piece ids. Ids out of range and control pieces give nothing; bytes that are not
+def decode_all(ids: np.ndarray, at: np.ndarray, vocab: Vocabulary) -> list[str]:
+    """The texts of piece ids, of which the i-th has ``ids[at[i]:at[i + 1]]``. Bytes that are not
     UTF-8 become U+FFFD."""
-    ids = ids[(ids >= 0) & (ids < len(vocab.bytes_at) - 1)]
     begin = vocab.bytes_at[ids]
     n = vocab.bytes_at[ids + 1] - begin
-    source = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
-    text = vocab.bytes[source].tobytes().decode("utf-8", "replace")
-    return text[1:] if text[:1] == " " else text
+    end = np.concatenate(([0], np.cumsum(n)))
+    data = vocab.bytes[np.arange(end[-1]) + np.repeat(begin - end[:-1], n)].tobytes()
+    bounds = end[at].tolist()
+    texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])]
+    return [t[1:] if t[:1] == " " else t for t in texts]
+
+
+def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> str:
+    """The text of piece ids. Ids out of range and control pieces give nothing."""
+    ids = ids[(ids >= 0) & (ids < len(vocab.bytes_at) - 1)]
+    return decode_all(ids, np.array([0, len(ids)]), vocab)[0]
 
 
 def decoder(path: str = MODEL):
