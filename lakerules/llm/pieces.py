@@ -138,9 +138,15 @@ class Lattices:
         end = np.append(start[1:], n) if len(start) else start
         self.doc = np.searchsorted(offsets, start, "right") - 1
         power, inverse = _power_tables(n)
-        total = np.concatenate((np.zeros(1, U64), np.cumsum(_BYTE_MIX[data] * power[:n], dtype=np.uint64)))
+        total = np.zeros(n + 1, U64)
+        np.cumsum(_BYTE_MIX[data] * power[:n], out=total[1:])
         keys = rehash_long(data, start, end, mix((total[end] - total[start]) * inverse[start]))
-        _, sample, self.word = np.unique(keys, return_index=True, return_inverse=True)
+        _, sample, word = np.unique(keys, return_index=True, return_inverse=True)
+        # Words as they first occur: frequent ones lie together, near the front.
+        order = np.argsort(sample)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        sample, self.word = sample[order], rank[word]
         self._build(data, start[sample], end[sample], vocab)
         # Where each occurrence begins in its row, in characters.
         size = np.diff(self.first)[self.word]
@@ -162,14 +168,17 @@ class Lattices:
         byte_at = np.cumsum(width) - width
         rest = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(n)  # characters to the word's end
         power, inverse = _power_tables(n)
-        total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(codes + salt(5)) * power[:n], dtype=np.uint64)))
+        single = mix(codes + salt(5))
+        total = np.zeros(n + 1, U64)
+        np.cumsum(single * power[:n], out=total[1:])
         # Pieces by length; every character has an edge: its piece, or its bytes.
         found, where, degree = [], np.arange(n), np.ones(n, np.int64)
         for length in range(1, vocab.longest + 1):
-            where = where[rest[where] >= length]
+            if length > 1:
+                where = where[rest[where] >= length]
             if not len(where):
                 break
-            hit, ids, on = vocab.find(mix((total[where + length] - total[where]) * inverse[where]))
+            hit, ids, on = vocab.find(mix((total[where + length] - total[where]) * inverse[where] if length > 1 else single))
             if length == 1:
                 own = np.full(n, -1, np.int32)
                 own[hit] = ids
@@ -194,8 +203,8 @@ class Lattices:
         by_rest = np.argsort(rest.astype(np.uint16) if n and rest.max() < 1 << 16 else rest, kind="stable")
         layers = np.searchsorted(rest[by_rest], np.arange(1, (rest.max() if n else 0) + 2))
         beta = np.zeros(n + 1)
-        inner = rest[position] > length
-        target = np.where(inner, position + length, n)  # beta[n] is 0
+        target = position + length
+        target[np.repeat(rest.astype(np.int32), degree) <= length] = n  # beta[n] is 0
         for low, high in zip(layers[:-1], layers[1:]):
             p = by_rest[low:high]
             if not len(p):
@@ -208,9 +217,11 @@ class Lattices:
             peak = np.maximum.reduceat(v, begin)
             beta[p] = peak + np.log(np.add.reduceat(np.exp(v - np.repeat(peak, d)), begin))
         self.position, self.length, self.piece = position, length, piece
-        self.log_p = np.minimum(value - beta[position], 0.0)
-        total_p = np.cumsum(np.exp(self.log_p))
-        self.cdf = total_p - np.concatenate(([0.0], total_p))[self.edge_at[:-1]][position]
+        value -= np.repeat(beta[:n], degree)
+        self.log_p = np.minimum(value, 0.0, out=value)
+        total_p = np.zeros(len(position) + 1)
+        np.cumsum(np.exp(self.log_p), out=total_p[1:])
+        self.cdf = total_p[1:] - np.repeat(total_p[self.edge_at[:-1]], degree)
         self.cdf[self.edge_at[1:] - 1] = 2.0  # the last edge takes what rounding leaves
         self.rest = rest.astype(np.int32)
         # Bytes of the characters, for those that fall back to bytes.
@@ -224,7 +235,7 @@ class Lattices:
         steps, active, here = [], np.arange(n), position.copy()
         while len(active):
             u = uniforms(seed[active], offset[active] + here, draw)
-            edge = self.edge_at[here].copy()
+            edge = self.edge_at[here]
             late = np.flatnonzero(u > self.cdf[edge])
             while len(late):
                 edge[late] += 1
@@ -242,8 +253,15 @@ class Lattices:
 
 def uniforms(seed: np.ndarray, position: np.ndarray, draw: int) -> np.ndarray:
     """Numbers in (0, 1) from a row's seed, a character position and what they are drawn for."""
-    bits = mix(seed ^ (position.astype(np.uint64) * BASE + salt(100 + draw)))
-    return ((bits >> U64(11)).astype(float) + 0.5) / float(1 << 53)
+    bits = position.astype(np.uint64)
+    bits *= BASE
+    bits += salt(100 + draw)
+    bits = mix(seed ^ bits)
+    bits >>= U64(11)
+    u = bits.astype(float)
+    u += 0.5
+    u *= 2.0 ** -53
+    return u
 
 
 def _truncated(log_mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
