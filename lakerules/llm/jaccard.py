@@ -14,13 +14,15 @@ least ``LEAST`` percent; linked documents form components.
    and the sizes must be within 75 % of each other.
 4. Verification. A document is cut by the global order into fragments. A candidate pair meets
    once per fragment, the overlaps are counted there and summed per pair.
-5. First every document meets the smallest id of each shingle of its prefix: linear, and enough to
-   connect most of a group of near copies however large. The links' components are the labels. Then,
-   as long as that finds links, every document meets the smallest document of another label in each
-   shingle, which is linear too, and labels that a link joins become one. Last, in each shingle, the members
-   of labels that are still different meet whose sizes and positions allow a link. Pairs inside a
-   group are connected already, so thousands of near copies never meet all pairs; no candidate
-   between groups is left out.
+5. Of shingles that the very same prefixes hold, only the first is needed. In each, every document
+   meets the shingle's *leader*, the one with the fewest rarer shingles: linear, and enough to connect
+   nearly all of a group of near copies however large, as the leader has the least that is only its own.
+   The links' components are the labels. Then, as long as that finds links, every document meets the
+   leader of the other labels in each shingle, which is linear too, and labels that a link joins become
+   one; shingles left with one label drop out for good. Last, in each shingle, the members of labels
+   that are still different meet whose sizes and positions allow a link. Pairs inside a group are
+   connected already, so thousands of near copies never meet all pairs; no candidate between groups is
+   left out.
 6. Components by large-star and small-star steps on the links, in one task where they are few. Links
    found in a later round join labels, not documents: only the labels' components are new.
 7. Links are counted over all pairs, those inside a group included. Both ends of a link are in one
@@ -179,25 +181,25 @@ def _verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return total.filter(100 * F.col("both") >= LEAST * (F.col("n_x") + F.col("n_y") - F.col("both"))).select("x", "y")
 
 
+def _first_shared(prefix: DataFrame) -> DataFrame:
+    """The rows of shingles that two or more prefixes hold; of shingles that the very same documents
+    hold, only the first in the order. The others give the same pairs, with later positions."""
+    held = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("many"), *[
+        F.bit_xor(F.xxhash64(F.lit(i), F.col("doc_id"))).alias(f"s{i}") for i in (1, 2)])
+    first = held.filter("many > 1").groupBy("many", "s1", "s2").agg(F.min("gram").alias("gram"))
+    return prefix.join(first.select("gram"), "gram", "left_semi")
+
+
 def _leader_pairs(prefix: DataFrame) -> DataFrame:
-    """Each document with the smallest id of every shingle of its prefix, where that can do."""
-    lead = prefix.groupBy("gram").agg(F.min(F.struct("doc_id", "n", "at")).alias("lead"), F.count(F.lit(1)).alias("many"))
-    lead = lead.filter("many > 1").select("gram", F.col("lead.doc_id").alias("x"), F.col("lead.n").alias("n_x"),
-                                          F.col("lead.at").alias("at_x"))
-    met = prefix.join(lead, "gram").filter(F.col("doc_id") > F.col("x"))
-    met = met.filter(_can_reach(F.col("n_x"), F.col("n"), F.col("n_x") - F.col("at_x"), F.col("n") - F.col("at")))
-    return met.select("x", F.col("doc_id").alias("y"), "n_x", F.col("n").alias("n_y")).distinct()
+    """Each document with the leader of every shingle of its prefix, where that can do. A shingle's
+    leader has the fewest rarer shingles, so it is near to what the others share."""
+    lead = prefix.groupBy("gram").agg(F.min(F.struct("at", "n", "doc_id")).alias("lead"))
+    met = prefix.join(lead, "gram").filter(F.col("doc_id") != F.col("lead.doc_id"))
+    return _met(met)
 
 
-def _other_leader_pairs(prefix: DataFrame) -> DataFrame:
-    """Each document with the smallest id of another label in every shingle of its prefix. Only the
-    two smallest of different labels are needed: the second serves the documents of the first's label."""
-    leads = prefix.groupBy("gram", "label").agg(F.min(F.struct("doc_id", "n", "at")).alias("lead"))
-    leads = leads.select("gram", F.struct("lead.doc_id", "lead.n", "lead.at", "label").alias("lead"))
-    first = leads.groupBy("gram").agg(F.min("lead").alias("first"))
-    second = leads.join(first, "gram").filter("lead.label <> first.label").groupBy("gram", "first").agg(F.min("lead").alias("second"))
-    met = prefix.join(second, "gram").withColumn("lead", F.when(F.col("label") == F.col("first.label"), F.col("second"))
-                                                 .otherwise(F.col("first")))
+def _met(met: DataFrame) -> DataFrame:
+    """``x, y, n_x, n_y``: the distinct pairs of a row's document and its ``lead`` that can link."""
     met = met.filter(_can_reach(F.col("lead.n"), F.col("n"), F.col("lead.n") - F.col("lead.at"), F.col("n") - F.col("at")))
     ends = [F.struct(F.col("doc_id").alias("id"), "n"), F.struct(F.col("lead.doc_id").alias("id"), F.col("lead.n").alias("n"))]
     met = met.select(F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
@@ -205,6 +207,26 @@ def _other_leader_pairs(prefix: DataFrame) -> DataFrame:
                       F.col("high.n").alias("n_y")).distinct()
 
 
+def _undecided(prefix: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of shingles with two or more labels, and their labels. Labels only ever merge, so
+    what drops out here stays out."""
+    rows = prefix.join(found, prefix["doc_id"] == found["node"], "left").select(
+        "gram", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("label"))
+    labels = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return rows.join(labels.filter("low <> high").select("gram"), "gram", "left_semi")
+
+
+def _other_leader_pairs(prefix: DataFrame) -> DataFrame:
+    """Each document with the leader of the other labels in every shingle of its prefix. Only the
+    first two of different labels are needed: the second serves the documents of the first's label."""
+    leads = prefix.groupBy("gram", "label").agg(F.min(F.struct("at", "n", "doc_id")).alias("lead"))
+    leads = leads.select("gram", F.struct("lead.at", "lead.n", "lead.doc_id", "label").alias("lead"))
+    first = leads.groupBy("gram").agg(F.min("lead").alias("first"))
+    second = leads.join(first, "gram").filter("lead.label <> first.label").groupBy("gram", "first").agg(F.min("lead").alias("second"))
+    return _met(prefix.join(second, "gram").withColumn("lead", F.when(
+        F.col("label") == F.col("first.label"), F.col("second")).otherwise(F.col("first"))))
+
+
 def _cross_pairs(prefix: DataFrame) -> DataFrame:
     """Candidates whose two documents have different labels.
 
@@ -446,15 +468,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     longest = F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1
     prefix = parts.select("doc_id", "n", "start", F.posexplode(F.slice("grams", F.lit(1), F.greatest(
         F.lit(0), longest - F.col("start")).cast("int"))).alias("nth", "gram"))
-    prefix = cut(prefix.select("doc_id", "n", "gram", (F.col("start") + F.col("nth")).alias("at")))
+    prefix = cut(_first_shared(prefix.select("doc_id", "n", "gram", (F.col("start") + F.col("nth")).alias("at"))))
 
     pairs = cut(_leader_pairs(prefix))
     found = components(cut(_verified(pairs, parts)))
     tested = pairs.select("x", "y")
     while True:
-        labelled = cut(prefix.join(found, prefix["doc_id"] == found["node"], "left").select(
-            "gram", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("label")))
-        more = cut(_other_leader_pairs(labelled).join(tested, ["x", "y"], "left_anti"))
+        prefix = cut(_undecided(prefix.drop("label"), found))
+        more = cut(_other_leader_pairs(prefix).join(tested, ["x", "y"], "left_anti"))
         if more.isEmpty():
             break
         tested = tested.union(more.select("x", "y"))
@@ -462,7 +483,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if new.isEmpty():
             break
         found = _joined(found, new)
-    others = cut(_cross_pairs(labelled).join(tested, ["x", "y"], "left_anti"))
+    others = cut(_cross_pairs(prefix).join(tested, ["x", "y"], "left_anti"))
     if not others.isEmpty():
         far = cut(_verified(others, parts))
         if not far.isEmpty():

@@ -166,6 +166,44 @@ def test_jaccard_against_all_pairs(spark):
 
 
 
+def test_jaccard_compares_few_of_many_near_copies(spark, monkeypatch):
+    """Near copies whose smallest ids have the most of their own: they link with none, and must not
+    keep the others from meeting one that they link with."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{j}" for j in range(120)]
+        for i in range(120):
+            own = list(base)
+            for j in (10, 50, 90) if i < 10 else (50,):
+                own[j + int(rng.integers(20))] = f"x{g}y{i}z{j}"
+            rows.append((1000 * g + i, " ".join(own), "en", "a"))
+    compared, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, parts: compared.append(pairs.count()) or verified(pairs, parts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(docs(spark, rows), count_links=False).collect()}
+    assert got == brute_components(rows)
+    assert sum(compared) < 12 * len(rows), compared
+
+
+def test_jaccard_shingles_with_one_label_drop_out_of_later_rounds(spark):
+    rows = [("a", 9, 1, 1), ("b", 9, 1, 1), ("a", 9, 2, 2), ("c", 9, 2, 2), ("d", 9, 3, 3)]
+    df = spark.createDataFrame(rows, "doc_id string, n long, gram long, at long")
+    found = spark.createDataFrame([("b", "a")], "node string, component string")
+    left = jaccard._undecided(df, found)
+    assert sorted((r["gram"], r["doc_id"], r["label"]) for r in left.collect()) == [(2, "a", "a"), (2, "c", "c")]
+    found = spark.createDataFrame([("b", "a"), ("c", "a")], "node string, component string")
+    assert jaccard._undecided(left.drop("label"), found).isEmpty()
+
+
+def test_jaccard_first_shared_shingle_stands_for_those_of_the_same_documents(spark):
+    held = {1: "ab", 2: "ab", 3: "abc", 4: "bc", 5: "bcd"}  # 1 and 2 are in the same documents, 4 in another two
+    rows = [(d, 9, g, at) for g, ds in held.items() for at, d in [(g, d) for d in ds]]
+    df = spark.createDataFrame(rows, "doc_id string, n long, gram long, at long")
+    assert sorted((r["gram"], r["doc_id"]) for r in jaccard._first_shared(df).collect()) == [
+        (g, d) for g in (1, 3, 4, 5) for d in held[g]]
+    assert jaccard._first_shared(df.filter("doc_id = 'd'")).isEmpty()
+
+
 @pytest.mark.parametrize("room", [512, 5])
 def test_jaccard_counts_every_link(spark, monkeypatch, room):
     monkeypatch.setattr(jaccard, "ROOM", room)
