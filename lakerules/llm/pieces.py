@@ -231,19 +231,20 @@ class Lattices:
         """Sample a path from each position to its word's end: edges in order, and where each path's
         begin. ``offset`` is the character offset in the row that position 0 of each would have."""
         n = len(position)
-        count = np.zeros(n, np.int64)
-        steps, active, here = [], np.arange(n), position.copy()
+        count = np.ones(n, np.int64)
+        steps, active, here = [], np.arange(n), position
         while len(active):
-            u = uniforms(seed[active], offset[active] + here, draw)
+            u = uniforms(seed, offset + here, draw)
             edge = self.edge_at[here]
             late = np.flatnonzero(u > self.cdf[edge])
             while len(late):
                 edge[late] += 1
                 late = late[u[late] > self.cdf[edge[late]]]
             steps.append((active, edge))
+            length = self.length[edge]
+            more = np.flatnonzero(self.rest[here] > length)  # whose words go on
+            active, here, seed, offset = active[more], here[more] + length[more], seed[more], offset[more]
             count[active] += 1
-            more = self.rest[here] > self.length[edge]
-            active, here = active[more], (here + self.length[edge])[more]
         at = np.concatenate(([0], np.cumsum(count)))
         out = np.zeros(at[-1], np.int64)
         for t, (who, edge) in enumerate(steps):
