@@ -17,12 +17,15 @@ least ``LEAST`` percent; linked documents form components.
 5. Of shingles that the very same prefixes hold, only the first is needed. In each, every document
    meets the shingle's *leader*, the one with the fewest rarer shingles: linear, and enough to connect
    nearly all of a group of near copies however large, as the leader has the least that is only its own.
-   The links' components are the labels. Then, as long as that finds links, every document meets the
-   leader of the other labels in each shingle, which is linear too, and labels that a link joins become
-   one; shingles left with one label drop out for good. Last, in each shingle, the members of labels
-   that are still different meet whose sizes and positions allow a link. Pairs inside a group are
-   connected already, so thousands of near copies never meet all pairs; no candidate between groups is
-   left out.
+   The links' components are the labels. A document whose position in a shingle allows a link with none
+   of the sizes there has left it before, so a group's outliers do not keep its shingles; those left with
+   one label drop out for good. Then, while more pairs of different labels could meet than rows are left,
+   every document meets the leader of the other labels in each shingle, which is linear too, and labels
+   that a link joins become one. A round that leaves more than three quarters of these meetings is the
+   last, so their number grows with the logarithm of the meetings, not with the links. Last, in each
+   shingle, the members of labels that are still different meet whose sizes and positions allow a link.
+   Pairs inside a group are connected already, so thousands of near copies never meet all pairs; no
+   candidate between groups is left out.
 6. Components by large-star and small-star steps on the links, in one task where they are few. Links
    found in a later round join labels, not documents: only the labels' components are new.
 7. Links are counted over all pairs, those inside a group included. Both ends of a link are in one
@@ -171,6 +174,12 @@ def _can_reach(n_x: Column, n_y: Column, rest_x: Column, rest_y: Column) -> Colu
         100 * F.least(n_x, n_y) >= LEAST * F.greatest(n_x, n_y))
 
 
+def _can_be_smaller() -> Column:
+    """Whether a row's position allows a link with a document of its size or larger: the rest must
+    reach the similarity alone, which leaves the first seventh of the set."""
+    return (100 + LEAST) * (F.col("n") - F.col("at")) >= 2 * LEAST * F.col("n")
+
+
 def _verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs (x, y, n_x, n_y) that are similar: overlaps counted per fragment, then summed."""
     left = parts.select(F.col("doc_id").alias("x"), "fragment", F.col("grams").alias("grams_x"))
@@ -183,11 +192,20 @@ def _verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _first_shared(prefix: DataFrame) -> DataFrame:
     """The rows of shingles that two or more prefixes hold; of shingles that the very same documents
-    hold, only the first in the order. The others give the same pairs, with later positions."""
-    held = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("many"), *[
-        F.bit_xor(F.xxhash64(F.lit(i), F.col("doc_id"))).alias(f"s{i}") for i in (1, 2)])
-    first = held.filter("many > 1").groupBy("many", "s1", "s2").agg(F.min("gram").alias("gram"))
-    return prefix.join(first.select("gram"), "gram", "left_semi")
+    hold, only the first in the order. The others give the same pairs, with later positions. ``low``
+    is the least size of a shingle's rows that can be the smaller one of a link, null without any."""
+    held = prefix.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("many"), F.min(F.when(_can_be_smaller(), F.col("n"))).alias("low"),
+        *[F.bit_xor(F.xxhash64(F.lit(i), F.col("doc_id"))).alias(f"s{i}") for i in (1, 2)])
+    first = held.filter("many > 1").groupBy("many", "s1", "s2").agg(F.min(F.struct("gram", "low")).alias("first"))
+    return prefix.join(first.select("first.gram", "first.low"), "gram")
+
+
+def _within_reach(prefix: DataFrame) -> DataFrame:
+    """The rows that can link in their shingle at all, by position and size. Of two documents that
+    link, the smaller one has at least the size ``low`` and both have enough left for their sizes."""
+    rest = F.col("n") - F.col("at")
+    return prefix.filter((100 + LEAST) * rest >= LEAST * (F.col("n") + F.col("low"))).drop("low")
 
 
 def _leader_pairs(prefix: DataFrame) -> DataFrame:
@@ -216,6 +234,14 @@ def _undecided(prefix: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(labels.filter("low <> high").select("gram"), "gram", "left_semi")
 
 
+def _meetings(prefix: DataFrame) -> tuple[int, int]:
+    """How many pairs of different labels could meet at most, shingle by shingle, and the rows."""
+    groups = prefix.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m"), F.count_if(_can_be_smaller()).alias("s"))
+    each = groups.groupBy("gram").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum(F.col("m") * F.col("s")).alias("own"))
+    total = each.agg(F.sum(F.col("m") * F.col("s") - F.col("own")), F.sum("m")).first()
+    return total[0] or 0, total[1] or 0
+
+
 def _other_leader_pairs(prefix: DataFrame) -> DataFrame:
     """Each document with the leader of the other labels in every shingle of its prefix. Only the
     first two of different labels are needed: the second serves the documents of the first's label."""
@@ -231,24 +257,25 @@ def _cross_pairs(prefix: DataFrame) -> DataFrame:
     """Candidates whose two documents have different labels.
 
     Shingles with one label drop out first. In the others, documents of the most frequent label meet
-    only those of other labels. Of two documents the smaller one must have the shingle it shares
-    first within a seventh of its set (else the rest cannot reach 75 %), and the larger one has at
-    most 4/3 of its size: so only such rows meet, within classes of size.
+    only those of other labels (``part`` 1; the others meet all, in part 0). Of two documents the
+    smaller one must have the shingle it shares first within a seventh of its set (else the rest
+    cannot reach 75 %), and the larger one has at most 4/3 of its size: so only such rows meet, within
+    classes of size.
     """
     groups = prefix.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("members"))
     top = groups.groupBy("gram").agg(F.max(F.struct("members", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
     rows = prefix.join(top.filter("labels > 1").select("gram", F.col("top.label").alias("main")), "gram")
     size = F.floor(F.log(F.col("n")) / F.log(F.lit(SIZE_STEP)))
-    rows = rows.select("gram", "doc_id", "n", "at", "label", (F.col("label") != F.col("main")).alias("minor"), size.alias("size"))
-    small = rows.filter("(100 + {0}) * (n - at) >= 2 * {0} * n".format(LEAST))
-    small = small.select("gram", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("doc_id").alias("x"),
-                         F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("label").alias("label_x"), "minor")
-    large = rows.select(F.col("gram").alias("g"), F.col("size").alias("s"), F.col("doc_id").alias("y"), F.col("n").alias("n_y"),
-                        F.col("at").alias("at_y"), F.col("label").alias("label_y"), F.col("minor").alias("minor_y"))
+    rows = rows.select("gram", "doc_id", "n", "at", "label", (F.col("label") == F.col("main")).alias("of_main"), size.alias("size"))
+    small = rows.filter(_can_be_smaller())
+    small = small.select("gram", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("of_main").cast("int").alias("part"),
+                         F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("label").alias("label_x"))
+    parts = F.when(F.col("of_main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    large = rows.select(F.col("gram").alias("g"), F.col("size").alias("s"), F.explode(parts).alias("p"), F.col("doc_id").alias("y"),
+                        F.col("n").alias("n_y"), F.col("at").alias("at_y"), F.col("label").alias("label_y"))
     reach = _can_reach(F.col("n_x"), F.col("n_y"), F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    meet = ((F.col("gram") == F.col("g")) & (F.col("size") == F.col("s")) & (F.col("n_x") <= F.col("n_y"))
-            & (F.col("label_x") != F.col("label_y")) & reach)
-    met = small.filter("minor").join(large, meet).unionByName(small.filter("not minor").join(large.filter("minor_y"), meet))
+    met = small.join(large, (F.col("gram") == F.col("g")) & (F.col("size") == F.col("s")) & (F.col("part") == F.col("p"))
+                     & (F.col("n_x") <= F.col("n_y")) & (F.col("label_x") != F.col("label_y")) & reach)
     first = F.col("x") < F.col("y")
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
                       F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_x"),
@@ -468,13 +495,17 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     longest = F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1
     prefix = parts.select("doc_id", "n", "start", F.posexplode(F.slice("grams", F.lit(1), F.greatest(
         F.lit(0), longest - F.col("start")).cast("int"))).alias("nth", "gram"))
-    prefix = cut(_first_shared(prefix.select("doc_id", "n", "gram", (F.col("start") + F.col("nth")).alias("at"))))
+    prefix = cut(_within_reach(_first_shared(prefix.select("doc_id", "n", "gram", (F.col("start") + F.col("nth")).alias("at")))))
 
     pairs = cut(_leader_pairs(prefix))
     found = components(cut(_verified(pairs, parts)))
-    tested = pairs.select("x", "y")
+    tested, before = pairs.select("x", "y"), None
     while True:
         prefix = cut(_undecided(prefix.drop("label"), found))
+        meetings, left = _meetings(prefix)
+        if meetings <= left or before is not None and 4 * meetings > 3 * before:
+            break
+        before = meetings
         more = cut(_other_leader_pairs(prefix).join(tested, ["x", "y"], "left_anti"))
         if more.isEmpty():
             break

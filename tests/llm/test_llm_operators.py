@@ -204,6 +204,52 @@ def test_jaccard_first_shared_shingle_stands_for_those_of_the_same_documents(spa
     assert jaccard._first_shared(df.filter("doc_id = 'd'")).isEmpty()
 
 
+def near_copies_with_outliers():
+    """A group of near copies, some with so many words of their own that they link with none."""
+    rng = np.random.default_rng(21)
+    base, rows = [f"w{j}" for j in range(150)], []
+    for i in range(200):
+        own = list(base)
+        for j in (10, 35, 60, 90, 120) if i % 4 == 0 else (60,):
+            own[j + int(rng.integers(20))] = f"y{i}z{j}"
+        rows.append((i, " ".join(own), "en", "a"))
+    return rows
+
+
+def test_jaccard_rows_out_of_reach_do_not_go_through_the_rounds(spark, monkeypatch):
+    rows = near_copies_with_outliers()
+    kept, whole = [], jaccard._undecided
+    monkeypatch.setattr(jaccard, "_undecided", lambda prefix, found: kept.append(whole(prefix, found)) or kept[-1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(docs(spark, rows), count_links=False).collect()}
+    assert got == brute_components(rows)
+    assert len({c for _, c in got.values()}) > 40 and sum(k.count() for k in kept) < len(rows)
+
+
+def test_jaccard_number_of_rounds_does_not_follow_the_links(spark, monkeypatch):
+    """Where every verification finds one link only, the rounds end long before the links do."""
+    rng = np.random.default_rng(4)
+    base, rows = [f"w{j}" for j in range(80)], []
+    for i in range(40):
+        own = list(base)
+        own[int(rng.integers(80))] = f"x{i}"
+        rows.append((i, " ".join(own), "en", "a"))
+    rounds, pairs_of = [], jaccard._other_leader_pairs
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, parts: pairs.orderBy("x", "y").limit(1).select("x", "y"))
+    monkeypatch.setattr(jaccard, "_other_leader_pairs", lambda prefix: rounds.append(1) or pairs_of(prefix))
+    assert jaccard.similar_groups(docs(spark, rows), count_links=False).count() == len(rows)
+    assert 1 <= len(rounds) <= 3, len(rounds)
+
+
+def test_jaccard_rows_within_reach(spark):
+    """Sizes 100 and 80: (100 + 75) * rest >= 75 * (n + low), and a shingle that none can be the
+    smaller one of a link in has no rows."""
+    rows = [("a", 100, 1, 14), ("b", 100, 1, 15), ("c", 80, 2, 0), ("d", 100, 2, 22), ("e", 100, 2, 23), ("f", 100, 3, 15), ("g", 100, 3, 16)]
+    df = spark.createDataFrame(rows, "doc_id string, n long, gram long, at long")
+    left = jaccard._within_reach(jaccard._first_shared(df))
+    assert left.columns == ["gram", "doc_id", "n", "at"]
+    assert sorted((r["gram"], r["doc_id"]) for r in left.collect()) == [(1, "a"), (2, "c"), (2, "d")]
+
+
 @pytest.mark.parametrize("room", [512, 5])
 def test_jaccard_counts_every_link(spark, monkeypatch, room):
     monkeypatch.setattr(jaccard, "ROOM", room)
